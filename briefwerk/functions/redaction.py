@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from .dialect import java
+from .once import once
 
 # A match of the address rule can only start where no letter of its first class precedes: from
 # there the rule could take that letter too. Saying so spares a retry at every letter of a word.
@@ -63,6 +64,33 @@ def count_inserted(before: Column, after: Column, label: str) -> Column:
     return F.when(before == after, F.lit(0)).otherwise(inserted.cast("int"))
 
 
+def chain(text: Column) -> Column:
+    """All rules in order: struct of the redacted text and the hits of each label.
+
+    Each rule sees the text the rule before it left, and is counted on that text.
+    """
+    labels = list(PATTERNS)
+
+    def stage(i: int, current: Column, has_digit: Column, hits: list[Column]) -> Column:
+        if i == len(labels):
+            return F.struct(current.alias("text"), *hits)
+        label = labels[i]
+        return once(
+            redact_rule(current, label, has_digit),
+            lambda after: stage(
+                i + 1,
+                after,
+                has_digit,
+                [*hits, F.coalesce(count_inserted(current, after, label), F.lit(0)).alias(label)],
+            ),
+        )
+
+    def start(raw: Column) -> Column:
+        return once(raw.rlike(HAS_DIGIT), lambda has_digit: stage(0, raw, has_digit, []))
+
+    return once(text, start)
+
+
 def term_pattern(term: str) -> str:
     """A blocklist term: literal, any case, no word boundary."""
     return r"(?iu)\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"
@@ -72,18 +100,17 @@ def any_term_pattern(terms) -> str:
     return "|".join(term_pattern(t) for t in terms)
 
 
-def fold_terms(text: Column, terms: Column) -> tuple[Column, Column]:
-    """Redact an array of patterns in order; gives (text, number of hits)."""
+def fold_terms(text: Column, patterns: Column) -> Column:
+    """Redact an array of patterns in order: struct of text and number of hits."""
     start = F.struct(text.alias("text"), F.lit(0).alias("hits"))
-    done = F.aggregate(
-        terms,
+    return F.aggregate(
+        patterns,
         start,
         lambda acc, p: F.struct(
             F.regexp_replace(acc["text"], p, F.lit(fixed.BLOCKLIST_LABEL)).alias("text"),
             (acc["hits"] + F.regexp_count(acc["text"], p)).alias("hits"),
         ),
     )
-    return done["text"], done["hits"]
 
 
 # --- checks on text that is about to leave -------------------------------------------------

@@ -1,10 +1,13 @@
 """Model requests and recorded model responses as columns; no model is called here."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
 from .dialect import java
+from .once import once
 
 INSTRUCTIONS = (
     "Name four facts about this letter.\n"
@@ -29,8 +32,8 @@ def request_text(text: Column, date_hint: Column | None = None, instructions: st
 def _field(answer: Column, key: str, default: str) -> Column:
     """A key of the answer as Python's ``str`` would print it."""
     path = f"$.{key}"
-    kind = F.schema_of_variant(F.try_variant_get(answer, path, "variant"))
     value = F.try_variant_get(answer, path, "string")
+    kind = F.schema_of_variant(F.try_variant_get(answer, path, "variant"))
     return (
         F.when(kind.isNull(), F.lit(default))
         .when(kind == "VOID", F.lit("None"))
@@ -46,26 +49,42 @@ def parse_response(response: Column) -> Column:
     NULL, ``parse-error`` (no object found), ``JSONDecodeError`` (broken object) or
     ``AttributeError`` (JSON, but no object).
     """
-    whole = F.try_parse_json(response)
-    fragment = F.regexp_substr(response, F.lit(r"(?s)\{[^{}]+\}"))
-    answer = F.coalesce(whole, F.try_parse_json(fragment))
-    is_object = F.schema_of_variant(answer).startswith("OBJECT")
-    error = (
-        F.when(whole.isNull() & fragment.isNull(), F.lit("parse-error"))
-        .when(answer.isNull(), F.lit("JSONDecodeError"))
-        .when(~is_object, F.lit("AttributeError"))
-    )
     fields = {"sender": "unknown", "content": "unknown", "date": "unknown", "confidence": "low"}
-    return F.struct(
-        *[F.when(is_object, _field(answer, k, d)).alias(k) for k, d in fields.items()],
-        error.alias("error"),
-    )
+
+    def unpack(found: Column) -> Column:
+        answer, is_object = found["answer"], found["kind"].startswith("OBJECT")
+        error = (
+            F.when(~found["present"], F.lit("parse-error"))
+            .when(found["kind"].isNull(), F.lit("JSONDecodeError"))
+            .when(~is_object, F.lit("AttributeError"))
+        )
+        return F.struct(
+            *[F.when(is_object, _field(answer, k, d)).alias(k) for k, d in fields.items()],
+            error.alias("error"),
+        )
+
+    def typed(answer: Column, present: Column) -> Column:
+        kind = F.schema_of_variant(answer).alias("kind")
+        return F.struct(answer.alias("answer"), kind, present.alias("present"))
+
+    def search(fragment: Column) -> Column:
+        return once(F.try_parse_json(fragment), lambda a: typed(a, fragment.isNotNull()))
+
+    def parse(raw: Column) -> Column:
+        fragment = F.regexp_substr(raw, F.lit(r"(?s)\{[^{}]+\}"))
+        whole = F.try_parse_json(raw)
+        return once(
+            whole,
+            lambda a: F.when(a.isNotNull(), typed(a, F.lit(True))).otherwise(once(fragment, search)),
+        )
+
+    return once(once(response, parse), unpack)
 
 
 def with_date_hint(date: Column, hint: Column) -> Column:
     """The hint stands in for a date that is no eight digits."""
     usable = date.rlike(r"\A\p{Nd}{8}\n?\z")
-    return F.when(hint.isNotNull() & (hint != "") & ~usable, hint).otherwise(date)
+    return F.when(~usable, F.coalesce(F.nullif(hint, F.lit("")), date)).otherwise(date)
 
 
 def token_cost_chf(
@@ -83,23 +102,22 @@ def uncertain_fields(sender: Column, content: Column, date: Column) -> Column:
     """Names of the fields that are empty or unknown, or the general reason."""
     named = {"sender": sender, "content": content, "date": date}
     unsure = F.concat_ws(", ", *[F.when(c.isin("unknown", ""), F.lit(n)) for n, c in named.items()])
-    return F.when(unsure == "", F.lit("niedrige Confidence")).otherwise(
-        F.concat(F.lit("unklare Felder: "), unsure)
-    )
+    listed = F.concat(F.lit("unklare Felder: "), F.nullif(unsure, F.lit("")))
+    return F.coalesce(listed, F.lit("niedrige Confidence"))
 
 
 # --- failed requests ------------------------------------------------------------------------
 
 def error_class(message: Column, type_name: Column) -> Column:
     """Reportable class of an error; the first matching class wins, else the type name."""
-    low = F.lower(message)
-    chosen = F
-    for name, marks in fixed.ERROR_CLASSES:
-        hit = F.lit(False)
-        for mark in marks:
-            hit = hit | F.contains(low, F.lit(mark))
-        chosen = chosen.when(hit, F.lit(name))
-    return chosen.otherwise(type_name)
+    def first(low: Column) -> Column:
+        chosen = F
+        for name, marks in fixed.ERROR_CLASSES:
+            hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in marks])
+            chosen = chosen.when(hit, F.lit(name))
+        return chosen.otherwise(type_name)
+
+    return once(F.lower(message), first)
 
 
 def is_retryable(error: Column) -> Column:

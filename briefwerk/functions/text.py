@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from .dialect import java
+from .once import once
 
 _SPACE = java(r"\s")
 
@@ -40,25 +41,30 @@ def _ascii_readings() -> tuple[dict, dict]:
 def ascii_fold(text: Column) -> Column:
     """Compatibility-decompose and keep the ASCII part, as ``NFKD`` + dropping would."""
     single, several = _ascii_readings()
-    folded = F.translate(text, "".join(single), "".join(single.values()))
     listed = "\x01".join(f"{char}\x02{reading}" for char, reading in several.items())
     readings = F.str_to_map(F.lit(listed), F.lit("\x01"), F.lit("\x02"))
-    spelled = F.array_join(
-        F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(readings, c), c)), ""
-    )
     wide = "[" + "".join(several) + "]"
-    plain = F.when(folded.rlike(wide), spelled).otherwise(folded)
-    # most texts are ASCII already: they skip all of the above
-    return F.when(
-        text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(plain, r"[^\x00-\x7F]+", "")
-    ).otherwise(text)
+
+    def spelled(folded: Column) -> Column:
+        chars = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(readings, c), c))
+        return F.when(folded.rlike(wide), F.array_join(chars, "")).otherwise(folded)
+
+    def fold(raw: Column) -> Column:
+        plain = once(F.translate(raw, "".join(single), "".join(single.values())), spelled)
+        # most texts are ASCII already: they skip the rest
+        return F.when(
+            raw.rlike(r"[^\x00-\x7F]"), F.regexp_replace(plain, r"[^\x00-\x7F]+", "")
+        ).otherwise(raw)
+
+    return once(text, fold)
 
 
 def ascii_part(text: Column) -> Column:
     """A portable part of a file name; ``unknown`` where nothing is left."""
     dashed = F.regexp_replace(ascii_fold(text), "[^A-Za-z0-9]+", "-")
-    trimmed = F.btrim(dashed, F.lit("-"))
-    return F.when(trimmed == "", F.lit("unknown")).otherwise(trimmed)
+    return once(
+        F.btrim(dashed, F.lit("-")), lambda part: F.when(part == "", F.lit("unknown")).otherwise(part)
+    )
 
 
 def quality_key(text: Column) -> Column:
@@ -91,17 +97,21 @@ def name_suffix(name: Column) -> Column:
 
 def field_match(actual: Column, expected: Column) -> Column:
     """True if any expected value occurs in the actual one; NULL if nothing is expected."""
-    key = quality_key(actual)
-    hit = F.exists(expected, lambda value: F.contains(key, quality_key(value)))
-    return F.when(F.size(expected) > 0, hit)
+    def hit(key: Column) -> Column:
+        return F.exists(expected, lambda value: F.contains(key, quality_key(value)))
+
+    return F.when(F.size(expected) > 0, once(quality_key(actual), hit))
 
 
 def month_number(name: Column) -> Column:
     """Number of a German month name or abbreviation."""
     months = F.create_map(*[F.lit(x) for pair in fixed.MONTHS.items() for x in pair])
-    raw = F.lower(F.rtrim(name, F.lit(".")))
-    folded = F.translate(raw, "äöü", "aou")
-    return F.coalesce(F.element_at(months, folded), F.element_at(months, raw))
+
+    def number(raw: Column) -> Column:
+        folded = F.translate(raw, "äöü", "aou")
+        return F.coalesce(F.element_at(months, folded), F.element_at(months, raw))
+
+    return once(F.lower(F.rtrim(name, F.lit("."))), number)
 
 
 def letter_date(text: Column) -> Column:
@@ -115,11 +125,22 @@ def letter_date(text: Column) -> Column:
     found = F.split(
         F.regexp_replace(F.regexp_substr(head, F.lit(pattern)), pattern, r"$1|$2|$3"), r"\|"
     )
-    day, year = F.get(found, 0).try_cast("int"), F.get(found, 2).try_cast("int")
-    month = month_number(F.get(found, 1))
-    valid = (
-        month.isNotNull()
-        & year.between(fixed.YEAR_MIN, fixed.YEAR_MAX)
-        & day.between(1, 31)
-    )
-    return F.when(valid, F.format_string("%d%02d%02d", year, month, day))
+
+    def compose(date: Column) -> Column:
+        year, month, day = date["year"], date["month"], date["day"]
+        valid = (
+            month.isNotNull()
+            & year.between(fixed.YEAR_MIN, fixed.YEAR_MAX)
+            & day.between(1, 31)
+        )
+        return F.when(valid, F.format_string("%d%02d%02d", year, month, day))
+
+    def read(groups: Column) -> Column:
+        date = F.struct(
+            F.get(groups, 2).try_cast("int").alias("year"),
+            month_number(F.get(groups, 1)).alias("month"),
+            F.get(groups, 0).try_cast("int").alias("day"),
+        )
+        return F.when(groups.isNotNull(), once(date, compose))
+
+    return once(found, read)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.once import once
 from ..functions.text import quality_key
 
 # Up to here rules are written into the plan as one CASE; more belong in a table.
@@ -37,24 +38,24 @@ def category_of_key(key: Column, rules=fixed.DEFAULT_CATEGORIES) -> Column:
     kept = deciding_keywords(rules)
     if sum(len(keywords) for _, keywords in kept) > MAX_INLINE_KEYWORDS:
         raise ValueError("pass long rule lists as a table: assign_category_by_table")
-    chosen = F
-    for category, keywords in kept:
-        if keywords:
-            hit = reduce(lambda a, b: a | b, [F.contains(key, F.lit(k)) for k in keywords])
-            chosen = chosen.when(hit, F.lit(category))
     fallback = F.lit(kept[-1][0])
-    return fallback if chosen is F else chosen.otherwise(fallback)
+
+    def first(whole: Column) -> Column:
+        chosen = F
+        for category, keywords in kept:
+            if keywords:
+                hit = reduce(lambda a, b: a | b, [F.contains(whole, F.lit(k)) for k in keywords])
+                chosen = chosen.when(hit, F.lit(category))
+        return fallback if chosen is F else chosen.otherwise(fallback)
+
+    return once(key, first)
 
 
 def assign_category(
     df: DataFrame, name: str = "name", rules=fixed.DEFAULT_CATEGORIES, into: str = "category"
 ) -> DataFrame:
     """Add the topic of a file name."""
-    return (
-        df.withColumn("_key", quality_key(F.col(name)))
-        .withColumn(into, category_of_key(F.col("_key"), rules))
-        .drop("_key")
-    )
+    return df.withColumn(into, category_of_key(quality_key(F.col(name)), rules))
 
 
 def keyword_table(rules: DataFrame) -> DataFrame:

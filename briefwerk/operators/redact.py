@@ -21,37 +21,26 @@ COUNT_COLUMNS = {label: count_column(label) for label in r.LABELS}
 def redact(df: DataFrame, text: str = "text", blocklist: tuple[str, ...] = ()) -> DataFrame:
     """Add ``redacted_text`` and one count column per label.
 
-    Each rule works on the text the rule before it left. The stages are columns of
-    their own, so every text is scanned once per rule, and counts nobody reads
-    are pruned.
+    Each rule works on the text the rule before it left; every text is scanned once per
+    rule that may match, and the hits are counted from the labels put in.
     """
     if len(blocklist) > MAX_INLINE_TERMS:
         raise ValueError("pass long lists as a table: operators.blocklist.redact_terms")
-    kept = df.columns
-    counts = {}
-    stage, out = text, df.withColumn("_has_digit", F.col(text).rlike(r.HAS_DIGIT))
-    for i, label in enumerate(r.PATTERNS):
-        after = f"_stage{i}"
-        out = out.withColumn(after, r.redact_rule(F.col(stage), label, F.col("_has_digit")))
-        counts[label] = r.count_inserted(F.col(stage), F.col(after), label)
-        stage = after
+    out = df.withColumn("_chain", r.chain(F.col(text)))
+    final, hits = F.col("_chain.text"), F.lit(0)
     if blocklist:
         patterns = F.array(*[F.lit(r.term_pattern(term)) for term in blocklist])
         # if no term occurs before the first replacement, none is ever inserted
-        out = out.withColumn("_listed", F.col(stage).rlike(r.any_term_pattern(blocklist)))
-        folded, hits = r.fold_terms(F.col(stage), patterns)
+        listed = F.col("_chain.text").rlike(r.any_term_pattern(blocklist))
         out = out.withColumn(
-            "_folded",
-            F.when(F.col("_listed"), F.struct(folded.alias("text"), hits.alias("hits"))),
+            "_folded", F.when(listed, r.fold_terms(F.col("_chain.text"), patterns))
         )
-        final = F.when(F.col("_listed"), F.col("_folded.text")).otherwise(F.col(stage))
-        hits = F.coalesce(F.col("_folded.hits"), F.lit(0))
-    else:
-        final, hits = F.col(stage), F.lit(0)
+        final = F.coalesce("_folded.text", "_chain.text")
+        hits = F.coalesce("_folded.hits", F.lit(0))
     return out.select(
-        *kept,
+        *df.columns,
         final.alias("redacted_text"),
-        *[F.coalesce(n, F.lit(0)).alias(COUNT_COLUMNS[label]) for label, n in counts.items()],
+        *[F.coalesce(F.col("_chain")[label], F.lit(0)).alias(COUNT_COLUMNS[label]) for label in r.PATTERNS],
         hits.alias(COUNT_COLUMNS[fixed.BLOCKLIST_LABEL]),
     )
 

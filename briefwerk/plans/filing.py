@@ -1,6 +1,6 @@
 """A whole run: letters in, outcomes, log rows and filing manifest out."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -16,7 +16,7 @@ def analyse(letters: DataFrame, blocklist: tuple[str, ...] = ()) -> DataFrame:
     return route(redact(letters, "text", blocklist))
 
 
-def _phases() -> F.Column:
+def _phases() -> Column:
     """Seconds per phase, as far as a letter got."""
     hybrid = F.col("engine") == fixed.HYBRID
     analysed = F.col("status").isin("renamed", "unrecognized")

@@ -8,6 +8,8 @@ and the checking engine read alike; ``SQL`` is the same derivation as one statem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
+
 _NL = "chr(10)"
 
 
@@ -195,6 +197,20 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.selectExpr(*_COLUMNS)
 
 
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def letter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters as a table: written to the shared folder once per application, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    derived = letters(spark, sf_dir)
+    if key not in _TABLES:
+        path = fresh_path(spark, "letters")
+        derived.write.parquet(path)
+        _TABLES[key] = path
+    return spark.read.schema(derived.schema).parquet(_TABLES[key])
+
+
 # --- run-log rows from the event table -------------------------------------------------------
 
 _LOG_FACTS = [

@@ -1,14 +1,23 @@
 """Reports over the run log, as tidy tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..operators.scoring import calibration, model_accuracy, model_cost, rename_quality
 
-_COST = F.col("cost_chf").cast("decimal(28,9)")
-_TIME = F.col("elapsed_s").cast("decimal(28,6)")
-_TIMED = F.col("elapsed_s") > 0
+
+# money and seconds are summed as decimals: the order of the rows does not show in the result
+def _cost() -> Column:
+    return F.col("cost_chf").cast("decimal(28,9)")
+
+
+def _time() -> Column:
+    return F.col("elapsed_s").cast("decimal(28,6)")
+
+
+def _timed() -> Column:
+    return F.col("elapsed_s") > 0
 
 
 def _domain(log: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
@@ -56,11 +65,11 @@ def error_reasons(log: DataFrame) -> DataFrame:
 
 def timing_stats(log: DataFrame) -> DataFrame:
     """Over rows with a time above zero; NULL minimum and maximum, zero average without any."""
-    return log.where(_TIMED).agg(
+    return log.where(_timed()).agg(
         F.min("elapsed_s").alias("min_s"),
         F.max("elapsed_s").alias("max_s"),
-        F.coalesce(F.sum(_TIME).cast("double") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("avg_s"),
-        F.coalesce(F.sum(_TIME).cast("double"), F.lit(0.0)).alias("total_s"),
+        F.coalesce(F.sum(_time()).cast("double") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("avg_s"),
+        F.coalesce(F.sum(_time()).cast("double"), F.lit(0.0)).alias("total_s"),
     )
 
 
@@ -81,7 +90,7 @@ def phase_stats(log: DataFrame) -> DataFrame:
 
 def cost_totals(log: DataFrame) -> DataFrame:
     """Total cost and cost per row, rows without cost included."""
-    total = F.coalesce(F.sum(_COST).cast("double"), F.lit(0.0))
+    total = F.coalesce(F.sum(_cost()).cast("double"), F.lit(0.0))
     return log.agg(total.alias("total_chf"), F.try_divide(total, F.count("*")).alias("avg_chf"))
 
 
@@ -89,12 +98,12 @@ def run_summary(outcomes: DataFrame) -> DataFrame:
     """Counters of a run; whatever is none of the first three statuses was skipped."""
     status = F.col("status")
     three = fixed.TERMINAL_STATUSES
-    exact = F.sum(_TIME).cast("double")
+    exact = F.sum(_time()).cast("double")
     return outcomes.agg(
         F.count("*").alias("processed"),
         *[F.count_if(status == s).alias(s) for s in three],
         F.count_if(~F.coalesce(status, F.lit("")).isin(*three)).alias("skipped"),
-        F.coalesce(F.sum(_COST).cast("double"), F.lit(0.0)).alias("total_chf"),
+        F.coalesce(F.sum(_cost()).cast("double"), F.lit(0.0)).alias("total_chf"),
         exact.alias("total_s"),
         (exact / F.nullif(F.count("*"), F.lit(0))).alias("avg_s"),
     )
@@ -118,11 +127,11 @@ def run_report(log: DataFrame, expectations: DataFrame | None = None) -> DataFra
         F.coalesce("error_reason", F.lit("")).alias("error"),
     ).agg(
         F.count("*").alias("n"),
-        F.sum(_COST).alias("cost"),
-        F.count_if(_TIMED).alias("n_timed"),
-        F.min(F.when(_TIMED, F.col("elapsed_s"))).alias("min_s"),
-        F.max(F.when(_TIMED, F.col("elapsed_s"))).alias("max_s"),
-        F.sum(F.when(_TIMED, _TIME)).alias("sum_s"),
+        F.sum(_cost()).alias("cost"),
+        F.count_if(_timed()).alias("n_timed"),
+        F.min(F.when(_timed(), F.col("elapsed_s"))).alias("min_s"),
+        F.max(F.when(_timed(), F.col("elapsed_s"))).alias("max_s"),
+        F.sum(F.when(_timed(), _time())).alias("sum_s"),
     )
     places = [("status", F.col("status")), ("confidence", F.col("confidence")),
               ("category", F.col("category")), ("error", F.col("error")), ("run", F.lit("all"))]
@@ -146,7 +155,8 @@ def run_report(log: DataFrame, expectations: DataFrame | None = None) -> DataFra
     )
     known = F.col("key").isin(*fixed.STATUSES, *fixed.CONFIDENCES) | ~F.col("section").isin("status", "confidence")
     sections = sections.where(known)
-    total = F.max(F.when(F.col("section") == "run", F.col("n"))).over(_one_window())
+    # over the finished sections: a few dozen rows, whatever the size of the log
+    total = F.max(F.when(F.col("section") == "run", F.col("n"))).over(Window.partitionBy(F.lit(1)))
     n = F.col("n").cast("double")
 
     def metric(when, name, value):
@@ -177,13 +187,6 @@ def run_report(log: DataFrame, expectations: DataFrame | None = None) -> DataFra
     return report
 
 
-def _one_window():
-    from pyspark.sql import Window
-
-    # over the finished sections: a few dozen rows, whatever the size of the log
-    return Window.partitionBy(F.lit(1))
-
-
 def _rows(df: DataFrame, section: str, key: str) -> DataFrame:
     """A wide table as metric rows."""
     names = [c for c in df.columns if c != key]
