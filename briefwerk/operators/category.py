@@ -81,15 +81,9 @@ def assign_category_by_table(
         rules.agg(F.max_by("category", "priority").alias("last")).first().last or fixed.FALLBACK_CATEGORY
     )
     lengths = sorted(n for n in size.lengths if 0 < n <= fixed.NAME_MAX_CHARS)
-    key = F.col("_key")
-    parts = F.array().cast("array<string>")
-    for n in lengths:
-        starts = F.when(
-            F.length(key) >= n, F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1)))
-        ).otherwise(F.array().cast("array<int>"))
-        parts = F.concat(parts, F.transform(starts, lambda i, n=n: F.substring(key, i, F.lit(n))))
-    # an empty keyword occurs in every name
-    parts = F.array_distinct(F.concat(parts, F.array(F.lit(""))))
+    # all pieces of each length, overlapping, in one pass; an empty keyword occurs in every name
+    pieces = [F.regexp_extract_all("_key", F.lit(rf"(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    parts = F.array_distinct(F.concat(F.array(F.lit("")), *pieces))
     looked_up = df.select(id, quality_key(F.col(name)).alias("_key")).select(
         id, F.explode(parts).alias("keyword")
     )

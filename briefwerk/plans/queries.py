@@ -379,8 +379,7 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 def running_eta(spark, sf):
     """Average time so far and time left, per engine's run."""
     log = run_log(spark, sf).select("engine", "event_id", "elapsed_s")
-    done = runlog.running_eta(log, "engine", "event_id")
-    return _rounded(done, "avg_s", "eta_s", digits=4)
+    return runlog.running_eta(log, "engine", "event_id")
 
 
 def status_distribution(spark, sf):
