@@ -43,11 +43,12 @@ def ascii_fold(text: Column) -> Column:
     single, several = _ascii_readings()
     listed = "\x01".join(f"{char}\x02{reading}" for char, reading in several.items())
     readings = F.str_to_map(F.lit(listed), F.lit("\x01"), F.lit("\x02"))
-    wide = "[" + "".join(several) + "]"
 
     def spelled(folded: Column) -> Column:
         chars = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(readings, c), c))
-        return F.when(folded.rlike(wide), F.array_join(chars, "")).otherwise(folded)
+        # translate looks characters up in a table; a pattern would try hundreds one by one
+        has_several = F.translate(folded, "".join(several), "") != folded
+        return F.when(has_several, F.array_join(chars, "")).otherwise(folded)
 
     def fold(raw: Column) -> Column:
         plain = once(F.translate(raw, "".join(single), "".join(single.values())), spelled)
@@ -120,7 +121,8 @@ def letter_date(text: Column) -> Column:
     The day is checked against 1..31 only, so the result stays a string.
     """
     head = F.substring(text, 1, fixed.LETTER_HEAD_CHARS)
-    pattern = java(fixed.LETTER_DATE, ignore_case=True)
+    # no letter may precede the place name: a match could as well have begun there
+    pattern = java("(?<![A-ZÄÖÜ])" + fixed.LETTER_DATE, ignore_case=True)
     # one search: the three groups come back as "day|month|year"
     found = F.split(
         F.regexp_replace(F.regexp_substr(head, F.lit(pattern)), pattern, r"$1|$2|$3"), r"\|"

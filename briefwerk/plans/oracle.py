@@ -139,13 +139,15 @@ def _month(name: str) -> str:
     return f"coalesce({_MONTHS.replace('{m}', folded)}, {_MONTHS.replace('{m}', raw)})"
 
 
-def _letter_date(text: str) -> str:
+def _dated(source: str, text: str, into: str) -> str:
+    """source plus the date in the head of a text."""
     head = f"substr({text}, 1, {fixed.LETTER_HEAD_CHARS})"
-    day, month, year = (f"regexp_extract({head}, {_DATE}, {i})" for i in (1, 2, 3))
-    y, d, m = f"try_cast({year} as int)", f"try_cast({day} as int)", _month(month)
+    a = f"select *, regexp_extract({head}, {_DATE}, ['d', 'm', 'y']) as g from ({source})"
+    b = f"select *, try_cast(g.y as int) as yy, try_cast(g.d as int) as dd, {_month('g.m')} as mm from ({a})"
     return (
-        f"case when {m} is not null and {y} between {fixed.YEAR_MIN} and {fixed.YEAR_MAX} and {d} between 1 and 31 "
-        f"then cast({y} as varchar) || lpad(cast({m} as varchar), 2, '0') || lpad(cast({d} as varchar), 2, '0') end"
+        f"select *, case when mm is not null and yy between {fixed.YEAR_MIN} and {fixed.YEAR_MAX} "
+        f"and dd between 1 and 31 then cast(yy as varchar) || lpad(cast(mm as varchar), 2, '0') "
+        f"|| lpad(cast(dd as varchar), 2, '0') end as {into} from ({b})"
     )
 
 
@@ -201,9 +203,8 @@ from (
          when analysis_message is not null then 'analyse:' || {_error_class('analysis_message', 'analysis_type')}
          when answer_error is not null then 'analyse:' || answer_error
          else '' end as stop,
-    {_with_hint('date0', 'hint')} as date
-  from (select *, case when engine = 'ollama' then {_letter_date('redacted_text')} end as hint
-        from ({_answers(_REDACTED)}))
+    {_with_hint('date0', "case when engine = 'ollama' then hint end")} as date
+  from ({_dated(_answers(_REDACTED), 'redacted_text', 'hint')})
 )"""
 _OUTCOMES = f"""
 select *, case status when 'renamed' then 'high' when 'unrecognized' then 'low' else 'n/a' end as confidence,
@@ -279,11 +280,11 @@ select file, case when k % 6 = 0 then [] else ['Niemand', split_part(sender_line
 from ({LETTERS})"""
 _A, _B, _C = (label for _, label, _ in Q.MODELS)
 _ANSWERED = f"""
-select file, text, redacted_text, m.model, input_tokens, output_tokens, t_extract,
+select file, text, hint, m.model, input_tokens, output_tokens, t_extract,
   case m.model when '{_B}' then replace(response, label, 'Rechnung')
     when '{_C}' then replace(response, '"unknown"', '"20240101"') else response end as response,
   case when m.model = '{_B}' then analysis_message end as model_error
-from ({_REDACTED}), (values ('{_A}'), ('{_B}'), ('{_C}')) m(model)"""
+from ({_dated(_REDACTED, 'redacted_text', 'hint')}), (values ('{_A}'), ('{_B}'), ('{_C}')) m(model)"""
 
 
 def _any_match(expected: str, actual: str) -> str:
@@ -308,7 +309,7 @@ from (
     case when exp_date <> '' then coalesce(date = exp_date, false) end as date_ok0,
     case when {_BLANK} then 'no-text' when model_error is not null then substr(model_error, 1, 100) else answer_error end as error
   from (
-    select *, case when contains(model, '(ollama)') then {_with_hint('date0', _letter_date('redacted_text'))} else date0 end as date
+    select *, case when contains(model, '(ollama)') then {_with_hint('date0', 'hint')} else date0 end as date
     from ({_answers(_ANSWERED)}) join ({_EXPECTED}) using (file)))"""
 
 
@@ -370,8 +371,8 @@ select file, nullif(regexp_replace(regexp_replace(regexp_replace({_LINE}, '{_SPA
          case when {_period(3)} <> '' then {_period(3)} || lpad({_period(2)}, 2, '0') || lpad({_period(1)}, 2, '0') end
        when {_TYPE} in ({', '.join(map(_lit, _KINDS['certificate']))}) then
          nullif(regexp_extract(text, '(?i)(?:Vorsorgeausweis|Jahresabschluss)[^0-9]{{0,20}}(20[0-9]{{2}})', 1), '') || '1231'
-       else {_letter_date('text')} end as date
-from ({LETTERS})"""
+       else head_date end as date
+from ({_dated(LETTERS, 'text', 'head_date')})"""
 _STREAM_LAST = "(select max(ts) from log) - interval 2 hour"
 
 ORACLE = {
@@ -410,7 +411,7 @@ ORACLE = {
         select engine, label, count(*) as n from (
           select engine, unnest(regexp_extract_all(anonymized_text, {_lit(fixed.PLACEHOLDER)})) as label from ({LETTERS}))
         group by all""",
-    "letter_dates": f"select file, {_letter_date('text')} as letter_date from ({LETTERS})",
+    "letter_dates": f"select file, letter_date from ({_dated(LETTERS, 'text', 'letter_date')})",
     "month_numbers": f"""
         select month_name, cast({_month('month_name')} as bigint) as month_no, count(*) as n from (
           select regexp_extract(text, '\\n[^\\n]*, [0-9]{{1,2}}\\. (\\S+) [0-9]{{4}}\\n', 1) as month_name from ({LETTERS}))
@@ -449,11 +450,11 @@ ORACLE = {
         from ({_answers(LETTERS)})""",
     "date_override": f"""
         select file, hint, {_with_hint('date0', 'hint')} as date
-        from (select *, {_letter_date('text')} as hint from ({_answers(LETTERS)}))""",
+        from ({_dated(_answers(LETTERS), 'text', 'hint')})""",
     "request_table": f"""
         select file, engine, concat_ws(chr(10) || chr(10), {_lit(q.INSTRUCTIONS)},
-          case when engine = 'ollama' then 'The letter head shows the date ' || {_letter_date('sent')} || '.' end, sent) as request
-        from (select *, case when engine = 'hybrid' then anonymized_text else redacted_text end as sent from ({_REDACTED}))
+          case when engine = 'ollama' then 'The letter head shows the date ' || hint || '.' end, sent) as request
+        from ({_dated(f"select *, case when engine = 'hybrid' then anonymized_text else redacted_text end as sent from ({_REDACTED})", 'sent', 'hint')})
         where read_message is null and not {_BLANK}
           and (engine <> 'hybrid' or {_leaks('anonymized_text')} = '')""",
     "token_cost": f"select file, round({_COST}, 9) as cost_chf from ({LETTERS})",

@@ -40,19 +40,21 @@ def sorted_rows(rows, columns):
 
 
 def differences(spark, con, name, query, sql, sf_dir, limit=3):
-    """What differs between the two engines; empty if nothing does."""
+    """(what differs between the two engines, rows, seconds of the SQL)."""
     df = query(spark, sf_dir)
     got = sorted_rows([tuple(r) for r in df.collect()], df.columns)
+    started = time.time()
     cursor = con.execute(sql)
     columns = [c[0] for c in cursor.description]
     want = sorted_rows(cursor.fetchall(), columns)
+    sql_seconds = time.time() - started
     if sorted(df.columns) != sorted(columns):
-        return [f"columns {sorted(df.columns)} and {sorted(columns)}"], len(got)
+        return [f"columns {sorted(df.columns)} and {sorted(columns)}"], len(got), sql_seconds
     found = [] if len(got) == len(want) else [f"{len(got)} and {len(want)} rows"]
     differing = [(a, b) for a, b in zip(got, want) if a != b]
     if differing:
         found.append(f"{len(differing)} rows differ, as {differing[:limit]}")
-    return found, len(got)
+    return found, len(got), sql_seconds
 
 
 def main() -> int:
@@ -69,11 +71,11 @@ def main() -> int:
             print(f"{name:28s} no SQL", flush=True)
             continue
         try:
-            found, n = differences(spark, con, name, QUERIES[name], ORACLE[name], sf_dir)
+            found, n, sql = differences(spark, con, name, QUERIES[name], ORACLE[name], sf_dir)
         except Exception as error:  # report and go on with the next query
-            found, n = [f"{type(error).__name__}: {str(error)[:700]}"], -1
+            found, n, sql = [f"{type(error).__name__}: {str(error)[:700]}"], -1, 0.0
         bad += bool(found)
-        print(f"{name:28s} {n:7d} rows {time.time() - start:6.1f}s {'ok' if not found else found}", flush=True)
+        print(f"{name:28s} {n:7d} rows {time.time() - start:6.1f}s (SQL {sql:5.1f}s) {'ok' if not found else found}", flush=True)
     print(f"{bad} differ")
     return bad
 
