@@ -29,6 +29,21 @@ def request_text(text: Column, date_hint: Column | None = None, instructions: st
     return F.concat_ws("\n\n", *parts, text)
 
 
+def _strict_json(text: Column) -> Column:
+    """The JSON value of a text, NULL if anything else follows it.
+
+    The parser stops after the first value, so the text is read as the only element of a
+    list and as a field: nothing can follow a value that suits both.
+    """
+    as_field = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+
+    def only(listed: Column) -> Column:
+        alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & as_field.isNotNull()
+        return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+    return once(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), only)
+
+
 def _field(answer: Column, key: str, default: str) -> Column:
     """A key of the answer as Python's ``str`` would print it."""
     path = f"$.{key}"
@@ -72,9 +87,8 @@ def parse_response(response: Column) -> Column:
 
     def parse(raw: Column) -> Column:
         fragment = F.regexp_substr(raw, F.lit(r"(?s)\{[^{}]+\}"))
-        whole = F.try_parse_json(raw)
         return once(
-            whole,
+            _strict_json(raw),
             lambda a: F.when(a.isNotNull(), typed(a, F.lit(True))).otherwise(once(fragment, search)),
         )
 

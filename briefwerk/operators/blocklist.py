@@ -20,7 +20,8 @@ _SALTS = 16
 
 def fold_case(text: Column) -> Column:
     """Equal for texts that a case-insensitive search takes for equal (and for some others)."""
-    return F.translate(F.lower(F.upper(F.translate(text, "İ", "i"))), "ς", "σ")
+    # the optimizer would drop an upper() right inside a lower(), and with it "ſ" for "s"
+    return F.translate(F.lower(F.translate(F.upper(text), "İ", "I")), "ς", "σ")
 
 
 def _pattern(term: Column) -> Column:

@@ -54,6 +54,15 @@ def redaction_map() -> Column:
     return F.map_filter(full, lambda _, n: n > 0)
 
 
+def redaction_rows(df: DataFrame, *id: str) -> DataFrame:
+    """The count columns as rows (id, label, n), labels without a hit left out."""
+    # outer: a plain explode would be preceded by a filter that computes the map a second time
+    rows = df.select(*id, redaction_map().alias("_counts")).select(
+        *id, F.explode_outer("_counts").alias("label", "n")
+    )
+    return rows.where("label IS NOT NULL")
+
+
 def map_total(counts: Column) -> Column:
     """Sum of the values of a count map."""
     return F.aggregate(F.map_values(counts), F.lit(0).cast("bigint"), lambda a, n: a + n)

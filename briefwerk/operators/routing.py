@@ -95,8 +95,10 @@ def may_leave(df: DataFrame) -> DataFrame:
     outgoing = F.when(F.col("engine") == fixed.HYBRID, F.col("anonymized_text")).otherwise(
         F.col("redacted_text")
     )
+    # redacted text went through the rules; only anonymised text has to be checked
     clean = F.when(
-        F.col("engine") == fixed.HYBRID, r.leak_labels(F.coalesce(outgoing, F.lit(""))) == ""
+        F.col("engine") == fixed.HYBRID,
+        r.leak_labels(F.coalesce("anonymized_text", F.lit(""))) == "",
     ).otherwise(F.lit(True))
     return (
         df.where(F.col("read_message").isNull() & ~is_blank(F.col("text")) & clean)

@@ -82,8 +82,8 @@ def redact_conversations(spark, sf):
 
 def redaction_map(spark, sf):
     """The count map of each letter, one row per label."""
-    done = redact.redact(letter_table(spark, sf)).select("file", redact.redaction_map().alias("counts"))
-    return done.select("file", F.explode("counts").alias("label", "n")).withColumn("n", _long(F.col("n")))
+    done = redact.redaction_rows(redact.redact(letter_table(spark, sf)), "file")
+    return done.withColumn("n", _long(F.col("n")))
 
 
 def redaction_totals(spark, sf):
