@@ -45,13 +45,16 @@ def candidates(df: DataFrame, terms: DataFrame, id: str, text: str) -> DataFrame
     begun = _beginnings(listed).select("line_no", "term", "_gram")
     folded = df.select(id, fold_case(F.col(text)).alias("_text"))
     # all overlapping pieces in one linear pass per length
+    size = begun.agg(
+        F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars"),
+        F.collect_set(F.length("_gram")).alias("lengths"),  # at most those of _LENGTHS
+    ).first()
     grams = F.array().cast("array<string>")
-    for n in _LENGTHS:
+    for n in sorted(size.lengths):
         pieces = F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
         grams = F.concat(grams, F.array_distinct(pieces))
-    pieces = folded.select(id, F.explode(grams).alias("_gram"))
-    chars = listed.agg(F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("n")).first().n
-    if chars <= MAX_BROADCAST_CHARS:
+    pieces = folded.select(id, F.explode_outer(grams).alias("_gram"))
+    if size.chars <= MAX_BROADCAST_CHARS:
         hits = pieces.join(F.broadcast(begun), "_gram")
     else:
         # frequent pieces must not fill one task: spread them, and repeat the terms

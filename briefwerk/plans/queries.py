@@ -13,7 +13,7 @@ from ..functions import requests as q
 from ..functions import text as t
 from ..operators import blocklist, category, extract, naming, redact, routing, runlog, scoring
 from ..schemas import DOCUMENTS, EVENTS
-from ..session import fresh_path
+from ..session import fresh_path, spread
 from ..sources import files, sinks
 from ..streaming import jobs
 from . import evaluation, filing, reports
@@ -29,6 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def _long(n: Column) -> Column:
     return n.cast("bigint")
 
@@ -37,7 +41,7 @@ def _long(n: Column) -> Column:
 
 def redaction_counts_by_lang(spark, sf):
     """Redaction hits per language and label over the document corpus."""
-    return redact.redaction_summary(_table(spark, sf, "documents"), "lang")
+    return redact.redaction_summary(_documents(spark, sf), "lang")
 
 
 def redaction_counts_by_engine(spark, sf):
@@ -67,7 +71,7 @@ def redact_chain(spark, sf):
 
 def redact_documents(spark, sf):
     """All rules in order on each document of the corpus."""
-    return redact.redact(_table(spark, sf, "documents")).select("doc_id", "redacted_text", *_chain_columns())
+    return redact.redact(_documents(spark, sf)).select("doc_id", "redacted_text", *_chain_columns())
 
 
 def redact_pages(spark, sf):
@@ -113,7 +117,7 @@ def benchmark_terms(spark, sf):
 
 def blocklist_table_redact(spark, sf):
     """A blocklist held in a table, looked up in the documents by parts."""
-    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf).select("doc_id", "text")
     done = blocklist.redact_terms(docs, benchmark_terms(spark, sf), "doc_id", "text")
     return done.select("doc_id", "redacted_text", _long(F.col("n_name")).alias("n_name"))
 
@@ -132,7 +136,7 @@ def leak_verify(spark, sf):
 
 def leak_verify_documents(spark, sf):
     """Leak labels of the documents as they are."""
-    return _table(spark, sf, "documents").select("doc_id", r.leak_labels(F.col("text")).alias("labels"))
+    return _documents(spark, sf).select("doc_id", r.leak_labels(F.col("text")).alias("labels"))
 
 
 def placeholder_tally(spark, sf):
@@ -157,12 +161,12 @@ def month_numbers(spark, sf):
 
 def ascii_part(spark, sf):
     """Whole documents as portable name parts."""
-    return _table(spark, sf, "documents").select("doc_id", t.ascii_part(F.col("text")).alias("part"))
+    return _documents(spark, sf).select("doc_id", t.ascii_part(F.col("text")).alias("part"))
 
 
 def safe_filename(spark, sf):
     """Portable file names from whole documents."""
-    return _table(spark, sf, "documents").select("doc_id", t.safe_filename(F.col("text")).alias("name"))
+    return _documents(spark, sf).select("doc_id", t.safe_filename(F.col("text")).alias("name"))
 
 
 def quality_keys(spark, sf):
@@ -191,7 +195,7 @@ def unique_names(spark, sf):
 
 
 def _sources(spark, sf):
-    return _table(spark, sf, "documents").select(
+    return _documents(spark, sf).select(
         "doc_id", F.lit("inbox").alias("dir"), F.concat("source", F.lit(".txt")).alias("name")
     )
 
@@ -236,7 +240,7 @@ def category_by_table(spark, sf):
 
 def category_documents(spark, sf):
     """Topics of whole documents, counted per language."""
-    topics = category.assign_category(_table(spark, sf, "documents"), "text").groupBy("lang", "category")
+    topics = category.assign_category(_documents(spark, sf), "text").groupBy("lang", "category")
     return topics.agg(F.count("*").alias("n"))
 
 
@@ -490,7 +494,7 @@ def eval_report(spark, sf):
 
 def label_calibration(spark, sf):
     """Do letters that redaction leaves untouched carry the good-quality label?"""
-    docs = redact.redact(_table(spark, sf, "documents")).select(
+    docs = redact.redact(_documents(spark, sf)).select(
         "doc_id", (redact.redaction_total() == 0).alias("untouched")
     )
     results = docs.join(_table(spark, sf, "labels"), "doc_id").select(

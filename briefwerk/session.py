@@ -41,6 +41,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Give a table that was read from few files to all cores.
+
+    Text work is bound by the processor, and one small file makes one task. A table with
+    at least as many partitions as there are cores stays as it is: no shuffle at scale.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
