@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.once import once
 from ..functions.text import name_stem, name_suffix, safe_filename
 from ..session import settle
 from .running import running
@@ -35,12 +36,11 @@ class Scheme:
     suffix: Callable[[Column], Column]
     room: int | None  # characters for stem and marker, None if never cut
 
-    def key(self, base: Column, marker_chars: int) -> Column:
+    def key(self, stem: Column, suffix: Column, marker_chars: int) -> Column:
         """What all names of a family share before and after a marker of that length."""
-        stem = self.stem(base)
         if self.room:
             stem = F.rtrim(F.substring(stem, 1, self.room - marker_chars), F.lit("-"))
-        return F.concat(stem, F.lit("/"), self.suffix(base))
+        return F.concat(stem, F.lit("/"), suffix)
 
     def name(self, base: Column, slot: Column) -> Column:
         marker = F.concat(F.lit("-"), slot.cast("string"))
@@ -51,43 +51,49 @@ class Scheme:
         return F.when(slot == 1, base).otherwise(F.concat(stem, marker, self.suffix(base)))
 
 
-RENAMED = Scheme(name_stem, lambda _: F.lit(fixed.SUFFIX), fixed.NAME_MAX_CHARS - len(fixed.SUFFIX))
+RENAMED = Scheme(
+    lambda name: F.left(name, F.length(name) - len(fixed.SUFFIX)),
+    lambda _: F.lit(fixed.SUFFIX),
+    fixed.NAME_MAX_CHARS - len(fixed.SUFFIX),
+)
 ORIGINAL = Scheme(name_stem, name_suffix, None)
 
 
 def _as_member(name: Column, scheme: Scheme) -> Column:
     """A name read as "family key + number", NULL if it does not end in a number from 2."""
-    stem = scheme.stem(name)
-    number = F.regexp_extract(stem, r"(?s)\A.+-([1-9][0-9]{0,9})\z", 1)
-    return F.when(
-        # "x-2" without a suffix is no member: members are always spelled with one
-        (number != "") & (number != "1") & (name == F.concat(stem, scheme.suffix(name))),
-        F.struct(
-            F.concat(
-                F.regexp_replace(stem, r"-[1-9][0-9]*\z", ""), F.lit("/"), scheme.suffix(name)
-            ).alias("key"),
-            (F.length(number) + 1).alias("marker"),
-            number.try_cast("bigint").alias("slot"),
-        ),
-    )
+
+    def read(stem: Column) -> Column:
+        def numbered(number: Column) -> Column:
+            front = F.left(stem, F.length(stem) - F.length(number) - 1)
+            # "x-2" without a suffix is no member: members are always spelled with one
+            spelled = name == F.concat(stem, scheme.suffix(name))
+            return F.when(
+                (number != "") & (number != "1") & (front != "") & spelled,
+                F.struct(
+                    F.concat(front, F.lit("/"), scheme.suffix(name)).alias("key"),
+                    (F.length(number) + 1).alias("marker"),
+                    number.cast("bigint").alias("slot"),
+                ),
+            )
+
+        return once(F.regexp_extract(stem, r"-([1-9][0-9]{0,9})\z", 1), numbered)
+
+    return once(scheme.stem(name), read)
 
 
 def _keys(families: DataFrame, scheme: Scheme) -> DataFrame:
     """One row per family and key; short stems share one key for all marker lengths."""
-    long_stem = (
-        F.length(scheme.stem(F.col("base"))) > scheme.room - _LONGEST_MARKER
-        if scheme.room
-        else F.lit(False)
-    )
-    whole = F.struct(F.lit(0).alias("marker"), scheme.key(F.col("base"), 0).alias("key"))
-    cuts = F.array(
-        *[
-            F.struct(F.lit(m).alias("marker"), scheme.key(F.col("base"), m).alias("key"))
-            for m in range(2, _LONGEST_MARKER + 1)
-        ]
-    )
-    keyed = F.explode(F.when(long_stem, cuts).otherwise(F.array(whole))).alias("_key")
-    return families.select("*", keyed).select("*", "_key.marker", "_key.key").drop("_key")
+    stem, suffix = F.col("stem"), F.col("suffix")
+
+    def entry(marker: int) -> Column:
+        return F.struct(F.lit(marker).alias("marker"), scheme.key(stem, suffix, marker).alias("key"))
+
+    keys = F.array(entry(0))
+    if scheme.room:
+        cuts = F.array(*[entry(m) for m in range(2, _LONGEST_MARKER + 1)])
+        keys = F.when(F.length(stem) > scheme.room - _LONGEST_MARKER, cuts).otherwise(keys)
+    keyed = families.select("*", F.explode_outer(keys).alias("_key"))
+    return keyed.select("*", "_key.marker", "_key.key").drop("_key", "stem", "suffix", "member")
 
 
 def _both_markers(members: DataFrame) -> DataFrame:
@@ -112,7 +118,7 @@ def _taken_slots(families: DataFrame, taken: DataFrame, scheme: Scheme) -> DataF
         .agg(F.min("slot").alias("from"), F.max("slot").alias("to"))
     )
     held = (
-        _keys(families.select("dir", "base"), scheme)
+        _keys(families.select("dir", "base", "stem", "suffix"), scheme)
         .join(_both_markers(runs), ["dir", "key", "marker"])
         .select("dir", "base", "from", "to")
     )
@@ -128,11 +134,10 @@ def _meeting(families: DataFrame, held: DataFrame | None, scheme: Scheme) -> Dat
     else:
         known = known.withColumn("lost", F.lit(0).cast("bigint"))
     keyed = _keys(known.withColumn("lost", F.coalesce("lost", F.lit(0))), scheme)
-    members = families.select("dir", "base", _as_member(F.col("base"), scheme).alias("m")).where(
-        "m IS NOT NULL"
-    )
     members = _both_markers(
-        members.select("dir", F.col("base").alias("member"), "m.key", "m.marker", "m.slot")
+        families.where("member IS NOT NULL").select(
+            "dir", F.col("base").alias("member"), "member.key", "member.marker", "member.slot"
+        )
     )
     on = ["dir", "key", "marker"]
     # how far the families of a key can reach if everything that might be lost is lost
@@ -190,6 +195,7 @@ def _slots(ranked: DataFrame, lost: DataFrame | None) -> DataFrame:
         F.lit(0).cast("bigint"),
         lambda total, s: total + F.when(s["rank"] <= F.col("rank"), s["by"]).otherwise(0),
     )
+    # one row per family on the right: a hot family is split by the adaptive skew join
     joined = ranked.join(_shifts(lost), ["dir", "base"], "left")
     return joined.withColumn("slot", F.col("rank") + F.coalesce(moved, F.lit(0))).drop("shifts")
 
@@ -254,7 +260,19 @@ def allocate(
         F.col(order).alias("_order"),
         F.col("_rank").alias("rank"),
     )
-    families = settle(slim.groupBy("dir", "base").agg(F.count("*").alias("files")), "families")
+    asked_base = F.col("base")
+    families = settle(
+        slim.groupBy("dir", "base")
+        .agg(F.count("*").alias("files"))
+        .withColumns(
+            {
+                "stem": scheme.stem(asked_base),
+                "suffix": scheme.suffix(asked_base),
+                "member": _as_member(asked_base, scheme),
+            }
+        ),
+        "families",
+    )
     held = None
     if taken is not None:
         held = settle(_taken_slots(families, taken, scheme), "held")

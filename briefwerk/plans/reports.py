@@ -37,12 +37,11 @@ def status_distribution(log: DataFrame) -> DataFrame:
         F.col("total").alias("n"),
     )
     rows = known.select("place", "status", F.coalesce("n", F.lit(0)).alias("n")).unionByName(all_rows)
-    # one total row: a broadcast of a single row
-    return rows.join(F.broadcast(total)).select(
+    return rows.select(
         "place",
         "status",
         F.col("n").cast("bigint").alias("n"),
-        F.try_divide(F.col("n"), F.col("total")).alias("share"),
+        F.try_divide(F.col("n"), total.scalar()).alias("share"),
     )
 
 
