@@ -7,7 +7,6 @@ same queries as SQL.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import fixed
 from ..functions import redaction as r
 from ..functions import requests as q
 from ..functions import text as t
