@@ -1,10 +1,16 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
 from .decontaminate import OP8_SQL, op8_decontaminate
+from .jaccard import OP9_SQL, op9_jaccard
+from .mixture import OP5_SQL, op5_mixture
 
 QUERIES = {
+    "op5_mixture": op5_mixture,
     "op8_decontaminate": op8_decontaminate,
+    "op9_jaccard": op9_jaccard,
 }
 ORACLE = {
+    "op5_mixture": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op9_jaccard": OP9_SQL,
 }
