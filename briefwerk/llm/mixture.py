@@ -153,8 +153,8 @@ planned AS (SELECT s, tokens, exp(a * ln(share)) / z AS w, CAST(round(exp(a * ln
 passes AS (SELECT p.*, unnest(generate_series(0, CAST(ceil(budget / CAST(tokens AS DOUBLE)) AS BIGINT) - 1)) AS pass FROM planned p WHERE budget > 0),
 used AS (SELECT c.*, p.* EXCLUDE (s), md5(pass || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM counted c JOIN passes p USING (s)),
 placed AS (SELECT *, pass * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY s, pass ORDER BY key, n_tokens
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM used),
-cut AS (SELECT *, CAST(CAST(at AS HUGEINT) * blocks // budget AS BIGINT) AS block FROM placed WHERE at < budget)
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM used),
+cut AS (SELECT *, CAST(CAST(begins AS HUGEINT) * blocks // budget AS BIGINT) AS block FROM placed WHERE begins < budget)
 SELECT block, row_number() OVER (PARTITION BY block ORDER BY key, s, n_tokens) AS place, doc_id, source,
        CAST(pass AS BIGINT) AS pass, n_tokens, round(w, 9) AS weight FROM cut
 """

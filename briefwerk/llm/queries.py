@@ -1,16 +1,19 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
 from .decontaminate import OP8_SQL, op8_decontaminate
+from .embeddings import OP7_SQL, op7_embeddings
 from .jaccard import OP9_SQL, op9_jaccard
 from .mixture import OP5_SQL, op5_mixture
 
 QUERIES = {
     "op5_mixture": op5_mixture,
+    "op7_embeddings": op7_embeddings,
     "op8_decontaminate": op8_decontaminate,
     "op9_jaccard": op9_jaccard,
 }
 ORACLE = {
     "op5_mixture": OP5_SQL,
+    "op7_embeddings": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_jaccard": OP9_SQL,
 }
