@@ -1,7 +1,6 @@
 """N-gram Jaccard join: MinHash candidates, pruned by Bayes' rule as their values are compared, verified exactly.
 
-1. One scan hashes every text's distinct word shingles, ``bands`` x ``rows`` MinHash values and a digest of the
-   shingle set. Texts with the same set are one class from here on.
+1. One scan hashes every text's distinct word shingles to ``bands`` x ``rows`` MinHash values and a digest. Texts with the same set are one class from here on.
 2. Classes that agree in a band are compared value by value. After every 16 values a pair is dropped if the
    posterior probability that its similarity reaches the threshold is below ``tolerance``. Of the pairs that
    survive only a spanning forest leaves the task; its components are clusters.
@@ -33,12 +32,10 @@ from .components import components, pairs, tiled
 SIZE, THRESHOLD, BANDS, ROWS, TOLERANCE = 5, 0.8, 24, 4, 1e-8
 STEP = 16  # MinHash values compared between two prunings
 
-SIGNED = (
-    "row_key bigint, doc_id bigint, n bigint, c1 bigint, c2 bigint, signature binary, bands array<bigint>, shingles binary"
-)
+SIGNED = "row_key bigint, doc_id bigint, n bigint, c1 bigint, c2 bigint, signature binary, bands array<bigint>"
 SIGNED_ARROW = pa.schema([
     ("row_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()),
-    ("signature", pa.binary()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary()),
+    ("signature", pa.binary()), ("bands", pa.list_(pa.int64())),
 ])
 FOUND = "a bigint, b bigint, links bigint"
 FOUND_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
@@ -59,31 +56,37 @@ def _minhash(sets: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def _sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle hashes, cuts, digests) of a batch of texts: sorted, distinct; 2 x texts digests, 0 for empty sets."""
+    hashes, first, _, _ = hashed_words(*texts(part))
+    found, text = shingles(hashes, first, size)
+    order = np.lexsort((found, text))
+    found, text = found[order], text[order]
+    fresh = np.r_[True, (found[1:] != found[:-1]) | (text[1:] != text[:-1])][: len(found)]
+    found, text = found[fresh], text[fresh]
+    cuts = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int64)
+    has = np.flatnonzero(np.diff(cuts))
+    digests = np.zeros((2, part.num_rows), dtype=np.uint64)
+    if len(has):
+        digests[0, has] = mix(np.add.reduceat(mix(found + np.uint64(1)), cuts[has]))
+        digests[1, has] = mix(np.bitwise_xor.reduceat(mix(found ^ np.uint64(0x5851F42D4C957F2D)), cuts[has]))
+    return found, cuts, digests.view(np.int64)
+
+
 def sign(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: shingle set, its digest, MinHash signature and band keys."""
+    """One row per document: size and digest of its shingle set, MinHash signature and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = RowKeys()
         for batch in batches:
             for part in pieces(batch, limit=1 << 21):
-                n_texts = part.num_rows
-                hashes, first, _, _ = hashed_words(*texts(part))
-                found, text = shingles(hashes, first, size)
-                order = np.lexsort((found, text))
-                found, text = found[order], text[order]
-                fresh = np.r_[True, (found[1:] != found[:-1]) | (text[1:] != text[:-1])][: len(found)]
-                found, text = found[fresh], text[fresh]
-                cuts = np.searchsorted(text, np.arange(n_texts + 1))
+                found, cuts, digests = _sets(part, size)
                 counts = np.diff(cuts)
                 has = np.flatnonzero(counts)
-                bounds = np.r_[cuts[has], len(found)].astype(np.int64)
-                digests = np.zeros((2, n_texts), dtype=np.uint64)
-                signature = [b""] * n_texts
-                band_keys: list = [[]] * n_texts
+                signature = [b""] * part.num_rows
+                band_keys: list = [[]] * part.num_rows
                 if len(has):
-                    digests[0, has] = mix(np.add.reduceat(mix(found + np.uint64(1)), bounds[:-1]))
-                    digests[1, has] = mix(np.bitwise_xor.reduceat(mix(found ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1]))
-                    values = _minhash(found, bounds, bands * rows)
+                    values = _minhash(found, np.r_[cuts[has], len(found)], bands * rows)
                     joined = np.zeros((len(has), bands), dtype=np.uint64)
                     for k in range(bands * rows):
                         b = k // rows
@@ -94,13 +97,41 @@ def sign(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS
                         signature[at] = short[k].tobytes()
                         band_keys[at] = joined[k]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys.take(n_texts)), part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()),
-                    pa.array(counts.astype(np.int64)), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)),
+                    pa.array(keys.take(part.num_rows)), part.column(part.schema.get_field_index("doc_id")),
+                    pa.array(counts), pa.array(digests[0]), pa.array(digests[1]),
                     pa.array(signature, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())),
-                    pa.array([found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                 ], schema=SIGNED_ARROW)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+
+
+def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """(c1, c2, shingles): the digest and the sorted shingle hashes of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, limit=1 << 21):
+                found, cuts, digests = _sets(part, size)
+                packed = [found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digests[0]), pa.array(digests[1]), pa.array(packed, pa.binary())], names=["c1", "c2", "shingles"]
+                )
+
+    return docs.select("text").mapInArrow(run, "c1 bigint, c2 bigint, shingles binary")
+
+
+def possible(docs: DataFrame, ids: DataFrame, slots: int = 1 << 23) -> DataFrame:
+    """The documents whose doc_id may be among ``ids``, by a bitmap of ``slots`` bits.
+
+    What is broadcast has a bound, a row per 64 bits: 2 MB. With many more ids than bits it lets all documents
+    through, which costs time but no result, as an exact join follows.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    word, bit = F.floor(slot / 64), F.shiftleft(F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
+    bitmap = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return (
+        docs.withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select("doc_id", "text")
+    )
 
 
 def least_matches(values: int, threshold: float, tolerance: float) -> list[int]:
@@ -236,16 +267,17 @@ def near_duplicates(
     ``class_id`` is the smallest doc_id that links reach, ``n_links`` counts the other documents with a
     similarity of ``threshold`` or more, and ``kept`` marks one document of each class.
     """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = settle(sign(docs, size, bands, rows), "signed")
     keyed = signed.where("n > 0").select("row_key", "doc_id", "c1", "c2")
     classes = settle(
-        keyed.groupBy("c1", "c2").agg(F.min("row_key").alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")),
+        keyed.groupBy("c1", "c2").agg(
+            F.min(F.struct("row_key", "doc_id")).alias("_rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")
+        ).select("c1", "c2", F.col("_rep.row_key").alias("rep"), F.col("_rep.doc_id").alias("rep_id"), "least_id", "copies"),
         "classes",
-    )
+    )
     reps = settle(
-        signed.select("row_key", "n", "signature", "bands", "shingles")
-        .join(classes.select(F.col("rep").alias("row_key"), "copies"), "row_key")
-        .select(F.col("row_key").alias("rep"), "copies", "n", "signature", "bands"),
+        signed.select(F.col("row_key").alias("rep"), "n", "signature", "bands").join(classes.select("rep", "copies"), "rep"),
         "representatives",
     )
 
@@ -264,10 +296,15 @@ def near_duplicates(
     linked = settle(candidate_links(candidates, bands * rows, threshold, tolerance), "candidates")
     clusters = settle(components(linked).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
 
+    # the shingle sets of the clustered classes, from a second look at their texts
+    wanted = settle(clusters.join(classes, "rep").select("cluster", "rep", "rep_id", "c1", "c2", "copies"), "wanted")
+    near_texts = possible(docs, wanted.select(F.col("rep_id").alias("doc_id")))
     sets = (
-        clusters.join(reps.select("rep", "copies", "n", "signature"), "rep")
-        .join(signed.select(F.col("row_key").alias("rep"), "shingles"), "rep")
-    )
+        shingle_sets(near_texts, size).join(wanted.select("c1", "c2", "rep", "cluster", "copies"), ["c1", "c2"])
+        .groupBy("rep").agg(*[F.first(c).alias(c) for c in ("cluster", "copies", "shingles")])
+        .join(reps.select("rep", "n", "signature"), "rep")
+    )
+    sets = settle(sets, "sets")
     tiles = sets.groupBy("cluster").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / tile_rows, F.sum("n") / tile_shingles)).alias("_tiles")
     )
