@@ -126,12 +126,11 @@ def possible(docs: DataFrame, ids: DataFrame, slots: int = 1 << 23) -> DataFrame
     What is broadcast has a bound, a row per 64 bits: 2 MB. With many more ids than bits it lets all documents
     through, which costs time but no result, as an exact join follows.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
-    word, bit = F.floor(slot / 64), F.shiftleft(F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
+    slot = f"pmod(xxhash64(doc_id), {slots})"
+    word, bit = F.expr(f"{slot} div 64"), F.expr(f"shiftleft(1L, cast(pmod({slot}, 64) as int))")
     bitmap = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    return (
-        docs.withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select("doc_id", "text")
-    )
+    hit = docs.withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return hit.select("doc_id", "text")
 
 
 def least_matches(values: int, threshold: float, tolerance: float) -> list[int]:
