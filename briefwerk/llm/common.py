@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def packed_row(df: DataFrame) -> Column:
+    """All columns as one struct, ``row``, so that no name of theirs meets one of ours; ``row.*`` unpacks it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def remainder(doc_id: Column, of: int) -> Column:
     """crc32(doc_id as text) mod ``of``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(of)
@@ -169,6 +174,22 @@ def shingles(hashes: np.ndarray, first_word: np.ndarray, size: int) -> tuple[np.
     return np.concatenate([long_h, h])[order], np.concatenate([long_t, short])[order]
 
 
+def maybe(df: DataFrame, key: str, hashes: DataFrame, slots: int = 1 << 23) -> DataFrame:
+    """``df`` with ``_maybe``: whether the 64-bit hash ``key`` (an SQL expression) may be among ``hashes`` (hash).
+
+    Rows without it surely are not, so an exact join need only see the others. What is broadcast is a bitmap of
+    ``slots`` bits, a row per 64 bits: 2 MB at most. With many more hashes than bits it lets all rows through,
+    which costs time but changes no result.
+    """
+    slot = f"pmod({key}, {slots})"
+    bits = hashes.groupBy(F.expr(f"pmod(hash, {slots}) div 64").alias("_word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(hash, {slots}), 64) as int))")).alias("_bits")
+    )
+    held = F.coalesce(F.col("_bits").bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod({slot}, 64) as int))")) != 0, F.lit(False))
+    joined = df.withColumn("_word", F.expr(f"{slot} div 64")).join(F.broadcast(bits), "_word", "left")
+    return joined.withColumn("_maybe", held).drop("_word", "_bits")
+
+
 class RowKeys:
     """Numbers for the rows of a task that no other task gives; write the rows before the numbers are used twice."""
 

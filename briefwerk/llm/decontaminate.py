@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import RowKeys, hashed_words, pieces, table, texts
+from .common import RowKeys, hashed_words, maybe, packed_row, pieces, table, texts
 
 INDEX_SCHEMA = (
     "row_keys binary, doc_ids array<bigint>, n_words binary, segment_doc binary, segment_base binary, "
@@ -421,6 +421,15 @@ def _merged(parts):
     return F.aggregate(parts, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), fold)
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
+    """The documents that hold no window of any item; all columns. Rows that share a doc_id stay or go together."""
+    found = contaminated_spans(docs, items, **settings)
+    hit = settle(found.where(F.size("spans") > 0).select("doc_id", F.xxhash64("doc_id").alias("hash")).distinct(), "contaminated")
+    seen = maybe(docs.select(packed_row(docs), "doc_id"), "xxhash64(doc_id)", hit.select("hash"))
+    left = seen.where("_maybe").join(hit.select(F.col("doc_id").alias("_hit")), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    return seen.where("not _maybe").unionByName(left).select("row.*")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import RowKeys, forest, hashed_words, mix, pieces, runs, shingles, table, texts, whole_groups
+from .common import RowKeys, forest, hashed_words, maybe, mix, packed_row, pieces, runs, shingles, table, texts, whole_groups
 from .components import components, pairs, tiled
 
 SIZE, THRESHOLD, BANDS, ROWS, TOLERANCE = 5, 0.8, 24, 4, 1e-8
@@ -120,19 +120,6 @@ def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return docs.select("text").mapInArrow(run, "c1 bigint, c2 bigint, shingles binary")
 
 
-def possible(docs: DataFrame, ids: DataFrame, slots: int = 1 << 23) -> DataFrame:
-    """The documents whose doc_id may be among ``ids``, by a bitmap of ``slots`` bits.
-
-    What is broadcast has a bound, a row per 64 bits: 2 MB. With many more ids than bits it lets all documents
-    through, which costs time but no result, as an exact join follows.
-    """
-    slot = f"pmod(xxhash64(doc_id), {slots})"
-    word, bit = F.expr(f"{slot} div 64"), F.expr(f"shiftleft(1L, cast(pmod({slot}, 64) as int))")
-    bitmap = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    hit = docs.withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
-    return hit.select("doc_id", "text")
-
-
 def least_matches(values: int, threshold: float, tolerance: float) -> list[int]:
     """After STEP, 2 STEP, … values: the fewest matches with which a pair goes on.
 
@@ -297,7 +284,7 @@ def near_duplicates(
 
     # the shingle sets of the clustered classes, from a second look at their texts
     wanted = settle(clusters.join(classes, "rep").select("cluster", "rep", "rep_id", "c1", "c2", "copies"), "wanted")
-    near_texts = possible(docs, wanted.select(F.col("rep_id").alias("doc_id")))
+    near_texts = maybe(docs, "xxhash64(doc_id)", wanted.select(F.xxhash64("rep_id").alias("hash"))).where("_maybe")
     sets = (
         shingle_sets(near_texts, size).join(wanted.select("c1", "c2", "rep", "cluster", "copies"), ["c1", "c2"])
         .groupBy("rep").agg(*[F.first(c).alias(c) for c in ("cluster", "copies", "shingles")])
@@ -336,6 +323,19 @@ def near_duplicates(
     return grouped.unionByName(alone)
 
 
+def deduplicated(docs: DataFrame, **settings) -> DataFrame:
+    """The documents without those of which a near-duplicate with a smaller doc_id stays; all columns.
+
+    Rows that agree in doc_id and text are one document here: they stay or go together.
+    """
+    found = settle(near_duplicates(docs, **settings), "near-duplicates")
+    gone = found.groupBy(F.xxhash64("doc_id").alias("hash"), "doc_id").agg(F.max("kept").alias("kept")).where("not kept")
+    gone = settle(gone.select("hash", "doc_id"), "dropped")
+    seen = maybe(docs.select(packed_row(docs), "doc_id"), "xxhash64(doc_id)", gone.select("hash"))
+    left = seen.where("_maybe").join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return seen.where("not _maybe").unionByName(left).select("row.*")
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -26,9 +26,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import settle
-from .common import RowKeys, pieces, table
+from .common import RowKeys, maybe, packed_row, pieces, table
 
 KINDS = ("email", "ip", "card", "phone")
 CONFIDENCE, SUPPORT, ROUNDS, SHRINK = 0.8, 5, 3, 1.0
@@ -135,16 +136,16 @@ def strings(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int,
 
 
 SCANNED = (
-    "row_key bigint, doc_id bigint, base array<struct<kind:int,start:bigint,stop:bigint>>, "
+    "row_key bigint, doc_id bigint, _h1 bigint, _h2 bigint, base array<struct<kind:int,start:bigint,stop:bigint>>, "
     "found array<struct<kind:int,start:bigint,stop:bigint,value:string,form:string,patterns:array<string>>>"
 )
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
 _FOUND = pa.struct([*_SPAN, pa.field("value", pa.string()), pa.field("form", pa.string()), pa.field("patterns", pa.list_(pa.string()))])
-_SCANNED = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("base", pa.list_(_SPAN)), ("found", pa.list_(_FOUND))])
+_SCANNED = pa.schema([*[(c, pa.int64()) for c in ("row_key", "doc_id", "_h1", "_h2")], ("base", pa.list_(_SPAN)), ("found", pa.list_(_FOUND))])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Seeds and identifier-like strings of every document."""
+    """Seeds and identifier-like strings of every document, with two hashes of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = RowKeys()
@@ -159,11 +160,13 @@ def scan(docs: DataFrame) -> DataFrame:
                         for k, s, e, v in strings(text or "", spans)
                     ])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys.take(part.num_rows)), part.column(part.schema.get_field_index("doc_id")),
+                    pa.array(keys.take(part.num_rows)), *[part.column(part.schema.get_field_index(c)) for c in ("doc_id", "_h1", "_h2")],
                     pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_FOUND)),
                 ], schema=_SCANNED)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCANNED)
+    return docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), "text").alias("_h2"), "text"
+    ).mapInArrow(run, SCANNED)
 
 
 def confident_patterns(scanned: DataFrame, confidence: float, support: int, rounds: int) -> DataFrame:
@@ -202,7 +205,7 @@ def confident_patterns(scanned: DataFrame, confidence: float, support: int, roun
     return rows.where((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).select("pattern", "kind", "confidence")
 
 
-def personal_spans(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
+def personal_spans(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text) → row_key, doc_id, base, added (arrays of kind, start, stop in code points), one row per document."""
     scanned = settle(scan(docs), "scanned")
     known = settle(confident_patterns(scanned, confidence, support, rounds), "confident")
@@ -222,7 +225,7 @@ def personal_spans(docs: DataFrame, confidence: float = CONFIDENCE, support: int
         F.array_sort(F.collect_list(F.struct((-F.col("b.k")).cast("int").alias("kind"), "start", "stop"))).alias("added")
     )
     none = F.expr("cast(array() as array<struct<kind:int,start:bigint,stop:bigint>>)")
-    return scanned.join(added, "row_key", "left").select("row_key", "doc_id", "base", F.coalesce("added", none).alias("added"))
+    return scanned.join(added, "row_key", "left").select("row_key", "doc_id", *keep, "base", F.coalesce("added", none).alias("added"))
 
 
 def _listed(spans):
@@ -233,11 +236,43 @@ def _listed(spans):
 
 
 def masked(docs: DataFrame, **settings) -> DataFrame:
-    """The documents with every span replaced by its kind in angle brackets.
+    """The documents with every span replaced by its kind in angle brackets; n_chars, if there, follows.
 
-    Spans go back to the texts by doc_id and the text's digest, so rows that share an id keep their own spans.
+    Added spans depend on the text alone, so they go back to texts by 128 bits of hashes; only texts that may have
+    some go through that join. Of spans that overlap, the one that begins first is replaced, then the longest.
     """
-    raise NotImplementedError
+    keys = {"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")}
+    found = personal_spans(docs, keep=("_h1", "_h2"), **settings).where(F.size("added") > 0)
+    added = settle(found.groupBy("_h1", "_h2").agg(F.first("added").alias("_added")), "added")
+    seen = maybe(docs.select(packed_row(docs), "text"), "xxhash64(text)", added.select(F.col("_h1").alias("hash")))
+    joined = seen.where("_maybe").withColumns(keys).join(added, ["_h1", "_h2"], "left").select("row", "text", "_added")
+    alone = seen.where("not _maybe").select("row", "text", F.lit(None).cast(added.schema["_added"].dataType).alias("_added"))
+    both = joined.unionByName(alone)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, limit=1 << 21):
+                column = lambda name: part.column(part.schema.get_field_index(name))  # noqa: E731, B023
+                changed = [
+                    None if t is None else replaced(t, base_spans(t) + [(x["kind"], x["start"], x["stop"]) for x in more or ()])
+                    for t, more in zip(column("text").to_pylist(), column("_added").to_pylist(), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([column("row"), pa.array(changed, pa.string())], names=["row", "new"])
+
+    done = both.mapInArrow(run, T.StructType([both.schema["row"], T.StructField("new", T.StringType())]))
+    row = F.col("row").withField("text", F.col("new"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("new").cast(docs.schema["n_chars"].dataType))
+    return done.select(row.alias("row")).select("row.*")
+
+
+def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
+    out, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
+        if start >= at:
+            out += [text[at:start], f"<{KINDS[kind]}>"]
+            at = end
+    return "".join([*out, text[at:]])
 
 
 def op3_personal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, table, texts
+from .common import held_out, packed_row, pieces, table, texts
 
 PIECE, SAMPLE, SAMPLE_TEXTS, DICT_BYTES, CUT = 2048, 6000, 3000, 3 << 16, 0.7
 
@@ -179,7 +179,7 @@ def _features(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame
                 )
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "difference double, ratio double, score double"])
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), threshold: float = CUT) -> DataFrame:
@@ -187,6 +187,12 @@ def quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     return _features(docs, model, keep).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = CUT) -> DataFrame:
+    """The documents whose score reaches the threshold; all columns."""
+    packed = docs.select(packed_row(docs), "text")
+    return quality(packed, model, ("row",), threshold).where("predicted = 1").select("row.*")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
