@@ -96,8 +96,38 @@ def term_pattern(term: str) -> str:
     return r"(?iu)\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
-def any_term_pattern(terms) -> str:
-    return "|".join(term_pattern(t) for t in terms)
+def fold_case(text: Column) -> Column:
+    """Equal for texts that a case-insensitive search takes for equal (and for some others)."""
+    # the optimizer would drop an upper() right inside a lower(), and with it "ſ" for "s"
+    return F.translate(F.lower(F.translate(F.upper(text), "İ", "I")), "ς", "σ")
+
+
+def term_can_follow_a_label(term: Column) -> Column:
+    """Whether putting in a label can make room for the term: it has a bracket or lies within the label."""
+    in_label = F.contains(fold_case(F.lit(fixed.BLOCKLIST_LABEL)), fold_case(term))
+    return in_label | F.contains(term, F.lit("[")) | F.contains(term, F.lit("]"))
+
+
+def listed_patterns(text: Column, terms: tuple[str, ...]) -> Column:
+    """The patterns of those terms, in list order, that the text may hold; none in nearly all texts.
+
+    Terms are tried by plain search in the folded text, so a pattern is compiled only where its term was found.
+    If any was, those that can follow an inserted label come along.
+    """
+    rows = [
+        F.struct(
+            F.lit(term_pattern(t)).alias("pattern"), fold_case(F.lit(t)).alias("folded"),
+            term_can_follow_a_label(F.lit(t)).alias("always"),
+        )
+        for t in terms if t
+    ]
+
+    def some(folded: Column) -> Column:
+        here = F.exists(F.array(*rows), lambda t: F.contains(folded, t["folded"]))
+        kept = F.filter(F.array(*rows), lambda t: t["always"] | F.contains(folded, t["folded"]))
+        return F.when(here, F.transform(kept, lambda t: t["pattern"]))
+
+    return once(fold_case(text), some)
 
 
 def fold_terms(text: Column, patterns: Column) -> Column:

@@ -60,16 +60,20 @@ def _field(answer: Column, key: str, default: str) -> Column:
 def parse_response(response: Column) -> Column:
     """Struct of sender, content, date, confidence and error.
 
-    A response that is no JSON may hold one flat object in its prose. ``error`` is
-    NULL, ``parse-error`` (no object found), ``JSONDecodeError`` (broken object) or
-    ``AttributeError`` (JSON, but no object).
+    A response that is no JSON may hold one flat object in its prose; local models need that, a cloud model's
+    structured answer is JSON to begin with. ``error`` is NULL, ``JSONDecodeError`` (broken object),
+    ``AttributeError`` (JSON, but no object), or, where no object is found, the class of a message that quotes
+    the whole response: mostly ``parse-error``, but a response that holds "529" reads as ``overloaded``.
     """
     fields = {"sender": "unknown", "content": "unknown", "date": "unknown", "confidence": "low"}
 
     def unpack(found: Column) -> Column:
         answer, is_object = found["answer"], found["kind"].startswith("OBJECT")
         error = (
-            F.when(~found["present"], F.lit("parse-error"))
+            F.when(
+                ~found["present"],
+                error_class(F.concat(F.lit("no json object in: "), F.coalesce(response, F.lit(""))), F.lit("ValueError")),
+            )
             .when(found["kind"].isNull(), F.lit("JSONDecodeError"))
             .when(~is_object, F.lit("AttributeError"))
         )

@@ -1,27 +1,18 @@
 """Blocklists of any length.
 
-A list of some hundred terms is folded over each text (``redact.redact``). A list of a
-million is not tried term by term: parts of each text are looked up among the beginnings
-of the terms, and only terms found that way are folded, in list order.
+A list in the plan is tried on every text (``redact.redact``). A list of a million is not
+tried term by term: parts of each text are looked up among the beginnings of the terms,
+what is found that way is searched as a whole, and only terms that do occur are folded,
+in list order.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import fixed
-from ..functions.redaction import fold_terms
+from ..functions.redaction import fold_case, fold_terms, term_can_follow_a_label
 
-# Terms are looked up by their longest beginning of one of these lengths.
-_LENGTHS = (1, 2, 3, 5, 8, 12, 20)
-# Term lists up to this many characters are broadcast (as UTF-8 at most four times the bytes).
-MAX_BROADCAST_CHARS = 20_000_000
-_SALTS = 16
-
-
-def fold_case(text: Column) -> Column:
-    """Equal for texts that a case-insensitive search takes for equal (and for some others)."""
-    # the optimizer would drop an upper() right inside a lower(), and with it "ſ" for "s"
-    return F.translate(F.lower(F.translate(F.upper(text), "İ", "I")), "ς", "σ")
+# Terms are looked up by their first characters, up to this many: rare enough, and few lengths to cut texts into.
+_BEGINNING = 10
 
 
 def _pattern(term: Column) -> Column:
@@ -29,39 +20,26 @@ def _pattern(term: Column) -> Column:
     return F.concat(F.lit(r"(?iu)\Q"), quoted, F.lit(r"\E"))
 
 
-def _beginnings(terms: DataFrame) -> DataFrame:
-    size = F.length("_folded")
-    length = F.lit(_LENGTHS[0])
-    for n in _LENGTHS[1:]:
-        length = F.when(size >= n, F.lit(n)).otherwise(length)
-    return terms.withColumn("_gram", F.substring("_folded", F.lit(1), length))
-
-
 def candidates(df: DataFrame, terms: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, terms in list order) for texts in which some term may occur; a superset."""
-    listed = terms.select("line_no", "term", fold_case(F.col("term")).alias("_folded")).where(
-        "_folded <> ''"
+    """(id, terms in list order) for the texts that hold some term before anything is replaced."""
+    begun = (
+        terms.select("line_no", "term", fold_case(F.col("term")).alias("_folded"))
+        .where("_folded <> ''")
+        .withColumn("_gram", F.substring("_folded", 1, _BEGINNING))
     )
-    begun = _beginnings(listed).select("line_no", "term", "_gram")
     folded = df.select(id, fold_case(F.col(text)).alias("_text"))
+    lengths = begun.agg(F.collect_set(F.length("_gram")).alias("n")).first().n  # at most _BEGINNING of them
     # all overlapping pieces in one linear pass per length
-    size = begun.agg(
-        F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars"),
-        F.collect_set(F.length("_gram")).alias("lengths"),  # at most those of _LENGTHS
-    ).first()
     grams = F.array().cast("array<string>")
-    for n in sorted(size.lengths):
+    for n in sorted(lengths):
         pieces = F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
         grams = F.concat(grams, F.array_distinct(pieces))
-    pieces = folded.select(id, F.explode_outer(grams).alias("_gram"))
-    if size.chars <= MAX_BROADCAST_CHARS:
-        hits = pieces.join(F.broadcast(begun), "_gram")
-    else:
-        # frequent pieces must not fill one task: spread them, and repeat the terms
-        salted = begun.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        spread = pieces.withColumn("_salt", F.pmod(F.xxhash64(id), F.lit(_SALTS)).cast("int"))
-        hits = spread.join(salted, ["_gram", "_salt"])
-    return hits.groupBy(id).agg(F.collect_set(F.struct("line_no", "term")).alias("_found"))
+    hits = folded.select(id, F.explode(grams).alias("_gram")).join(begun, "_gram")
+    short = F.length("_folded") <= _BEGINNING
+    # a longer term must be there as a whole before it is kept for a text
+    searched = hits.where(~short).join(folded, id).where(F.contains("_text", F.col("_folded")))
+    found = hits.where(short).select(id, "line_no", "term").unionByName(searched.select(id, "line_no", "term"))
+    return found.groupBy(id).agg(F.collect_set(F.struct("line_no", "term")).alias("_found"))
 
 
 def redact_terms(df: DataFrame, terms: DataFrame, id: str, text: str) -> DataFrame:
@@ -69,12 +47,8 @@ def redact_terms(df: DataFrame, terms: DataFrame, id: str, text: str) -> DataFra
 
     ``id`` tells the rows of ``df`` apart. The result equals trying every term on every text.
     """
-    # Inserting a label can only make room for a term that has a bracket or lies within the
-    # label: those are tried wherever any term was found.
-    label = fixed.BLOCKLIST_LABEL
-    in_label = F.contains(fold_case(F.lit(label)), fold_case(F.col("term")))
-    bracketed = F.contains(F.col("term"), F.lit("[")) | F.contains(F.col("term"), F.lit("]"))
-    always = terms.where((F.col("term") != "") & (in_label | bracketed)).agg(
+    # putting in a label can make room for some terms: those are tried wherever any term was found
+    always = terms.where((F.col("term") != "") & term_can_follow_a_label(F.col("term"))).agg(
         F.collect_list(F.struct("line_no", "term")).alias("_always")
     )
     found = candidates(df, terms, id, text).withColumn("_always", always.scalar())

@@ -9,11 +9,8 @@ from .. import fixed
 from ..functions.once import once
 from ..functions.text import quality_key
 
-# Up to here rules are written into the plan as one CASE; more belong in a table.
-MAX_INLINE_KEYWORDS = 2000
-# Keyword tables up to here are broadcast; larger ones are joined by shuffle.
-MAX_BROADCAST_KEYWORDS = 1_000_000
-_SALTS = 16
+# Keywords are looked up by their first characters, up to this many; longer ones are then searched as a whole.
+_BEGINNING = 24
 
 
 def deciding_keywords(rules) -> list[tuple[str, tuple[str, ...]]]:
@@ -36,16 +33,14 @@ def category_of_key(key: Column, rules=fixed.DEFAULT_CATEGORIES) -> Column:
     if not rules:
         return F.lit(fixed.FALLBACK_CATEGORY)
     kept = deciding_keywords(rules)
-    if sum(len(keywords) for _, keywords in kept) > MAX_INLINE_KEYWORDS:
-        raise ValueError("pass long rule lists as a table: assign_category_by_table")
     fallback = F.lit(kept[-1][0])
 
     def first(whole: Column) -> Column:
         chosen = F
         for category, keywords in kept:
             if keywords:
-                hit = reduce(lambda a, b: a | b, [F.contains(whole, F.lit(k)) for k in keywords])
-                chosen = chosen.when(hit, F.lit(category))
+                listed = F.array(*[F.lit(k) for k in keywords])  # a constant, however long
+                chosen = chosen.when(F.exists(listed, lambda k: F.contains(whole, k)), F.lit(category))
         return fallback if chosen is F else chosen.otherwise(fallback)
 
     return once(key, first)
@@ -72,28 +67,21 @@ def assign_category_by_table(
     Every part of a name that has the length of some keyword is looked up by equality, so
     no name meets a keyword it does not contain.
     """
-    spark = df.sparkSession
-    keywords = keyword_table(rules)
-    size = keywords.agg(
-        F.count("*").alias("n"), F.collect_set(F.length("keyword")).alias("lengths")
-    ).first()
+    begun = keyword_table(rules).withColumn("_begin", F.substring("keyword", 1, _BEGINNING))
+    # at most as many lengths as a beginning has characters
+    lengths = begun.agg(F.collect_set(F.length("_begin")).alias("n")).first().n
     fallback = F.lit(
         rules.agg(F.max_by("category", "priority").alias("last")).first().last or fixed.FALLBACK_CATEGORY
     )
-    lengths = sorted(n for n in size.lengths if 0 < n <= fixed.NAME_MAX_CHARS)
     # all pieces of each length, overlapping, in one pass; an empty keyword occurs in every name
-    pieces = [F.regexp_extract_all("_key", F.lit(rf"(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    pieces = [F.regexp_extract_all("_key", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(lengths) if n]
     parts = F.array_distinct(F.concat(F.array(F.lit("")), *pieces))
-    looked_up = df.select(id, quality_key(F.col(name)).alias("_key")).select(
-        id, F.explode(parts).alias("keyword")
-    )
-    if size.n <= MAX_BROADCAST_KEYWORDS:
-        found = looked_up.join(F.broadcast(keywords), "keyword")
-    else:
-        # a frequent part must not fill one task: spread it, and repeat the keywords
-        salted = keywords.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        spread = looked_up.withColumn("_salt", F.pmod(F.xxhash64(id), F.lit(_SALTS)).cast("int"))
-        found = spread.join(salted, ["keyword", "_salt"])
+    keys = df.select(id, quality_key(F.col(name)).alias("_key"))
+    looked_up = keys.select(id, F.explode(parts).alias("_begin"))
+    hits = looked_up.join(begun, "_begin").select(id, "keyword", "priority")
+    whole = F.length("keyword") < _BEGINNING
+    searched = hits.where(~whole).join(keys, id).where(F.contains("_key", F.col("keyword")))
+    found = hits.where(whole).select(id, "priority").unionByName(searched.select(id, "priority"))
     first = found.groupBy(id).agg(F.min("priority").alias("priority"))
     named = rules.groupBy("priority").agg(F.min("category").alias("_category"))
     best = first.join(named, "priority").select(id, "_category")

@@ -7,10 +7,6 @@ from .. import fixed
 from ..functions import redaction as r
 from ..functions.text import is_blank
 
-# A list this short is written into the plan; a longer one belongs in a table (`blocklist`).
-MAX_INLINE_TERMS = 500
-
-
 def count_column(label: str) -> str:
     return f"n_{label.strip('[]').lower()}"
 
@@ -24,16 +20,12 @@ def redact(df: DataFrame, text: str = "text", blocklist: tuple[str, ...] = ()) -
     Each rule works on the text the rule before it left; every text is scanned once per
     rule that may match, and the hits are counted from the labels put in.
     """
-    if len(blocklist) > MAX_INLINE_TERMS:
-        raise ValueError("pass long lists as a table: operators.blocklist.redact_terms")
     out = df.withColumn("_chain", r.chain(F.col(text)))
     final, hits = F.col("_chain.text"), F.lit(0)
-    if blocklist:
-        patterns = F.array(*[F.lit(r.term_pattern(term)) for term in blocklist])
+    if any(blocklist):
         # if no term occurs before the first replacement, none is ever inserted
-        listed = F.col("_chain.text").rlike(r.any_term_pattern(blocklist))
-        out = out.withColumn(
-            "_folded", F.when(listed, r.fold_terms(F.col("_chain.text"), patterns))
+        out = out.withColumn("_listed", r.listed_patterns(F.col("_chain.text"), blocklist)).withColumn(
+            "_folded", F.when(F.col("_listed").isNotNull(), r.fold_terms(F.col("_chain.text"), F.col("_listed")))
         )
         final = F.coalesce("_folded.text", "_chain.text")
         hits = F.coalesce("_folded.hits", F.lit(0))

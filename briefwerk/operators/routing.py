@@ -21,9 +21,10 @@ def _no_text_in_hybrid() -> Column:
 
 
 def route(df: DataFrame) -> DataFrame:
-    """Add status, confidence, error_reason, proposed_name, cost_chf, and the parsed fields.
+    """Add status, confidence, error_reason, proposed_name, cost_chf, the parsed fields, and the last step reached.
 
-    ``proposed_name`` is NULL unless the letter is renamed.
+    ``proposed_name`` is NULL unless the letter is renamed. ``reached`` is ``read`` for letters that stop before
+    anything is taken from their text, ``checked`` for those that stop at the leak check, else ``extracted``.
     """
     kept = df.columns
     engine = F.col("engine")
@@ -65,6 +66,7 @@ def route(df: DataFrame) -> DataFrame:
         .otherwise(F.lit("renamed")),
     )
     status = F.col("status")
+    early = F.col("read_message").isNotNull() | (engine.isin(fixed.HYBRID, fixed.CLOUD) & F.col("_blank"))
     analysed = status.isin("renamed", "unrecognized")
     cost = q.token_cost_chf(F.col("input_tokens"), F.col("output_tokens"))
     return decided.select(
@@ -87,6 +89,10 @@ def route(df: DataFrame) -> DataFrame:
             status == "unrecognized",
             q.uncertain_fields(F.col("_answer.sender"), F.col("_answer.content"), F.col("_date")),
         ).alias("uncertain_reason"),
+        F.when(early, F.lit("read"))
+        .when(hybrid & (F.col("_leaks") != ""), F.lit("checked"))
+        .otherwise(F.lit("extracted"))
+        .alias("reached"),
     )
 
 

@@ -31,6 +31,14 @@ def _phases() -> Column:
     )
 
 
+def _elapsed() -> Column:
+    """Seconds of the steps a letter reached."""
+    checked = F.when(
+        (F.col("engine") == fixed.HYBRID) & (F.col("reached") != "read"), F.col("t_anonymize") + F.col("t_regex")
+    ).otherwise(F.lit(0.0))
+    return checked + F.when(F.col("reached") == "extracted", F.col("t_extract")).otherwise(F.lit(0.0))
+
+
 def outcomes(
     letters: DataFrame,
     blocklist: tuple[str, ...] = (),
@@ -51,7 +59,7 @@ def outcomes(
         "error_reason",
         "proposed_name",
         "cost_chf",
-        (F.col("t_anonymize") + F.col("t_regex") + F.col("t_extract")).alias("elapsed_s"),
+        _elapsed().alias("elapsed_s"),
         _phases().alias("phases"),
         F.col("ordered_at").alias("finished_at"),
     )

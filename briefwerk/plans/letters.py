@@ -8,7 +8,7 @@ and the checking engine read alike; ``SQL`` is the same derivation as one statem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_path, spread
+from ..session import fresh_path, read_table
 
 _NL = "chr(10)"
 
@@ -189,7 +189,7 @@ SQL = _nested("select * from orders join customer on o_custkey = c_custkey")
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One letter per order."""
-    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    orders = read_table(spark, f"{sf_dir}/orders.parquet")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
     df = orders.join(customers, orders.o_custkey == customers.c_custkey)
     for step in (_FACTS, _PARTS, _LETTERS):

@@ -152,6 +152,10 @@ def _dated(source: str, text: str, into: str) -> str:
 
 
 # --- responses
+# the message of a response without an object quotes it; the message is classed like any other
+_NO_OBJECT, _TYPE = "'kein json-objekt: ' || coalesce(response, '')", "'ValueError'"
+
+
 def _answers(source: str) -> str:
     """source plus sender, content, date0, confidence0 and answer_error."""
     fragment = "nullif(regexp_extract(response, '(?s)\\{[^{}]+\\}'), '')"
@@ -165,7 +169,7 @@ def _answers(source: str) -> str:
     return (
         f"select *, {field('sender', 'unknown')} as sender, {field('content', 'unknown')} as content, "
         f"{field('date', 'unknown')} as date0, {field('confidence', 'low')} as confidence0, "
-        f"case when whole is null and fragment is null then 'parse-error' when a is null then 'JSONDecodeError' "
+        f"case when whole is null and fragment is null then {_error_class(_NO_OBJECT, _TYPE)} when a is null then 'JSONDecodeError' "
         f"when not is_object then 'AttributeError' end as answer_error from ({c})"
     )
 
@@ -203,6 +207,11 @@ from (
          when analysis_message is not null then 'analyse:' || {_error_class('analysis_message', 'analysis_type')}
          when answer_error is not null then 'analyse:' || answer_error
          else '' end as stop,
+    case when read_message is not null then 0
+         when engine = 'hybrid' then case when {_BLANK} then 0 else t_anonymize + t_regex
+           + case when {_leaks('anonymized_text')} <> '' then 0 else t_extract end end
+         when engine = 'claude' and {_BLANK} then 0
+         else t_extract end as took,
     {_with_hint('date0', "case when engine = 'ollama' then hint end")} as date
   from ({_dated(_answers(_REDACTED), 'redacted_text', 'hint')})
 )"""
@@ -478,7 +487,7 @@ ORACLE = {
         from (select *, {_error_class('message', 'type_name')} as error from ({_FAILURES}))""",
     "filing_run": f"""
         select file, status, case when status = 'renamed' then final_name else file end as suggested, confidence, engine,
-          round_even(cost_chf, 6) as cost_chf, round_even(t_anonymize + t_regex + t_extract, 1) as elapsed_s,
+          round_even(cost_chf, 6) as cost_chf, round_even(took, 1) as elapsed_s,
           error_reason, done_category, strftime(ordered_at, '%Y-%m-%dT%H:%M:%S') as timestamp
         from ({_FILED})""",
     "filing_phases": f"""

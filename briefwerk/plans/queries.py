@@ -12,7 +12,7 @@ from ..functions import requests as q
 from ..functions import text as t
 from ..operators import blocklist, category, extract, naming, redact, routing, runlog, scoring
 from ..schemas import DOCUMENTS, EVENTS
-from ..session import fresh_path, spread
+from ..session import fresh_path, read_table
 from ..sources import files, sinks
 from ..streaming import jobs
 from . import evaluation, filing, reports
@@ -29,7 +29,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_table(spark, sf_dir, "documents"))
+    return read_table(spark, f"{sf_dir}/documents.parquet")
 
 
 def _long(n: Column) -> Column:
@@ -75,7 +75,7 @@ def redact_documents(spark, sf):
 
 def redact_pages(spark, sf):
     """All rules in order on raw web pages."""
-    return redact.redact(_table(spark, sf, "pages"), "html").select("page_id", "redacted_text", *_chain_columns())
+    return redact.redact(read_table(spark, f"{sf}/pages.parquet"), "html").select("page_id", "redacted_text", *_chain_columns())
 
 
 def redact_conversations(spark, sf):

@@ -1,11 +1,13 @@
 """Session settings and the shared folder for intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+SPREAD = "spark.briefwerk.spreadInput"
+
+
 def local_session(cpus: str = "8", app: str = "briefwerk") -> SparkSession:
     """A local session with the settings the jobs expect; clusters bring their own."""
     spark = (
@@ -14,6 +16,8 @@ def local_session(cpus: str = "8", app: str = "briefwerk") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # text work is bound by the processor, and one small file with a single row group makes one task
+        .config(SPREAD, "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -24,31 +28,39 @@ def local_session(cpus: str = "8", app: str = "briefwerk") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the session names it in ``spark.checkpoint.dir``.
+    """The session's own folder for intermediate tables, below one that all executors can reach.
 
-    Only a local session may do without: it gets a temporary folder.
+    That is ``spark.checkpoint.dir``, or the checkpoint folder that was set, or else the warehouse. The folder goes
+    when the session's JVM ends; the tables in it are of use to this session only.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="briefwerk-"))
-    return spark.sparkContext.getCheckpointDir()
+    base = named or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/briefwerk-work-{spark.sparkContext.applicationId}"
+    if path not in _WORK:
+        _WORK.add(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return path
+
+
+_WORK: set[str] = set()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Give a table that was read from few files to all cores.
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; dealt out to all cores if the session says so.
 
-    Text work is bound by the processor, and one small file makes one task. A table with
-    at least as many partitions as there are cores stays as it is: no shuffle at scale.
+    Only sessions over a few small files should: on large tables the shuffle costs more than it gives.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    table = spark.read.parquet(path)
+    if spark.conf.get(SPREAD, "false") != "true":
+        return table
+    return table.repartition(spark.sparkContext.defaultParallelism)
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:

@@ -58,8 +58,8 @@ def test_rules_and_quirks(spark):
 
 
 def test_blocklist(spark):
-    text = "Hallo John Smith, smithers, IBAN BE68 5390 0754 7034 a.c a+c"
-    for terms in (("John Smith",), ("smith", "John Smith"), ("IBAN",), ("a.c",), ("name", "Hallo"), ("x\\Ey", "(")):
+    text = "Hallo Olga Brandt, brandtner, IBAN BE68 5390 0754 7034 a.c a+c"
+    for terms in (("Olga Brandt",), ("brandt", "Olga Brandt"), ("IBAN",), ("a.c",), ("name", "Hallo"), ("x\\Ey", "(")):
         assert run(spark, [text], terms) == [expected(text, terms)]
 
 
@@ -146,7 +146,20 @@ def test_placeholder_tally(spark):
     assert got == {("[NAME]", 2), ("[BETRAG]", 1), ("[ÄÖÜ]", 1)}
 
 
-def test_long_blocklist_equals_trying_every_term(spark, monkeypatch):
+def test_many_terms_in_the_plan(spark):
+    terms = tuple(f"Person {k} Muster" for k in range(600))
+    texts = ["an person 17 muster und Person 599 MUSTER", "Person 600 Muster", ""]
+    assert run(spark, texts, terms) == [expected(t, terms) for t in texts]
+
+
+def test_terms_with_one_beginning_are_searched_before_they_are_kept(spark):
+    terms = spark.range(20_000).select(F.col("id").alias("line_no"), F.concat(F.lit("gemeinsamer Anfang "), F.col("id")).alias("term"))
+    docs = spark.createDataFrame([(1, "der gemeinsamer Anfang ist hier"), (2, "GEMEINSAMER Anfang 77 da")], "i int, text string")
+    found = {r.i: [t.line_no for t in r._found] for r in blocklist.candidates(docs, terms, "i", "text").collect()}
+    assert set(found) == {2} and sorted(found[2]) == [7, 77]
+
+
+def test_long_blocklist_equals_trying_every_term(spark):
     rng = random.Random(3)
     syllables = ["ma", "mü", "ler", "ka", "Na", "me", "[", "]", "x", " ", "ß", "SS", "É", "ſ", "İ", "Σ", "ς", "\\E", "."]
     terms = list(dict.fromkeys("".join(rng.choice(syllables) for _ in range(rng.randint(1, 6))) for _ in range(60)))
@@ -156,7 +169,8 @@ def test_long_blocklist_equals_trying_every_term(spark, monkeypatch):
     table = spark.createDataFrame(list(enumerate(terms)), "line_no int, term string")
     every = F.array(*[F.lit(r.term_pattern(t)) for t in terms])
     brute = docs.select("i", r.fold_terms(F.col("text"), every).alias("f")).orderBy("i").collect()
-    for limit in (blocklist.MAX_BROADCAST_CHARS, 0):  # broadcast and shuffled
-        monkeypatch.setattr(blocklist, "MAX_BROADCAST_CHARS", limit)
+    for threshold in ("10m", "-1"):  # broadcast and shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         done = blocklist.redact_terms(docs, table, "i", "text").orderBy("i").collect()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert [(d.redacted_text, d.n_name) for d in done] == [(b.f.text, b.f.hits) for b in brute]

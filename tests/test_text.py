@@ -9,7 +9,7 @@ from briefwerk.functions import text as t
 
 def test_ascii_part(values):
     cases = {
-        "Müller": "Muller", "": "unknown", "foo! @bar": "foo-bar", "foo--bar": "foo-bar",
+        "Müller": "Muller", "": "unknown", "tea? #cup": "tea-cup", "oak___elm": "oak-elm",
         "Straße": "Strae", "a–b": "ab", "ﬁx": "fix", "½": "12", "日本": "unknown", "-x-": "x",
     }
     assert values(t.ascii_part, list(cases)) == list(cases.values())
@@ -30,7 +30,7 @@ def test_ascii_part_equals_normalisation_on_random_text(values):
 
 def test_safe_filename(values):
     cases = {
-        "A" * 200 + ".pdf": "A" * 176 + ".pdf", "MyDoc": "MyDoc.pdf", "X.PDF": "X.pdf",
+        "Qq" * 120 + ".pdf": "Qq" * 88 + ".pdf", "Lease": "Lease.pdf", "X.PDF": "X.pdf",
         "a.b.pdf": "a-b.pdf", "A" * 175 + "-BCD.pdf": "A" * 175 + ".pdf", ".pdf": "unknown.pdf",
     }
     assert values(t.safe_filename, list(cases)) == list(cases.values())
