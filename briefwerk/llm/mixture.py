@@ -75,22 +75,25 @@ def _log(x: float) -> float:
 
 def mixture(
     docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None,
-    block_tokens: int = BLOCK_TOKENS, carry: tuple[str, ...] = (),
+    block_tokens: int = BLOCK_TOKENS, carry: tuple[str, ...] = (), places: bool = True,
 ) -> DataFrame:
     """(doc_id, text, source) → block, place, doc_id, source, pass, n_tokens, weight, one row per use of a document.
 
-    ``budget`` is in words; without one it is the number of words there are.
+    ``budget`` is in words; without one it is the number of words there are. ``carry`` names columns that come
+    along: with texts among them, ``places=False`` spares moving them once more, and gives each row the ``key`` that
+    orders its block instead of its place.
     """
     kept = [F.col(c).alias(f"_c_{k}") for k, c in enumerate(carry)]
-    rows = settle(
-        docs.select(
-            "doc_id", F.col("source").alias("source"),
-            F.coalesce(F.concat(F.lit(":"), "source"), F.lit("")).alias("_s"),
-            F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("bigint").alias("n_tokens"), *kept,
-        ),
-        "counted",
+    rows = docs.select(
+        "doc_id", F.col("source").alias("source"),
+        F.coalesce(F.concat(F.lit(":"), "source"), F.lit("")).alias("_s"),
+        F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("bigint").alias("n_tokens"), *kept,
     )
-    tokens = settle(rows.groupBy("_s").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "sources")
+    # sums are taken from narrow rows; what is carried is read again when it is moved
+    narrow = settle(rows.select("doc_id", "_s", "n_tokens"), "counted")
+    if not carry:
+        rows = narrow.withColumn("source", F.when(F.col("_s") != "", F.substr("_s", F.lit(2))))
+    tokens = settle(narrow.groupBy("_s").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "sources")
     total = tokens.agg(F.sum("tokens")).first()[0] or 0
     budget = total if budget is None else budget
     shares = tokens.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1))))
@@ -103,30 +106,35 @@ def mixture(
     ).where("_budget > 0")
     planned = settle(planned.withColumn("_passes", F.ceil(F.col("_budget") / F.col("tokens")).cast("int")), "plan")
 
-    used = (
-        rows.join(planned, "_s")
-        .withColumn("pass", F.explode(F.expr("sequence(0, _passes - 1)")))
-        .withColumn("_key", F.md5(F.concat_ws(":", F.col("pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-        .withColumn("_range", F.substring("_key", 1, 3))
-    )
+    def used(some: DataFrame) -> DataFrame:
+        """A row per document and pass, with its place in the permutation and the range that this falls in."""
+        name = F.concat_ws(":", F.col("pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        each = some.join(planned, "_s").withColumn("pass", F.explode(F.expr("sequence(0, _passes - 1)")))
+        return each.withColumn("_key", F.md5(name.cast("binary"))).withColumn("_range", F.substring("_key", 1, 3))
+
     before = Window.partitionBy("_s", "pass").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
-        used.groupBy("_s", "pass", "_range").agg(F.sum("n_tokens").alias("_sum"))
-        .select("_s", "pass", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+        used(narrow).groupBy("_s", "pass", "_range", "tokens", "_budget").agg(F.sum("n_tokens").alias("_sum"))
+        .withColumn("_before", F.col("pass") * F.col("tokens") + F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+        .where("_before < _budget")
     )
+    ranges = settle(ranges.select("_s", "pass", "_range", "_before"), "ranges")
+    # of the last pass only the ranges within the budget are moved: a row per source and pass says up to which
+    ends = settle(ranges.groupBy("_s", "pass").agg(F.max("_range").alias("_end")), "ends")
     inside = Window.partitionBy("_s", "pass", "_range").orderBy("_key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        used.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+        used(rows).join(ends, ["_s", "pass"]).where("_range <= _end")
+        .withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         .join(ranges, ["_s", "pass", "_range"])
-        .withColumn("_at", F.col("pass") * F.col("tokens") + F.col("_before") + F.col("_inside"))
+        .withColumn("_at", F.col("_before") + F.col("_inside"))
         .where(F.col("_at") < F.col("_budget"))
         # wide numbers: places times blocks outgrow 64 bits
         .withColumn("block", F.expr(f"cast(cast(_at as decimal(19,0)) * {blocks} div _budget as bigint)"))
-    )
+    )
     within = Window.partitionBy("block").orderBy("_key", "_s", "n_tokens")
+    place = F.row_number().over(within).cast("bigint").alias("place") if places else F.col("_key").alias("key")
     return placed.select(
-        "block", F.row_number().over(within).cast("bigint").alias("place"), "doc_id", "source",
-        F.col("pass").cast("bigint").alias("pass"), "n_tokens", "weight",
+        "block", place, "doc_id", "source", F.col("pass").cast("bigint").alias("pass"), "n_tokens", "weight",
         *[F.col(f"_c_{k}").alias(c) for k, c in enumerate(carry)],
     )
 

@@ -249,6 +249,8 @@ def test_mixture_equals_plain_reading(spark, settings):
     for r in found.collect():
         places[r.block].append(r.place)
     assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
+    keyed = mixture.mixture(docs(spark, rows), **full, carry=("text",), places=False)
+    assert rows_of(keyed, "block", "doc_id", "source", "pass", "n_tokens") == got
 
 
 def test_mixture_of_nothing(spark):
