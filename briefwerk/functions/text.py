@@ -45,10 +45,12 @@ def ascii_fold(text: Column) -> Column:
     readings = F.str_to_map(F.lit(listed), F.lit("\x01"), F.lit("\x02"))
 
     def spelled(folded: Column) -> Column:
-        chars = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(readings, c), c))
-        # translate looks characters up in a table; a pattern would try hundreds one by one
+        # only the few different characters that a text holds are replaced, each in one pass
+        found = F.array_distinct(F.regexp_extract_all(folded, F.lit(r"[^\x00-\x7F]"), F.lit(0)))
+        read = F.filter(found, lambda c: F.element_at(readings, c).isNotNull())
+        replaced = F.aggregate(read, folded, lambda text, c: F.replace(text, c, F.element_at(readings, c)))
         has_several = F.translate(folded, "".join(several), "") != folded
-        return F.when(has_several, F.array_join(chars, "")).otherwise(folded)
+        return F.when(has_several, replaced).otherwise(folded)
 
     def fold(raw: Column) -> Column:
         plain = once(F.translate(raw, "".join(single), "".join(single.values())), spelled)

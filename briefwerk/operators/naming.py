@@ -8,7 +8,8 @@ With no other names around, the k-th file of a family gets slot k. Slots are los
 names filed earlier and to other families ("x-2.pdf" may be asked for as such), and
 the files behind move up. Earlier names are known from the start. Between families
 the file that comes first wins a slot, which is settled in rounds: number, find names
-given twice, take the slot from the later family, number again. Since one order
+given twice, take the slot from the later family, number again. Names asked for as such
+are known to be lost to later files from the start. Since one order
 ranks all files, this ends in what serving them one by one would give. Nearly all
 data needs no round at all; families that cannot meet another stay out of them.
 """
@@ -158,6 +159,44 @@ def _meeting(families: DataFrame, held: DataFrame | None, scheme: Scheme) -> Dat
     )
 
 
+def _seeds(families: DataFrame, scheme: Scheme) -> DataFrame:
+    """Slots (dir, base, slot, winner) that a family loses to names asked for as such.
+
+    Whoever first asks for "x-3.pdf" finds it free and takes it, or finds it taken: either way no later file of
+    family "x.pdf" can get it. Knowing that from the start spares a round per such name.
+    """
+    members = families.where("member IS NOT NULL").select(
+        "dir", "member.key", "member.marker", "member.slot", F.col("first").alias("winner")
+    )
+    asked = _keys(families.select("dir", "base", "stem", "suffix", "member"), scheme)
+    met = asked.join(_both_markers(members), ["dir", "key", "marker"])
+    return met.groupBy("dir", "base", "slot").agg(F.min("winner").alias("winner"))
+
+
+def _slots_after(ranked: DataFrame, held: DataFrame) -> DataFrame:
+    """Slots where only names filed earlier are in the way, however many those are.
+
+    A run of held slots moves all files up from the rank that would have met it. Running sums find these ranks, and
+    a second running sum over ranks and runs together says how far each file moves.
+    """
+    by = F.col("to") - F.col("from") + 1
+    runs = running(held.select("dir", "base", "from", by.alias("by")), ["dir", "base"], ["from"], totals={"upto": "by"})
+    marks = runs.select(
+        "dir", "base", (F.col("from") - F.col("upto") + F.col("by")).alias("rank"), F.lit(0).alias("_kind"),
+        F.col("from").alias("_tie"), "by",
+    )
+    kept = ranked.columns
+    concerned = held.select("dir", "base").distinct()
+    others = ranked.join(concerned, ["dir", "base"], "left_anti").withColumn("slot", F.col("rank"))
+    files = ranked.join(concerned, ["dir", "base"], "left_semi").withColumns(
+        {"_kind": F.lit(1), "_tie": F.col("rank"), "by": F.lit(0).cast("bigint")}
+    )
+    both = files.unionByName(marks, allowMissingColumns=True)
+    moved = running(both, ["dir", "base"], ["rank", "_kind", "_tie"], totals={"moved": "by"})
+    done = moved.where("_kind = 1").withColumn("slot", F.col("rank") + F.col("moved"))
+    return others.unionByName(done.select(*kept, "slot"))
+
+
 def _shifts(lost: DataFrame) -> DataFrame:
     """Per family the ranks from which its files move up, and by how much.
 
@@ -187,9 +226,7 @@ def _shifts(lost: DataFrame) -> DataFrame:
     )
 
 
-def _slots(ranked: DataFrame, lost: DataFrame | None) -> DataFrame:
-    if lost is None:
-        return ranked.withColumn("slot", F.col("rank"))
+def _slots(ranked: DataFrame, lost: DataFrame) -> DataFrame:
     moved = F.aggregate(
         F.col("shifts"),
         F.lit(0).cast("bigint"),
@@ -201,30 +238,36 @@ def _slots(ranked: DataFrame, lost: DataFrame | None) -> DataFrame:
 
 
 def _settle_meetings(
-    ranked: DataFrame, held: DataFrame | None, order: str, scheme: Scheme
+    ranked: DataFrame, families: DataFrame, held: DataFrame | None, order: str, scheme: Scheme
 ) -> DataFrame:
     """Slots for families that meet others."""
-    beaten = None  # (dir, base, slot, winner): slots lost to a file of another family
+    # (dir, base, slot, winner): slots lost to a file of another family
+    beaten = _seeds(families, scheme)
+    if held is not None:
+        # a slot held since earlier runs must not be counted twice
+        known = held.select(F.col("dir").alias("_d"), F.col("base").alias("_b"), "from", "to")
+        same = (F.col("dir") == F.col("_d")) & (F.col("base") == F.col("_b"))
+        beaten = beaten.join(known, same & F.col("slot").between(F.col("from"), F.col("to")), "left_anti")
+    beaten = settle(beaten, "beaten")
     while True:
         lost = held.withColumn("earlier", F.lit(0).cast("bigint")) if held is not None else None
-        if beaten is not None:
-            # how many files of the losing family come before the winner
-            marks = beaten.select(
-                "dir", "base", F.col("winner").alias("_at"), "slot", F.lit(0).cast("bigint").alias("_one")
-            ).unionByName(
-                ranked.select(
-                    "dir",
-                    "base",
-                    F.col(order).alias("_at"),
-                    F.lit(None).cast("bigint").alias("slot"),
-                    F.lit(1).cast("bigint").alias("_one"),
-                )
-            )
-            counted = running(marks, ["dir", "base"], ["_at", "_one", "slot"], totals={"earlier": "_one"})
-            more = counted.where("slot IS NOT NULL").select(
-                "dir", "base", F.col("slot").alias("from"), F.col("slot").alias("to"), "earlier"
+        # how many files of the losing family come before the winner
+        marks = beaten.select(
+            "dir", "base", F.col("winner").alias("_at"), "slot", F.lit(0).cast("bigint").alias("_one")
+        ).unionByName(
+            ranked.select(
+                "dir",
+                "base",
+                F.col(order).alias("_at"),
+                F.lit(None).cast("bigint").alias("slot"),
+                F.lit(1).cast("bigint").alias("_one"),
             )
-            lost = more if lost is None else lost.unionByName(more)
+        )
+        counted = running(marks, ["dir", "base"], ["_at", "_one", "slot"], totals={"earlier": "_one"})
+        more = counted.where("slot IS NOT NULL").select(
+            "dir", "base", F.col("slot").alias("from"), F.col("slot").alias("to"), "earlier"
+        )
+        lost = more if lost is None else lost.unionByName(more)
         named = settle(
             _slots(ranked, lost).withColumn("name", scheme.name(F.col("base"), F.col("slot"))), "named"
         )
@@ -240,10 +283,8 @@ def _settle_meetings(
         )
         if losers.isEmpty():
             return named.drop("name")
-        if beaten is not None:
-            losers = losers.unionByName(beaten)
         beaten = settle(
-            losers.groupBy("dir", "base", "slot").agg(F.min("winner").alias("winner")), "beaten"
+            losers.unionByName(beaten).groupBy("dir", "base", "slot").agg(F.min("winner").alias("winner")), "beaten"
         )
 
 
@@ -263,7 +304,7 @@ def allocate(
     asked_base = F.col("base")
     families = settle(
         slim.groupBy("dir", "base")
-        .agg(F.count("*").alias("files"))
+        .agg(F.count("*").alias("files"), F.min("_order").alias("first"))
         .withColumns(
             {
                 "stem": scheme.stem(asked_base),
@@ -284,14 +325,18 @@ def allocate(
         F.col(order).alias("_order"),
         F.col("_rank").alias("rank"),
     )
-    free = held.withColumn("earlier", F.lit(0).cast("bigint")) if held is not None else None
+    def alone(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("slot", F.col("rank")) if held is None else _slots_after(rows, held)
+
     if meeting.isEmpty():
-        done = _slots(wide, free)
+        done = alone(wide)
     else:
-        apart = _slots(wide.join(meeting, ["dir", "base"], "left_anti"), free)
-        met = wide.join(meeting, ["dir", "base"], "left_semi")
-        held_met = held.join(meeting, ["dir", "base"], "left_semi") if held is not None else None
-        done = apart.unionByName(_settle_meetings(met, held_met, "_order", scheme))
+        on = ["dir", "base"]
+        apart = alone(wide.join(meeting, on, "left_anti"))
+        met = wide.join(meeting, on, "left_semi")
+        held_met = held.join(meeting, on, "left_semi") if held is not None else None
+        among = families.join(meeting, on, "left_semi")
+        done = apart.unionByName(_settle_meetings(met, among, held_met, "_order", scheme))
     return done.select(
         *[F.col(f"_in_{c}").alias(c) for c in kept],
         scheme.name(F.col("base"), F.col("slot")).alias(into),

@@ -53,6 +53,23 @@ def test_original_names_equal_serving_one_by_one(spark):
     assert run(spark, rows, taken, False) == one_by_one(rows, taken, False)
 
 
+def test_many_names_asked_for_as_such_take_few_rounds(spark, monkeypatch):
+    from briefwerk.operators import naming
+
+    rounds = []
+    monkeypatch.setattr(naming, "_shifts", lambda lost, known=naming._shifts: (rounds.append(1), known(lost))[1])
+    rows = [("d", f"x-{k}.pdf", f"a{k:04d}") for k in range(2, 502)] + [("d", "x.pdf", f"b{k}") for k in range(4)]
+    rows += [("d", "x.pdf", "a0250x")]
+    assert run(spark, rows, [], True) == one_by_one(rows, [], True)
+    assert len(rounds) <= 3
+
+
+def test_long_runs_of_earlier_names(spark):
+    taken = [("d", "y.pdf")] + [("d", f"y-{k}.pdf") for k in range(2, 400) if k % 7] + [("e", "y-3.pdf")]
+    rows = [(d, "y.pdf", f"{d}{k:03d}") for d in "de" for k in range(120)]
+    assert run(spark, rows, taken, True) == one_by_one(rows, taken, True)
+
+
 def test_free_and_taken_original_name(spark):
     assert run(spark, [("d", "test.pdf", "f")], [], False) == {"f": "test.pdf"}
     assert run(spark, [("d", "test.pdf", "f")], [("d", "test.pdf")], False) == {"f": "test-2.pdf"}
