@@ -384,6 +384,19 @@ select file, nullif(regexp_replace(regexp_replace(regexp_replace({_LINE}, '{_SPA
 from ({_dated(LETTERS, 'text', 'head_date')})"""
 _STREAM_LAST = "(select max(ts) from log) - interval 2 hour"
 
+_RENAME_QUALITY = f"""
+        with e as (select file, ['Niemand', split_part(sender_line, ' ', 1)] as sender_any,
+            case when k % 4 = 0 then ['Rechnung', 'Vollmacht'] else [label] end as content_any,
+            date_text as exp_date from ({LETTERS})),
+        j as (select *, case when status = 'renamed' then final_name else file end as suggested
+          from (select file, status, confidence, final_name from ({_FILED})) join e using (file)),
+        m as (select confidence, status = 'renamed' and {_any_match('sender_any', 'suggested')}
+            and {_any_match('content_any', 'suggested')} and contains({_key('suggested')}, exp_date) as ok from j)
+        select count(*) as evaluated, count(*) filter (ok) as matches,
+          round(count(*) filter (ok) / count(*), 6) as match_rate, count(*) filter (confidence = 'high') as high_conf,
+          round(count(*) filter (confidence = 'high') / count(*), 6) as high_conf_rate,
+          cast(0.9 as double) as target_high_conf_rate from m"""
+
 ORACLE = {
     "redaction_counts_by_lang": _summary("select * from documents", "lang", "text"),
     "redaction_counts_by_engine": _summary(LETTERS, "engine", "text"),
@@ -398,7 +411,8 @@ ORACLE = {
     "redact_chain": f"select file, redacted_text, {_COUNTS} from ({_REDACTED})",
     "redact_documents": f"select doc_id, redacted_text, {_COUNTS} from ({_chain('select * from documents', 'text')})",
     "redact_pages": f"select page_id, redacted_text, {_COUNTS} from ({_chain('select * from pages', 'html')})",
-    "redact_conversations": _summary("select * from conversations", "role", "text"),
+    "redact_conversations": f"""select role, count(*) as turns, {', '.join(f'cast(sum({c}) as bigint) as {c}' for c in _COLUMN.values())}
+        from ({_chain('select role, text from conversations', 'text')}) group by role""",
     "redaction_map": f"with r as materialized ({_REDACTED}) select * from ("
     + " union all ".join(f"select file, '{label}' as label, {c} as n from r" for label, c in _COLUMN.items())
     + ") where n > 0",
@@ -531,18 +545,31 @@ ORACLE = {
     ),
     "outcome_counters": _log("select engine, status, count(*) as n from log group by all"),
     "run_report": _log(f"select section, key, metric, round(value, 6) as value from ({_REPORT})"),
-    "rename_quality": f"""
-        with e as (select file, ['Niemand', split_part(sender_line, ' ', 1)] as sender_any,
-            case when k % 4 = 0 then ['Rechnung', 'Vollmacht'] else [label] end as content_any,
-            date_text as exp_date from ({LETTERS})),
-        j as (select *, case when status = 'renamed' then final_name else file end as suggested
-          from (select file, status, confidence, final_name from ({_FILED})) join e using (file)),
-        m as (select confidence, status = 'renamed' and {_any_match('sender_any', 'suggested')}
-            and {_any_match('content_any', 'suggested')} and contains({_key('suggested')}, exp_date) as ok from j)
-        select count(*) as evaluated, count(*) filter (ok) as matches,
-          round(count(*) filter (ok) / count(*), 6) as match_rate, count(*) filter (confidence = 'high') as high_conf,
-          round(count(*) filter (confidence = 'high') / count(*), 6) as high_conf_rate,
-          cast(0.9 as double) as target_high_conf_rate from m""",
+    "rename_quality": _RENAME_QUALITY,
+    "run_report_quality": "select section, key, metric, round(value, 6) as value from ("
+    + _metrics("quality", "'all'", _RENAME_QUALITY, ["evaluated", "matches", "match_rate", "high_conf", "high_conf_rate", "target_high_conf_rate"])
+    + ")",
+    "scores_without_cloud": f"""
+        select model, file, all_ok, confidence, round(cost_chf, 9) as cost_chf, error
+        from ({_SCORED}) where not contains(model, '(claude)')""",
+    "text_files": "select cast(sum(length(text) + 1) as bigint) as n_chars from documents",
+    "blocklist_file": f"""
+        select row_number() over (order by item_id) as line_no, trim(term) as term
+        from (select item_id, regexp_extract(text, '^([^.\\n]+)', 1) as term from benchmark) where term <> ''""",
+    "rules_file": """
+        select cast(row_number() over (order by r_regionkey) as bigint) as priority, r_name as category,
+          lower(string_agg(n_name, '|' order by n_name)) as keywords
+        from region join nation on r_regionkey = n_regionkey group by r_regionkey, r_name""",
+    "expectations_file": f"""
+        select file, regexp_replace(file, '(.)\\.[^.]+$', '\\1') as id, 'pdf' as input_type,
+          case when k % 6 = 0 then '' else sender_line end as sender_any,
+          case when k % 10 = 4 then '' else label end as content_any,
+          case when k % 6 = 0 then '' else date_text end as exp_date, k % 4 = 0 as cloud_safe
+        from ({LETTERS}) where not (k % 6 = 0 and k % 10 = 4)""",
+    "manifest_partitions": f"""
+        select status, done_category, count(*) as n, min(case status when 'renamed' then 'done/' || done_category || '/' || final_name
+          when 'skipped' then 'error/' || final_name else status || '/' || final_name end) as first_path
+        from ({_FILED}) group by all""",
     "field_scores": f"""
         select model, file, sender_ok, content_ok, date_ok, all_ok, confidence, time_s, round(cost_chf, 9) as cost_chf, error
         from ({_SCORED})""",

@@ -79,8 +79,10 @@ def redact_pages(spark, sf):
 
 
 def redact_conversations(spark, sf):
-    """Redaction hits per role of the conversation turns."""
-    return redact.redaction_summary(_table(spark, sf, "conversations"), "role")
+    """Turns and redaction hits per role of the conversations, zeros included."""
+    done = redact.redact(read_table(spark, f"{sf}/conversations.parquet"))
+    hits = [F.sum(_long(F.col(c))).alias(c) for c in redact.COUNT_COLUMNS.values()]
+    return done.groupBy("role").agg(F.count("*").alias("turns"), *hits)
 
 
 def redaction_map(spark, sf):
@@ -225,6 +227,16 @@ def names_after_earlier_runs(spark, sf):
     return done.select("doc_id", "final_name")
 
 
+def clashing_names(spark, sf):
+    """Plain names beside names that look like their numbered ones, all asked for many times."""
+    group, number = F.col("doc_id") % 50, F.col("doc_id") % 9
+    marker = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("-"), (number + 2).cast("string")))
+    asked = _documents(spark, sf).select(
+        "doc_id", F.lit("inbox").alias("dir"), F.concat(F.lit("brief"), group.cast("string"), marker, F.lit(".pdf")).alias("name")
+    )
+    return naming.unique_names(asked, "dir", "name", "doc_id").select("doc_id", "final_name")
+
+
 # --- topics ------------------------------------------------------------------------------------
 
 def category_assign(spark, sf):
@@ -345,6 +357,71 @@ def filing_manifest(spark, sf):
     return sinks.manifest(filing.outcomes(letter_table(spark, sf)))
 
 
+# --- files written and read back ---------------------------------------------------------------
+
+def text_files(spark, sf):
+    """Documents written as text files: characters read back, a line feed after each document."""
+    path = fresh_path(spark, "texts")
+    _documents(spark, sf).select(F.translate("text", "\r", " ")).write.text(path)
+    return files.read_texts(spark, path, "part-*").agg(F.sum(F.length("text")).alias("n_chars"))
+
+
+def blocklist_file(spark, sf):
+    """Blocklist terms written as a file with a comment on top, and read back."""
+    path = fresh_path(spark, "blocklist")
+    terms = benchmark_terms(spark, sf)
+    head = spark.range(1).select(F.lit(-1).cast("bigint").alias("line_no"), F.lit("# terms").alias("term"))
+    lines = head.unionByName(terms).repartition(1).sortWithinPartitions("line_no")
+    lines.select(F.concat(F.lit("  "), "term")).write.text(path)
+    return files.read_blocklist(spark, path).select(_long(F.col("line_no")).alias("line_no"), "term")
+
+
+def rules_file(spark, sf):
+    """Topic rules written as a JSON list and read back: a region's name is found by its nations' names."""
+    path = fresh_path(spark, "rules")
+    nations = _table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(
+        F.sort_array(F.collect_list("n_name")).alias("keywords")
+    )
+    rules = _table(spark, sf, "region").join(nations, "r_regionkey").select(
+        F.struct("r_regionkey", F.col("r_name").alias("key"), "keywords").alias("rule")
+    )
+    rules.agg(F.to_json(F.sort_array(F.collect_list("rule"))).alias("value")).write.text(path)
+    back = files.read_rules(spark, path)
+    return back.select(_long(F.col("priority")).alias("priority"), "category", F.array_join("keywords", "|").alias("keywords"))
+
+
+def expectations_file(spark, sf):
+    """Expectations of letters written as JSON rows, a scalar or a list each, and read back; those without any are out."""
+    path = fresh_path(spark, "cases")
+    cases = letter_table(spark, sf).selectExpr(
+        "file", "case when k % 6 = 0 then null when k % 2 = 0 then sender_line end as sender_one", "k",
+        "case when k % 2 = 1 then array('', sender_line) end as sender_list",
+        "case when k % 10 = 4 then array() else array(label) end as content_any",
+        "case when k % 6 = 0 then '' else date_text end as date", "k % 4 = 0 as cloud_safe",
+    )
+    shared = ["file", "content_any", "date", "cloud_safe"]
+    lists = cases.where("k % 2 = 1").select(F.to_json(F.struct(*shared, F.col("sender_list").alias("sender_any"))).alias("value"))
+    ones = cases.where("k % 2 = 0").select(F.to_json(F.struct(*shared, F.col("sender_one").alias("sender_any"))).alias("value"))
+    lists.unionByName(ones).write.text(path)
+    usable, _ = files.read_expectation_rows(spark, path)
+    return usable.select(
+        "file", "id", "input_type", F.array_join("sender_any", "|").alias("sender_any"),
+        F.array_join("content_any", "|").alias("content_any"), "exp_date", "cloud_safe",
+    )
+
+
+def manifest_partitions(spark, sf):
+    """The manifest written in partitions and read back: moves per outcome and topic."""
+    path = fresh_path(spark, "manifest")
+    rows = filing_manifest(spark, sf)
+    sinks.write_manifest(rows, path)
+    back = spark.read.parquet(path)
+    topic = F.coalesce(F.col("done_category").cast("string"), F.lit(""))
+    return back.groupBy("status", topic.alias("done_category")).agg(
+        F.count("*").alias("n"), F.min("dest_path").alias("first_path")
+    )
+
+
 # --- run log and reports ---------------------------------------------------------------------------
 
 def log_roundtrip(spark, sf):
@@ -505,16 +582,34 @@ def label_calibration(spark, sf):
     return _rounded(scoring.calibration(results), "high_rate_pct", "high_correct_pct", "low_correct_pct")
 
 
-def rename_quality(spark, sf):
-    """Renamed letters against expected sender, content and date."""
-    log = filing.outcomes(letter_table(spark, sf))
-    wanted = letter_table(spark, sf).select(
+def scores_without_cloud(spark, sf):
+    """The same scores where some cases must not go to a cloud model: none of them does."""
+    cases = _expected(spark, sf).withColumn("cloud_safe", ~F.contains("file", F.lit("7")))
+    texts = letter_table(spark, sf).select("file", "text")
+    done = evaluation.evaluate(cases, texts, _responses(spark, sf), MODELS)
+    return done.select("model", "file", "all_ok", "confidence", F.round("cost_chf", 9).alias("cost_chf"), "error")
+
+
+def run_report_quality(spark, sf):
+    """The quality section of a run's report, from the letters' expectations."""
+    log = sinks.log_rows(filing.outcomes(letter_table(spark, sf)))
+    report = reports.run_report(log, _wanted(spark, sf)).where("section = 'quality'")
+    return _rounded(report, "value")
+
+
+def _wanted(spark, sf):
+    return letter_table(spark, sf).select(
         "file",
         F.expr("array('Niemand', split(sender_line, ' ')[0])").alias("sender_any"),
         F.expr("case when k % 4 = 0 then array('Rechnung', 'Vollmacht') else array(label) end").alias("content_any"),
         F.expr("date_text").alias("exp_date"),
     )
-    return _rounded(scoring.rename_quality(log, wanted), "match_rate", "high_conf_rate")
+
+
+def rename_quality(spark, sf):
+    """Renamed letters against expected sender, content and date."""
+    log = filing.outcomes(letter_table(spark, sf))
+    return _rounded(scoring.rename_quality(log, _wanted(spark, sf)), "match_rate", "high_conf_rate")
 
 
 # --- streaming -----------------------------------------------------------------------------------------
@@ -542,7 +637,7 @@ def stream_counters(spark, sf):
     path = fresh_path(spark, "counters")
     counts = jobs.outcome_counts(_event_log_stream(spark, sf))
     jobs.keep_counters(counts, path, fresh_path(spark, "counters-checkpoint")).awaitTermination()
-    return spark.read.schema(counts.schema).parquet(path)
+    return jobs.current_counters(spark, path)
 
 
 def stream_window_stats(spark, sf):
@@ -600,6 +695,7 @@ QUERIES = {
     "unique_names": unique_names,
     "original_unique_names": unique_original_names,
     "names_after_earlier_runs": names_after_earlier_runs,
+    "clashing_names": clashing_names,
     "category_assign": category_assign,
     "category_by_table": category_by_table,
     "category_documents": category_documents,
@@ -616,6 +712,11 @@ QUERIES = {
     "filing_run": filing_run,
     "filing_phases": filing_phases,
     "filing_manifest": filing_manifest,
+    "text_files": text_files,
+    "blocklist_file": blocklist_file,
+    "rules_file": rules_file,
+    "expectations_file": expectations_file,
+    "manifest_partitions": manifest_partitions,
     "log_roundtrip": log_roundtrip,
     "pending_docs": pending_docs,
     "reprocess_notice": reprocess_notice,
@@ -631,7 +732,9 @@ QUERIES = {
     "run_summary": run_summary,
     "outcome_counters": outcome_counters,
     "run_report": run_report,
+    "run_report_quality": run_report_quality,
     "rename_quality": rename_quality,
+    "scores_without_cloud": scores_without_cloud,
     "field_scores": field_scores,
     "model_accuracy": model_accuracy,
     "calibration": calibration,

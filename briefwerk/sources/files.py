@@ -94,7 +94,18 @@ def read_expectations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         .alias("cases"),
         F.coalesce(F.try_variant_get("v", "$.cloud_safe", "boolean"), F.lit(False)).alias("all_safe"),
     )
-    cases = top.select("all_safe", F.posexplode("cases").alias("pos", "case"))
+    return _cases(top.select("all_safe", F.posexplode("cases").alias("pos", "case")))
+
+
+def read_expectation_rows(spark: SparkSession, path: str, cloud_safe: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The same from JSON rows, one case each, for tables of any size; a row may number itself as ``case_no``."""
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.try_parse_json("value").alias("case"))
+    number = F.coalesce(F.try_variant_get("case", "$.case_no", "int"), F.lit(1)) - 1
+    return _cases(rows.select(F.lit(cloud_safe).alias("all_safe"), number.alias("pos"), "case"))
+
+
+def _cases(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable, rejected) of rows (all_safe, pos, case)."""
     case = F.col("case")
     file = _text_field(case, "file")
     guessed = F.when(F.lower(file).endswith(".txt"), F.lit("text")).otherwise(F.lit("pdf"))

@@ -71,10 +71,13 @@ def outcome_counts(log: DataFrame) -> DataFrame:
 
 
 def keep_counters(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Overwrite a small table with the current counters after every batch."""
+    """Write the current counters after every batch, each into a folder of its own.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+    Nothing is overwritten, so a reader always finds a whole table, and a failed write costs no earlier one.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         counts.writeStream.outputMode("complete")
@@ -85,6 +88,13 @@ def keep_counters(counts: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
+def current_counters(spark: SparkSession, path: str) -> DataFrame:
+    """The counters of the newest batch."""
+    kept = spark.read.parquet(path)
+    newest = kept.agg(F.max("batch")).scalar()
+    return kept.where(F.col("batch") == newest).drop("batch")
+
+
 def hourly_stats(log: DataFrame, ts: str = "ts", late: str = "2 hours", every: str = "1 hour") -> DataFrame:
     """Rows, cost and time per hour; rows that come later than ``late`` are dropped."""
     timed = log.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
