@@ -358,8 +358,8 @@ select event_id, user_id % 7 as attempt, 'OSError' as type_name,
     when 7 then 'EOF marker not found' else 'disk full' end as message,
   case event_id % 5 when 0 then '0.5' when 1 then '17' when 2 then 'soon' when 3 then '' end as retry_after
 from events where event_type = 'error'"""
-_INBOX = "select distinct file from log"
-_FINISHED = "select file from log where engine = 'claude' and status in ('renamed', 'unrecognized', 'review')"
+_INBOX = "select 'brief_' || c_custkey || '.pdf' as file from customer"
+_FINISHED = "select file from log where status in ('renamed', 'unrecognized', 'review')"
 _KINDS = {kind: [label for label, k in DOCUMENT_TYPES if k == kind] for kind in ("statement", "certificate")}
 _TYPE = "case " + " ".join(
     f"when contains(lower(text), '{label.lower()}') then '{label}'" for label, _ in DOCUMENT_TYPES

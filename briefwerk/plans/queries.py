@@ -432,18 +432,20 @@ def log_roundtrip(spark, sf):
     return runlog.terminal_files(files.read_log(spark, path))
 
 
+def _inbox(spark, sf):
+    """Files that wait, one per customer; the log knows some of them."""
+    number = F.col("c_custkey").cast("string")
+    return _table(spark, sf, "customer").select(F.concat(F.lit("brief_"), number, F.lit(".pdf")).alias("file"))
+
+
 def pending_docs(spark, sf):
-    """Letters without a finished log row."""
-    inbox = run_log(spark, sf).select("file").distinct()
-    finished = run_log(spark, sf).where("engine = 'claude'")
-    return runlog.pending(inbox, finished)
+    """Files in the inbox without a finished log row."""
+    return runlog.pending(_inbox(spark, sf), run_log(spark, sf))
 
 
 def reprocess_notice(spark, sf):
-    """Letters in the inbox that the log calls finished."""
-    inbox = run_log(spark, sf).select("file").distinct()
-    finished = run_log(spark, sf).where("engine = 'claude'")
-    return runlog.reprocessed(inbox, finished)
+    """Files in the inbox that the log calls finished."""
+    return runlog.reprocessed(_inbox(spark, sf), run_log(spark, sf))
 
 
 def latest_log(spark, sf):
