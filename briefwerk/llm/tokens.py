@@ -1,6 +1,7 @@
 """Token counts as the tokenizer's library gives them, huge documents by overlap resynchronisation.
 
-A text of up to ``chunk`` characters is encoded as it is. A longer one is encoded in chunks that overlap, with
+A text of up to ``chunk`` characters is encoded as it is, but pieces between blanks that surely begin a pre-token
+are encoded once per worker and remembered (a bounded number of them). A longer one is encoded in chunks that overlap, with
 offsets, and spliced where that is proven to be right: the library first cuts a text into pre-tokens from left to
 right, without looking back. If both chunks have a pre-token beginning at the same place, and the left chunk is
 right up to there, everything from there on is the same in the right chunk and in the whole text. Places too near
@@ -16,7 +17,9 @@ added, cut or padded; rows are counted one by one; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,25 +52,33 @@ def load(tokenizer: str):
 
 
 class _Chunk:
-    """The tokens of text[start:end]: where each begins, and which begin a pre-token."""
+    """The encoding of text[start:end]."""
 
     def __init__(self, tokenizer, text: str, start: int, end: int) -> None:
         self.start, self.end = start, end
-        encoded = tokenizer.encode(text[start:end], add_special_tokens=False)
-        self.begin = np.fromiter((o[0] for o in encoded.offsets), dtype=np.int64, count=len(encoded)) + start
-        words = np.fromiter((-1 if w is None else w for w in encoded.word_ids), dtype=np.int64, count=len(encoded))
-        fresh = np.ones(len(words), dtype=bool)
-        fresh[1:] = (words[1:] != words[:-1]) & (words[1:] >= 0) & (words[:-1] >= 0)
-        self.opens = np.flatnonzero(fresh)
+        self.encoded = tokenizer.encode(text[start:end], add_special_tokens=False)
+        self.size = len(self.encoded)
+
+    def opens(self, first: int, last: int) -> dict[int, int]:
+        """Places from ``first`` to ``last`` where a pre-token begins, with the number of its first token."""
+        e, out = self.encoded, {}
+        token = next((t for p in range(first, last + 1) if (t := e.char_to_token(p - self.start)) is not None), self.size)
+        for k in range(token, self.size):
+            place = e.token_to_chars(k)[0] + self.start
+            if place > last:
+                break
+            word = e.token_to_word(k)
+            fresh = k == 0 or (word is not None and (before := e.token_to_word(k - 1)) is not None and before != word)
+            if fresh and place >= first:
+                out.setdefault(place, k)
+        return out
 
     def common(self, right: _Chunk, margin: int) -> tuple[int, int] | None:
         """(tokens of this chunk before the first proven common place, tokens of the right one before it)."""
-        mine = self.begin[self.opens]
-        mine_ok = (mine >= right.start) & (mine <= self.end - margin)
-        _, a, b = np.intersect1d(mine[mine_ok], right.begin[right.opens], return_indices=True)
-        if not len(a):
-            return None
-        return int(self.opens[mine_ok][a[0]]), int(right.opens[b[0]])
+        mine = self.opens(right.start, self.end - margin)
+        theirs = right.opens(right.start, self.end - margin)
+        met = min(mine.keys() & theirs.keys(), default=None)
+        return None if met is None else (mine[met], theirs[met])
 
 
 def spliced_count(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
@@ -91,17 +102,71 @@ def spliced_count(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERL
                 left, skip = right, met[1]
                 break
             wide *= 2
-    return total + len(left.begin) - skip
+    return total + left.size - skip
+
+
+def _cuts_at_blanks(tokenizer) -> bool:
+    """Whether a blank after something else than white space always begins a pre-token.
+
+    The byte-level pattern has no match that goes on from another character into a blank, and looks at nothing to
+    its left. Normalisers, other patterns and special tokens with white space could change that.
+    """
+    made = json.loads(tokenizer.to_str())
+    pattern = made.get("pre_tokenizer") or {}
+    plain = all(
+        not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])) for t in made["added_tokens"]
+    )
+    return made.get("normalizer") is None and pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True) and plain \
+        and not pattern.get("add_prefix_space", True)
+
+
+class _Short:
+    """Counts of texts of up to a chunk. Pieces between proven cuts are encoded once and remembered."""
+
+    def __init__(self, tokenizer, most: int = 600_000) -> None:
+        self.tokenizer, self.most, self.known = tokenizer, most, {}
+        self.cuts = _cuts_at_blanks(tokenizer)
+
+    def _encode(self, rows: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+
+    def count(self, rows: list[str]) -> list[int]:
+        if not self.cuts:
+            return self._encode(rows)
+        split = [_pieces(t) for t in rows]
+        if len(self.known) > self.most:
+            self.known.clear()
+        fresh = list(set().union(*split).difference(self.known))
+        for first in range(0, len(fresh), 1 << 14):
+            some = fresh[first : first + (1 << 14)]
+            self.known.update(zip(some, self._encode(some), strict=True))
+        known = self.known.__getitem__
+        return [sum(map(known, p)) for p in split]
+
+
+def _pieces(text: str) -> list[str]:
+    """The text cut before each blank that follows something else than white space."""
+    if _DOUBTFUL.search(text):
+        return _CUT.split(text)
+    first, *rest = text.split(" ")
+    return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+
+
+_DOUBTFUL = re.compile(r"\s ")
+_CUT = re.compile(r"(?<=\S)(?= )")
+_SHORT: dict[str, _Short] = {}
 
 
 def counts(rows: list[str | None], tokenizer: str = NAME, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
     """Token counts of texts."""
     made = load(tokenizer)
+    if tokenizer not in _SHORT:
+        _SHORT[tokenizer] = _Short(made)
     out = np.zeros(len(rows), dtype=np.int64)
     short = [k for k, t in enumerate(rows) if t and len(t) <= chunk]
     for first in range(0, len(short), 256):
         some = short[first : first + 256]
-        out[some] = [len(e) for e in made.encode_batch_fast([rows[k] for k in some], add_special_tokens=False)]
+        out[some] = _SHORT[tokenizer].count([rows[k] for k in some])
     for k, t in enumerate(rows):
         if t and len(t) > chunk:
             out[k] = spliced_count(made, t, chunk, overlap)

@@ -186,6 +186,14 @@ def test_spliced_counts_equal_whole_encodings():
         assert tokens.spliced_count(made, text, 100, 10) == whole(text)
 
 
+def test_remembered_pieces_equal_whole_encodings():
+    made, rng = tokens.load(tokens.NAME), random.Random(15)
+    bits = ["a", "b", " ", " ", "  ", "\n", " \n", "'", "'re", "é", "\x1c", "\x85", "\u2003", "\xa0", "1", "<|endoftext|>", "<|end", "The", "\t"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    assert tokens.counts(texts).tolist() == [len(made.encode(t, add_special_tokens=False)) for t in texts]
+    assert all("".join(tokens._pieces(t)) == t for t in texts)
+
+
 def test_token_counts(spark):
     made = tokens.load(tokens.NAME)
     rows = [*ODD, (1, "a b <|endoftext|> c", "en", "a"), (1, "a b <|endoftext|> c", "en", "a"), (None, "über 'll", "en", "a")]
