@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import redaction as r
 from ..functions import requests as q
-from ..functions.text import is_blank, letter_date, proposed_name
+from ..functions.text import is_blank, letter_date, proposed_name, safe_filename, strip
 
 # what an analysed letter brings along; further columns pass through
 LETTER_COLUMNS = (
@@ -96,6 +96,24 @@ def route(df: DataFrame) -> DataFrame:
     )
 
 
+def decide_by_hand(routed: DataFrame, answer: Column) -> DataFrame:
+    """What a person made of the proposed names: nothing (NULL) accepts, a blank answer skips, any other renames.
+
+    A letter skipped by hand keeps its proposal and its high confidence; a typed name is made portable.
+    """
+    asked, typed = F.col("status") == "renamed", strip(answer)
+    skipped = asked & answer.isNotNull() & (typed == "")
+    return routed.withColumns(
+        {
+            "status": F.when(skipped, F.lit("skipped")).otherwise(F.col("status")),
+            "error_reason": F.when(skipped, F.lit("manual-skip")).otherwise(F.col("error_reason")),
+            "proposed_name": F.when(asked & (typed != ""), safe_filename(F.concat(typed, F.lit(fixed.SUFFIX)))).otherwise(
+                F.col("proposed_name")
+            ),
+        }
+    )
+
+
 def may_leave(df: DataFrame) -> DataFrame:
     """Privacy gate: only letters with text, and without a known leak in what would be sent."""
     outgoing = F.when(F.col("engine") == fixed.HYBRID, F.col("anonymized_text")).otherwise(

@@ -487,6 +487,13 @@ ORACLE = {
     "route_outcomes": f"""
         select file, engine, status, confidence, error_reason, proposed_name, round(cost_chf, 9) as cost_chf
         from ({_OUTCOMES})""",
+    "manual_decisions": f"""
+        select file, case when asked and answer = '' then 'skipped' else status end as status, confidence,
+          case when asked and answer = '' then 'manual-skip' else error_reason end as error_reason,
+          case when asked and answer <> '' then {_safe("(answer || '.pdf')")} else proposed_name end as proposed_name
+        from (select *, status = 'renamed' as asked,
+            case when k % 5 = 0 then '' when k % 5 = 1 then trim(label || ' von Hand') end as answer
+          from ({_OUTCOMES}))""",
     "uncertain_fields": f"""
         select file, sender, content, date, coalesce('unklare Felder: ' || nullif(concat_ws(', ',
           case when sender in ('unknown', '') then 'sender' end, case when content in ('unknown', '') then 'content' end,

@@ -326,6 +326,13 @@ def _failures(spark, sf):
     )
 
 
+def manual_decisions(spark, sf):
+    """Proposed names accepted, skipped or typed anew by hand."""
+    answer = F.expr("case when k % 5 = 0 then '  ' when k % 5 = 1 then concat(' ', label, ' von Hand ') end")
+    done = routing.decide_by_hand(filing.analyse(letter_table(spark, sf)), answer)
+    return done.select("file", "status", "confidence", "error_reason", "proposed_name")
+
+
 def error_classes(spark, sf):
     """Failures per class."""
     classes = _failures(spark, sf).select(q.error_class(F.col("message"), F.col("type_name")).alias("error"))
@@ -708,6 +715,7 @@ QUERIES = {
     "token_cost": token_cost,
     "rule_extract": rule_extract,
     "route_outcomes": route_outcomes,
+    "manual_decisions": manual_decisions,
     "uncertain_fields": uncertain_fields,
     "error_classes": error_classes,
     "retry_plan": retry_plan,

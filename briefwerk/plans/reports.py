@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..operators.scoring import calibration, model_accuracy, model_cost, rename_quality
+from ..session import settle
 
 
 # money and seconds are summed as decimals: the order of the rows does not show in the result
@@ -194,7 +195,8 @@ def _rows(df: DataFrame, section: str, key: str) -> DataFrame:
 
 
 def eval_report(results: DataFrame) -> DataFrame:
-    """The comparison of models as (section, key, metric, value)."""
+    """The comparison of models as (section, key, metric, value); the results are worked out once."""
+    results = settle(results, "results")
     return (
         _rows(model_accuracy(results), "accuracy", "model")
         .unionByName(_rows(calibration(results), "calibration", "model"))
