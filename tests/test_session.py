@@ -3,15 +3,12 @@
 import os
 import subprocess
 import sys
+import time
 
 from briefwerk.session import shared_dir
 
 RUN = """
-import sys
-from pyspark.sql import SparkSession
 from briefwerk.session import local_session, settle
-if sys.argv[1:]:
-    SparkSession.builder.config("spark.checkpoint.dir", sys.argv[1])
 spark = local_session("1")
 table = settle(spark.range(10))
 print("ROWS", table.count(), table.inputFiles()[0])
@@ -21,11 +18,17 @@ spark.stop()
 
 def test_a_run_leaves_nothing_behind(tmp_path):
     for given in ([str(tmp_path / "shared")], []):
-        done = subprocess.run([sys.executable, "-c", RUN, *given], capture_output=True, text=True, cwd=tmp_path, env={**os.environ, "PYTHONPATH": os.getcwd()})
+        conf = "".join(f"--conf spark.checkpoint.dir={folder} " for folder in given)
+        env = {**os.environ, "PYTHONPATH": os.getcwd(), "PYSPARK_SUBMIT_ARGS": f"{conf}pyspark-shell"}
+        done = subprocess.run([sys.executable, "-c", RUN], capture_output=True, text=True, cwd=tmp_path, env=env)
         line = next(x for x in done.stdout.splitlines() if x.startswith("ROWS"))
         _, rows, where = line.split()
         assert rows == "10" and (not given or where.startswith(f"file://{given[0]}"))
-        assert not os.path.exists(where.removeprefix("file://"))
+        for _ in range(100):  # the JVM ends a little after Python
+            if not os.path.exists(where.removeprefix("file://")):
+                break
+            time.sleep(0.2)
+        assert not os.path.exists(where.removeprefix("file://")), where
 
 
 def test_the_folder_is_the_session_s_own(spark):
