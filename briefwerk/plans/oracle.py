@@ -350,7 +350,7 @@ _EVAL = f"with s as materialized ({_SCORED}) "
 
 _NAMED_SOURCES = "select doc_id, source, 'inbox' as dir from documents"
 _SLOT = "case when slot = 1 then source || '.txt' else source || '-' || slot || '.txt' end"
-_TERM_ROWS = "select item_id, regexp_extract(text, '^([^.\\n]+)', 1) as term from benchmark"
+_TERM_ROWS = "select item_id, text as term from benchmark"
 _FAILURES = """
 select event_id, user_id % 7 as attempt, 'OSError' as type_name,
   case event_id % 9 when 0 then 'Invalid API_KEY' when 1 then 'Read timed out' when 2 then 'HTTP 429, timeout'
@@ -562,7 +562,7 @@ ORACLE = {
     "text_files": "select cast(sum(length(text) + 1) as bigint) as n_chars from documents",
     "blocklist_file": f"""
         select row_number() over (order by item_id) as line_no, trim(term) as term
-        from (select item_id, regexp_extract(text, '^([^.\\n]+)', 1) as term from benchmark) where term <> ''""",
+        from (select item_id, translate(text, chr(10), ' ') as term from benchmark) where term <> ''""",
     "rules_file": """
         select cast(row_number() over (order by r_regionkey) as bigint) as priority, r_name as category,
           lower(string_agg(n_name, '|' order by n_name)) as keywords

@@ -110,10 +110,9 @@ def blocklist_redact(spark, sf):
 
 
 def benchmark_terms(spark, sf):
-    """The first sentence of every benchmark passage as a blocklist table."""
+    """Every benchmark passage, whole, as a blocklist table."""
     passages = _table(spark, sf, "benchmark")
-    first = F.regexp_extract("text", r"\A([^.\n]+)", 1)
-    return passages.select(F.col("item_id").alias("line_no"), first.alias("term")).where("term <> ''")
+    return passages.select(F.col("item_id").alias("line_no"), F.col("text").alias("term")).where("term <> ''")
 
 
 def blocklist_table_redact(spark, sf):
@@ -376,7 +375,7 @@ def text_files(spark, sf):
 def blocklist_file(spark, sf):
     """Blocklist terms written as a file with a comment on top, and read back."""
     path = fresh_path(spark, "blocklist")
-    terms = benchmark_terms(spark, sf)
+    terms = benchmark_terms(spark, sf).withColumn("term", F.translate("term", "\n", " "))
     head = spark.range(1).select(F.lit(-1).cast("bigint").alias("line_no"), F.lit("# terms").alias("term"))
     lines = head.unionByName(terms).repartition(1).sortWithinPartitions("line_no")
     lines.select(F.concat(F.lit("  "), "term")).write.text(path)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import name_stem, strip
+from ..operators.running import running
 from ..schemas import RUN_LOG
 
 
@@ -37,11 +38,18 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
-    """Blocklist terms (line_no, term) in file order, without comments and blank lines."""
-    lines = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.split("value", r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]")).alias("line_no", "line")
-    )
-    return lines.select("line_no", strip(F.col("line")).alias("term")).where(
+    """Blocklist terms (line_no, term) in file order, without comments and blank lines.
+
+    Lines are read one by one and numbered by their place, so a list may have millions of them.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    # line breaks that the reader does not know
+    parts = lines.select("_file", "_block", "_row", F.posexplode(F.split("value", "[\x0B\f\x1C-\x1E\x85\u2028\u2029]")).alias("_part", "line"))
+    numbered = running(parts, [], ["_file", "_block", "_row", "_part"], "_n")
+    return numbered.select((F.col("_n") - 1).alias("line_no"), strip(F.col("line")).alias("term")).where(
         (F.col("term") != "") & ~F.startswith(F.col("term"), F.lit("#"))
     )
 
