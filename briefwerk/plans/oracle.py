@@ -559,6 +559,7 @@ ORACLE = {
     "scores_without_cloud": f"""
         select model, file, all_ok, confidence, round(cost_chf, 9) as cost_chf, error
         from ({_SCORED}) where not contains(model, '(claude)')""",
+    "folder_scan": "select cast(4 as bigint) as n_files, cast(sum(strlen(text) + 1) as bigint) as bytes from documents",
     "text_files": "select cast(sum(length(text) + 1) as bigint) as n_chars from documents",
     "blocklist_file": f"""
         select row_number() over (order by item_id) as line_no, trim(term) as term

@@ -365,6 +365,18 @@ def filing_manifest(spark, sf):
 
 # --- files written and read back ---------------------------------------------------------------
 
+def folder_scan(spark, sf):
+    """A folder of files named like scans, made from the documents: how many, and how many bytes."""
+    path = fresh_path(spark, "inbox")
+    _documents(spark, sf).select("text").repartition(4).write.text(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    folder = at(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for k, found in enumerate(store.globStatus(at(folder, "part-*"))):
+        store.rename(found.getPath(), at(folder, f"brief{k}.{'PDF' if k % 2 else 'pdf'}"))
+    return files.scan_folder(spark, path).agg(F.count("file").alias("n_files"), F.sum("bytes").alias("bytes"))
+
+
 def text_files(spark, sf):
     """Documents written as text files: characters read back, a line feed after each document."""
     path = fresh_path(spark, "texts")
@@ -721,6 +733,7 @@ QUERIES = {
     "filing_run": filing_run,
     "filing_phases": filing_phases,
     "filing_manifest": filing_manifest,
+    "folder_scan": folder_scan,
     "text_files": text_files,
     "blocklist_file": blocklist_file,
     "rules_file": rules_file,
