@@ -9,7 +9,7 @@ Texts at a greater distance from their centroid than nearly all sampled texts of
 are marked as rejected. The general interface then says ``und``; the query keeps the nearest language beside the
 mark, as its contract wants a language for every text with letters.
 
-What is learned: at most about ``sample`` rows a language, picked by hash of the id; at most ``languages`` centroid
+What is learned: at most about ``sample`` rows a language and ``in_all`` in all, picked by hash of the id; at most ``languages`` centroid
 sets, those with the most rows (more than there are languages written). Defined results: null and empty texts, and
 texts without letters, are ``und`` with score 0; without any labelled text everything is ``und``; repeated rows are
 judged one by one; further columns are ignored.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, pieces, table
 
-BITS, ORDERS, SAMPLE, CENTROIDS, LANGUAGES, QUANTILE, SHARPNESS = 12, 3, 600, 4, 1000, 0.002, 40.0
+BITS, ORDERS, SAMPLE, CENTROIDS, LANGUAGES, QUANTILE, SHARPNESS, IN_ALL = 12, 3, 600, 4, 1000, 0.002, 40.0, 8000
 PLACES = 1 << BITS
 UNKNOWN = "und"
 _U = np.uint64
@@ -126,14 +126,17 @@ def clustered(v: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES, quantile: float = QUANTILE) -> Model:
+def fit(
+    docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES, quantile: float = QUANTILE, in_all: int = IN_ALL
+) -> Model:
     """Learn from text and lang of (doc_id, text, lang), but for ids whose crc32 mod 4 is 2."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2) & (F.length("text") > 0))
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map([x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, sample / r.n)))]) if sizes else None
-    if rate is None:
+    if not sizes:
         return Model([], np.zeros((0, PLACES)), np.zeros(0, int), np.zeros(0), np.ones(PLACES))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    each = min(sample, max(8, in_all // len(sizes)))
+    rate = F.create_map([x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, each / r.n)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
