@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +70,14 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 23) ->
         last = min(max(last, first + 1), n)
         yield batch.slice(first, last - first)
         first = last
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and what one stage needed must not weigh on the next."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -228,6 +238,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             held = [batch]
     if held:
         yield pa.Table.from_batches(held)
+    give_back()
 
 
 def runs(*columns: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import RowKeys, hashed_words, maybe, packed_row, pieces, table, texts
+from .common import RowKeys, give_back, hashed_words, maybe, packed_row, pieces, table, texts
 
 INDEX_SCHEMA = (
     "row_keys binary, doc_ids array<bigint>, n_words binary, segment_doc binary, segment_base binary, "
@@ -244,7 +244,7 @@ def _shard(docs: list[tuple], segments: list[tuple], sample: int) -> dict:
     }
 
 
-def build_index(docs: DataFrame, window: int = 10, shard_words: int = 1 << 20, sample: int = 8) -> DataFrame:
+def build_index(docs: DataFrame, window: int = 10, shard_words: int = 1 << 19, sample: int = 8) -> DataFrame:
     """(doc_id, text) → one FM-index row per shard of at most ``shard_words`` words."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,6 +358,7 @@ def search_index(index: DataFrame, phrases: np.ndarray, lengths: np.ndarray, own
             for k in range(batch.num_rows):
                 found = list(_spans(Index(batch.slice(k, 1).to_pylist()[0]), *sent.value))
                 yield pa.RecordBatch.from_pylist(found, schema=arrow)
+            give_back()
 
     return index.drop("doc_ids").mapInArrow(search, HIT_SCHEMA)
 
@@ -383,7 +384,7 @@ def documents_of(index: DataFrame) -> DataFrame:
     return index.select("row_keys", "doc_ids", "n_words").mapInArrow(listed, "row_key bigint, doc_id bigint, n_words bigint")
 
 
-def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 1 << 20) -> DataFrame:
+def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 1 << 19) -> DataFrame:
     """row_key, doc_id, n_words, spans (array of start, end in words), items (sorted ids) per document.
 
     Documents without a hit have empty arrays. Spans are merged over windows, segments and phrase blocks.
