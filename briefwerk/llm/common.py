@@ -37,6 +37,11 @@ def packed_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
+def text_hashes() -> dict[str, Column]:
+    """128 bits that stand for a text, as ``_h1`` and ``_h2``: what depends on the text alone goes back to rows by them."""
+    return {"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")}
+
+
 def remainder(doc_id: Column, of: int) -> Column:
     """crc32(doc_id as text) mod ``of``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(of)

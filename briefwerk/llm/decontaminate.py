@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import RowKeys, give_back, hashed_words, maybe, packed_row, pieces, table, texts
+from .common import RowKeys, give_back, hashed_words, maybe, packed_row, pieces, table, text_hashes, texts
 
 INDEX_SCHEMA = (
-    "row_keys binary, doc_ids array<bigint>, n_words binary, segment_doc binary, segment_base binary, "
+    "row_keys binary, doc_ids array<bigint>, text_hashes binary, n_words binary, segment_doc binary, segment_base binary, "
     "segment_start binary, dictionary binary, counts binary, bits binary, ranks binary, zeros binary, "
     "sampled_bits binary, sampled_ranks binary, samples binary, n bigint"
 )
@@ -37,6 +37,7 @@ INDEX_ARROW = pa.schema([
     for name, kind in (field.split() for field in INDEX_SCHEMA.split(", "))
 ])
 HIT_SCHEMA = "row_key bigint, starts array<bigint>, ends array<bigint>, items array<bigint>"
+LISTED = "row_key bigint, doc_id bigint, n_words bigint, _h1 bigint, _h2 bigint"
 
 
 # ---------------------------------------------------------------- suffixes
@@ -206,7 +207,7 @@ class Index:
 
 
 def _shard(docs: list[tuple], segments: list[tuple], sample: int) -> dict:
-    """One index row. docs: (row key, doc_id, words); segments: (doc number, first word, hashes)."""
+    """One index row. docs: (row key, doc_id, words, two hashes of the text); segments: (doc number, first word, hashes)."""
     lengths = np.array([len(s[2]) for s in segments], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1].astype(np.int64)  # a separator follows each segment
     n = int((lengths + 1).sum())
@@ -234,6 +235,7 @@ def _shard(docs: list[tuple], segments: list[tuple], sample: int) -> dict:
     join = lambda parts: b"".join(p.tobytes() for p in parts)
     return {
         "row_keys": np.array([d[0] for d in docs], dtype=np.int64).tobytes(), "doc_ids": [d[1] for d in docs],
+        "text_hashes": np.array([d[3:] for d in docs], dtype=np.int64).tobytes(),
         "n_words": np.array([d[2] for d in docs], dtype=np.int64).tobytes(),
         "segment_doc": np.array([s[0] for s in segments], dtype=np.int64).tobytes(),
         "segment_base": np.array([s[1] for s in segments], dtype=np.int64).tobytes(),
@@ -262,12 +264,12 @@ def build_index(docs: DataFrame, window: int = 10, shard_words: int = 1 << 19, s
         for batch in batches:
             for part in pieces(batch):
                 hashes, first, _, _ = hashed_words(*texts(part))
-                ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
-                for key, doc_id, a, b in zip(keys.take(len(ids)), ids, first[:-1], first[1:], strict=True):
+                ids, h1, h2 = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "_h1", "_h2"))
+                for key, doc_id, a, b, *text in zip(keys.take(len(ids)), ids, first[:-1], first[1:], h1, h2, strict=True):
                     if held and held + (b - a) + 1 > shard_words:
                         yield flush()
                         held = 0
-                    rows.append((key, doc_id, b - a))
+                    rows.append((key, doc_id, b - a, *text))
                     base = 0
                     while True:
                         piece = hashes[a + base : min(b, a + base + shard_words)]
@@ -278,11 +280,12 @@ def build_index(docs: DataFrame, window: int = 10, shard_words: int = 1 << 19, s
                         base += len(piece) - (window - 1)
                         yield flush()
                         held = 0
-                        rows.append((key, doc_id, -1))  # the same document goes on: its words are counted once
+                        rows.append((key, doc_id, -1, *text))  # the same document goes on: its words are counted once
         if rows:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(build, INDEX_SCHEMA)
+    hashes = [h.alias(name) for name, h in text_hashes().items()]
+    return docs.select("doc_id", "text", *hashes).mapInArrow(build, INDEX_SCHEMA)
 
 
 # ---------------------------------------------------------------- phrases and searching
@@ -360,13 +363,13 @@ def search_index(index: DataFrame, phrases: np.ndarray, lengths: np.ndarray, own
                 yield pa.RecordBatch.from_pylist(found, schema=arrow)
             give_back()
 
-    return index.drop("doc_ids").mapInArrow(search, HIT_SCHEMA)
+    return index.drop("doc_ids", "text_hashes").mapInArrow(search, HIT_SCHEMA)
 
 
 def documents_of(index: DataFrame) -> DataFrame:
-    """row_key, doc_id and n_words of every indexed document, once."""
+    """row_key, doc_id, n_words and the two text hashes of every indexed document, once."""
 
-    arrow = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64())])
+    arrow = pa.schema([(field.split()[0], pa.int64()) for field in LISTED.split(", ")])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,17 +378,22 @@ def documents_of(index: DataFrame) -> DataFrame:
                 get = lambda name: row.column(row.schema.get_field_index(name))
                 words = np.frombuffer(get("n_words")[0].as_py(), dtype=np.int64)
                 keys = np.frombuffer(get("row_keys")[0].as_py(), dtype=np.int64)
+                hashes = np.frombuffer(get("text_hashes")[0].as_py(), dtype=np.int64).reshape(-1, 2)
                 ids = get("doc_ids").flatten()
                 whole = words >= 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[whole]), ids.filter(pa.array(whole)), pa.array(words[whole])], schema=arrow
-                )
+                    [
+                        pa.array(keys[whole]), ids.filter(pa.array(whole)), pa.array(words[whole]),
+                        pa.array(hashes[whole, 0]), pa.array(hashes[whole, 1]),
+                    ],
+                    schema=arrow,
+                )
 
-    return index.select("row_keys", "doc_ids", "n_words").mapInArrow(listed, "row_key bigint, doc_id bigint, n_words bigint")
+    return index.select("row_keys", "doc_ids", "text_hashes", "n_words").mapInArrow(listed, LISTED)
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 1 << 19) -> DataFrame:
-    """row_key, doc_id, n_words, spans (array of start, end in words), items (sorted ids) per document.
+    """row_key, doc_id, n_words, two text hashes, spans (array of start, end in words), items (sorted ids) per document.
 
     Documents without a hit have empty arrays. Spans are merged over windows, segments and phrase blocks.
     """
@@ -402,7 +410,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, shar
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     ).select("row_key", "items", _merged(F.col("_parts")).alias("spans"))
     return listed.join(merged, "row_key", "left").select(
-        "row_key", "doc_id", "n_words",
+        "row_key", "doc_id", "n_words", "_h1", "_h2",
         F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("spans"),
         F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"),
     )
@@ -423,12 +431,17 @@ def _merged(parts):
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """The documents that hold no window of any item; all columns. Rows that share a doc_id stay or go together."""
+    """The documents that hold no window of any item; all columns.
+
+    What a document holds depends on its text alone, so hits go back to rows by 128 bits of hashes of the text; the
+    doc_id, which may be null or repeated, decides nothing.
+    """
     found = contaminated_spans(docs, items, **settings)
-    hit = settle(found.where(F.size("spans") > 0).select("doc_id", F.xxhash64("doc_id").alias("hash")).distinct(), "contaminated")
-    seen = maybe(docs.select(packed_row(docs), "doc_id"), "xxhash64(doc_id)", hit.select("hash"))
-    left = seen.where("_maybe").join(hit.select(F.col("doc_id").alias("_hit")), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
-    return seen.where("not _maybe").unionByName(left).select("row.*")
+    hit = settle(found.where(F.size("spans") > 0).select("_h1", "_h2").distinct(), "contaminated")
+    named = docs.select(packed_row(docs), *[h.alias(name) for name, h in text_hashes().items()])
+    seen = maybe(named, "_h1", hit.select(F.col("_h1").alias("hash")))
+    left = seen.where("_maybe").join(hit, ["_h1", "_h2"], "left_anti").select("row")
+    return seen.where("not _maybe").select("row").unionByName(left).select("row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
