@@ -11,7 +11,8 @@ With 24 bands of 4 values a pair at exactly 0.8 shares no band with probability
 
 Defined results: a text of fewer words than a shingle, but not none, is one shingle; null, empty and wordless
 texts link with nothing and stay; every row counts as a document, also with a null or repeated doc_id; ids are
-compared as numbers, the smallest names the class and a class without any id is null; extra columns are ignored.
+compared as numbers, the smallest names the class and a class without any id is null; of each class one row is kept,
+the first with the smallest id, or the first of all without any id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import RowKeys, forest, hashed_words, maybe, mix, packed_row, pieces, runs, shingles, table, texts, whole_groups
+from .common import RowKeys, forest, hashed_words, maybe, mix, packed_row, pieces, runs, shingles, table, text_hashes, texts, whole_groups
 from .components import components, pairs, tiled
 
 SIZE, THRESHOLD, BANDS, ROWS, TOLERANCE = 5, 0.8, 24, 4, 1e-8
 STEP = 16  # MinHash values compared between two prunings
 
-SIGNED = "row_key bigint, doc_id bigint, n bigint, c1 bigint, c2 bigint, signature binary, bands array<bigint>"
+SIGNED = "row_key bigint, doc_id bigint, _h1 bigint, _h2 bigint, n bigint, c1 bigint, c2 bigint, signature binary, bands array<bigint>"
 SIGNED_ARROW = pa.schema([
-    ("row_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()),
+    *[(c, pa.int64()) for c in ("row_key", "doc_id", "_h1", "_h2", "n", "c1", "c2")],
     ("signature", pa.binary()), ("bands", pa.list_(pa.int64())),
 ])
 FOUND = "a bigint, b bigint, links bigint"
@@ -74,7 +75,7 @@ def _sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def sign(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: size and digest of its shingle set, MinHash signature and band keys."""
+    """One row per document: hashes of its text, size and digest of its shingle set, MinHash signature and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = RowKeys()
@@ -97,12 +98,12 @@ def sign(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS
                         signature[at] = short[k].tobytes()
                         band_keys[at] = joined[k]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys.take(part.num_rows)), part.column(part.schema.get_field_index("doc_id")),
+                    pa.array(keys.take(part.num_rows)), *[part.column(part.schema.get_field_index(c)) for c in ("doc_id", "_h1", "_h2")],
                     pa.array(counts), pa.array(digests[0]), pa.array(digests[1]),
                     pa.array(signature, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())),
                 ], schema=SIGNED_ARROW)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", *[h.alias(name) for name, h in text_hashes().items()], "text").mapInArrow(run, SIGNED)
 
 
 def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -253,13 +254,24 @@ def near_duplicates(
     ``class_id`` is the smallest doc_id that links reach, ``n_links`` counts the other documents with a
     similarity of ``threshold`` or more, and ``kept`` marks one document of each class.
     """
+    return marked(docs, size, threshold, bands, rows, tolerance, bucket_rows, tile_rows, tile_shingles).select(
+        "doc_id", "class_id", "n_links", "kept"
+    )
+
+
+def marked(
+    docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
+    tolerance: float = TOLERANCE, bucket_rows: int = 2048, tile_rows: int = 1024, tile_shingles: int = 1 << 21,
+) -> DataFrame:
+    """The rows of ``near_duplicates`` with two hashes of their text and ``n``, the size of its shingle set."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = settle(sign(docs, size, bands, rows), "signed")
-    keyed = signed.where("n > 0").select("row_key", "doc_id", "c1", "c2")
+    keyed = signed.where("n > 0").select("row_key", "doc_id", "_h1", "_h2", "n", "c1", "c2")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     classes = settle(
         keyed.groupBy("c1", "c2").agg(
-            F.min(F.struct("row_key", "doc_id")).alias("_rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")
-        ).select("c1", "c2", F.col("_rep.row_key").alias("rep"), F.col("_rep.doc_id").alias("rep_id"), "least_id", "copies"),
+            F.min(F.struct("row_key", "doc_id")).alias("_rep"), F.min(first).alias("least"), F.count(F.lit(1)).alias("copies")
+        ).select("c1", "c2", F.col("_rep.row_key").alias("rep"), F.col("_rep.doc_id").alias("rep_id"), "least", "copies"),
         "classes",
     )
     reps = settle(
@@ -303,37 +315,46 @@ def near_duplicates(
         .join(joined, "rep", "left")
         .select("*", F.coalesce("component", "rep").alias("root"))
     )
-    lowest = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
+    lowest = named.groupBy("root").agg(F.min("least").alias("least")).select(
+        "root", F.col("least.doc_id").alias("class_id"), F.col("least.row_key").alias("stays")
+    )
     per_class = settle(
         named.join(lowest, "root").select(
-            F.col("rep"), F.col("c1"), F.col("c2"), "class_id", "root",
+            F.col("c1"), F.col("c2"), "class_id", "stays",
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("bigint").alias("n_links"),
         ),
         "per-class",
     )
     grouped = keyed.join(per_class, ["c1", "c2"]).select(
-        "doc_id", "class_id", "n_links",
-        # without any id the representative stays
-        F.when(F.col("class_id").isNull(), (F.col("rep") == F.col("root")) & (F.col("row_key") == F.col("rep")))
-        .otherwise(F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))).alias("kept"),
-    )
+        "doc_id", "_h1", "_h2", "n", "class_id", "n_links", (F.col("row_key") == F.col("stays")).alias("kept")
+    )
     alone = signed.where("n = 0").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept")
+        "doc_id", "_h1", "_h2", "n", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept")
     )
     return grouped.unionByName(alone)
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
-    """The documents without those of which a near-duplicate with a smaller doc_id stays; all columns.
+    """One document of each class of near-duplicates, the one with the smallest doc_id, and all without words; all columns.
 
-    Rows that agree in doc_id and text are one document here: they stay or go together.
+    Rows are told apart by doc_id and 128 bits of hashes of the text. Of rows that agree in both one stays, any of them.
     """
-    found = settle(near_duplicates(docs, **settings), "near-duplicates")
-    gone = found.groupBy(F.xxhash64("doc_id").alias("hash"), "doc_id").agg(F.max("kept").alias("kept")).where("not kept")
-    gone = settle(gone.select("hash", "doc_id"), "dropped")
-    seen = maybe(docs.select(packed_row(docs), "doc_id"), "xxhash64(doc_id)", gone.select("hash"))
-    left = seen.where("_maybe").join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return seen.where("not _maybe").unionByName(left).select("row.*")
+    found = marked(docs, **settings).where("n > 0")
+    same = found.groupBy("doc_id", "_h1", "_h2").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    # rows alone with their id and text that are kept need no second look
+    key = "xxhash64(doc_id, _h1, _h2)"
+    known = settle(same.where("not kept or copies > 1").select(F.expr(key).alias("hash"), "doc_id", "_h1", "_h2", "kept"), "dropped")
+    named = docs.select(packed_row(docs), F.col("doc_id").cast("bigint").alias("doc_id"), *[h.alias(name) for name, h in text_hashes().items()])
+    seen = maybe(named, key, known.select("hash"))
+    to = known.select(F.col("doc_id").alias("_id"), F.col("_h1").alias("_a"), F.col("_h2").alias("_b"), F.col("kept").alias("_stays"))
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b"))
+    left = seen.where("_maybe").join(to.where("not _stays"), here, "left_anti")
+    # copies are brought down to one per task before they meet
+    several = left.join(to.where("_stays"), here, "left_semi").groupBy("doc_id", "_h1", "_h2").agg(F.first("row").alias("row"))
+    once = left.join(to.where("_stays"), here, "left_anti")
+    return (
+        seen.where("not _maybe").select("row").unionByName(once.select("row")).unionByName(several.select("row")).select("row.*")
+    )
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Cases that an earlier form of the operators left out."""
 
+import random
 from collections import Counter
 
-from briefwerk.llm import decontaminate
+from briefwerk.llm import decontaminate, jaccard
 
-from .data import docs
+from .data import docs, words
 
 
 def kept_texts(frame):
@@ -22,3 +23,24 @@ def test_clean_rows_outlive_a_contaminated_namesake(spark):
     good += [(5, "a clean namesake", "en", "a"), (7, "", "en", "a")]
     left = decontaminate.decontaminated(docs(spark, bad + good + bad), benchmark)
     assert kept_texts(left) == Counter((i, t) for i, t, _, _ in good)
+
+
+# ---------------------------------------------------------------- near-duplicates
+
+
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(2)
+    a, b, c, d = (words(rng, 80) for _ in range(4))
+    lonely = [(None, "a lonely text without any id or namesake", "en", "a"), (None, "", "en", "a"), (None, None, None, None), (20, "!!", "en", "a")]
+    rows = [(None, a, "en", "a"), (None, f"{a} x", "en", "a"), (None, f"{a} y", "en", "a"), (3, f"{a} z", "en", "a")]  # ids beside none
+    rows += [(None, b, "en", "a"), (None, f"{b} x", "en", "a")]  # no id at all
+    rows += [(9, words(rng, 50), "en", "a"), (9, c, "en", "a"), (8, f"{c} x", "en", "a")]  # an id with two texts
+    rows += [(6, d, "en", "a")] * 3 + [(7, d, "en", "a")] * 2  # exact copies
+    left = kept_texts(jaccard.deduplicated(docs(spark, lonely * 2 + rows)))
+    want = Counter({(i, t): 2 for i, t, _, _ in lonely[1:]})
+    want += Counter([lonely[0][:2], (3, f"{a} z"), rows[6][:2], (8, f"{c} x"), (6, d)])
+    without = [k for k in left if k[0] is None and k[1] in (b, f"{b} x")]
+    assert len(without) == 1 and left[without[0]] == 1
+    assert left == want + Counter(without)
+    marks = jaccard.near_duplicates(docs(spark, rows)).where("kept").groupBy("class_id").count().collect()
+    assert sorted((r["class_id"] or 0, r["count"]) for r in marks) == [(0, 1), (3, 1), (6, 1), (8, 1), (9, 1)]
