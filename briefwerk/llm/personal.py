@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction.
 
 Four fixed rules find emails, IP addresses, card and phone numbers: the seeds. Every identifier-like string (seed or
-not) is written down with the lexical patterns it stands in: the two words before it, and the word before with the
-word after. Patterns and instances are the two sides of a graph, and Spark scores it in rounds:
+not) is written down with the lexical patterns it stands in: the word before it, the two words before it, and the word
+before with the word after. Identifier-like are tokens with a digit or an at sign, groups of digits joined by blanks,
+brackets, dots, slashes and hyphens, and addresses spelled out ("anna at firma dot de"). Patterns and instances are the two sides of a graph, and Spark scores it in rounds:
 
 * a pattern's confidence for a kind is the mean score of the different instances it holds, shrunk for few;
 * an instance that is no seed scores as one minus the product of its patterns' doubts.
@@ -14,12 +15,13 @@ The graph has a row per different (pattern, instance), so copies count once, and
 are shuffled. One scan reads the texts; everything after works on narrow tables.
 
 Defined results: null and empty texts have no spans; positions count code points, ends are exclusive; repeated rows
-are read one by one (their instances still count once); identifiers longer than 64 characters are no instances;
-further columns are ignored.
+are read one by one (their instances still count once); identifiers may have any length, beyond 64 characters a digest
+stands for them in the graph; strings that are no seeds do not overlap; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -40,7 +42,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_RUN = re.compile(r"[0-9]+")
+_RUN = re.compile(r"[0-9]+|@")
+# groups of digits, joined by up to three of the signs that numbers are written with
+_GROUPS = re.compile(r"(?:\+[ ]?)?(?:\([ ]?)?[0-9]++(?:[ ()./-]{1,3}+[0-9]++)*+")
+_PART = re.compile(r"\+?[0-9](?:[^ ()]*[0-9])?")
+_SPELLED = re.compile(r"(?:[ ]at[ ]|[ ]?[\[({][ ]?at[ ]?[\])}][ ]?)(?P<domain>[a-z0-9-]++(?:(?:[ ]dot[ ]|[ ]?[\[({][ ]?dot[ ]?[\])}][ ]?|\.)[a-z0-9-]++)++)", re.I)
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@._%+/-")
 _REST = re.compile(r"[A-Za-z0-9@._%+/-]*")
 LONGEST, LEFT, RIGHT = 64, 64, 40
@@ -98,23 +104,42 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     before, right = left.split(), text[end : end + RIGHT].lower().split()
     glued = "" if not left or left[-1].isspace() else "~"  # the word before ends where the string begins
     last = (before[-1] if before else "^") + glued
-    return [f"2 {before[-2] if len(before) > 1 else '^'} {last}", f"1 {last} _ {right[0] if right else '$'}"]
+    cue = [f"0 {last}"] if before else []  # the beginning of a text says nothing about what stands there
+    return [*cue, f"2 {before[-2] if len(before) > 1 else '^'} {last}", f"1 {last} _ {right[0] if right else '$'}"]
 
 
 def form(value: str) -> str:
-    """What kind of string it is: a name with an at sign, a number, or a mixture."""
-    return "at" if "@" in value else "number" if not any(c.isalpha() for c in value) else "mixed"
+    """What kind of string it is: a name with an at sign, also a spelled one, a number, or a mixture."""
+    if "@" in value or _SPELLED.search(value):
+        return "at"
+    return "number" if not any(c.isalpha() for c in value) else "mixed"
 
 
 FORMS = {"email": ("at", "mixed"), "ip": ("number",), "card": ("number",), "phone": ("number",)}
 
 
-def strings(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, str]]:
-    """(kind or -1, start, end, value) of the seeds and of all other identifier-like strings with a digit."""
-    for kind, start, end in spans:
-        yield kind, start, end, text[start:end].lower()
-    taken, done = sorted((s, e) for _, s, e in spans), 0
-    k = 0
+def instance(value: str) -> str:
+    """What stands for a string in the graph: itself, or a digest of a long one."""
+    return value if len(value) <= LONGEST else hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with the signs spelled out."""
+    end = 0
+    for m in _SPELLED.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        # a sentence may hold the word "at" before a name with a dot: there the dot must be spelled too
+        plain = m.group().lower().startswith(" at ") and not re.search(r"dot\b", m["domain"], re.I)
+        if start < m.start() and not plain:
+            yield start, m.end()
+            end = m.end()
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens with a digit or an at sign; one without letters goes on over the groups of digits it is joined with."""
+    done = 0
     for m in _RUN.finditer(text):
         if m.start() < done:
             continue
@@ -127,12 +152,54 @@ def strings(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int,
             end -= 1
         while start < end and not (text[start].isalnum() or text[start] in "+@"):
             start += 1
+        if start < end and not any(c.isalpha() or c in "@_%" for c in text[start:end]):
+            # a bracket or a plus before the first group belongs to it
+            first = start - 1 if start and text[start - 1] == "(" else start
+            first = first - 1 if first and first < start and text[first - 1] == "+" else first
+            group = _GROUPS.match(text, first)
+            if group and group.end() >= end:
+                last = group.end()
+                # of a last token with letters nothing is taken: "555 1234 5th"
+                if last < len(text) and (text[last].isalpha() or text[last] in "@_%"):
+                    while last > end and text[last - 1] not in " ()":
+                        last -= 1
+                    while last > end and not text[last - 1].isdigit():
+                        last -= 1
+                whole = last > end or ")" in text[first:last]
+                start, end = first if whole else start, max(last, end)
+                done = max(done, end)
+        yield start, end
+
+
+def strings(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, str]]:
+    """(kind or -1, start, end, value) of the seeds and of all other identifier-like strings."""
+    for kind, start, end in spans:
+        yield kind, start, end, instance(text[start:end].lower())
+    taken = sorted((s, e) for _, s, e in spans)
+    spelled = list(_clear(text, _spelled(text), taken))
+    for start, end in (*spelled, *_clear(text, _tokens(text), sorted(taken + spelled))):
+        if end - start >= (3 if "@" in text[start:end] else 4):
+            yield -1, start, end, instance(text[start:end].lower())
+
+
+def _clear(text: str, found: Iterator[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What overlaps nothing taken; of a group of digits that does, the parts that do not."""
+    k = 0
+    for start, end in found:
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if any(s < end and start < e for s, e in taken[max(0, k - 4) : k + 8]):
+        near, j = taken[max(0, k - 4) : k], k
+        while j < len(taken) and taken[j][0] < end:
+            near.append(taken[j])
+            j += 1
+        if not any(s < end and start < e for s, e in near):
+            yield start, end
             continue
-        if 4 <= end - start <= LONGEST:
-            yield -1, start, end, text[start:end].lower()
+        for part in _PART.finditer(text, start, end):
+            while near and near[0][1] <= part.start():
+                near.pop(0)
+            if not any(s < part.end() and part.start() < e for s, e in near[:8]):
+                yield part.span()
 
 
 SCANNED = (
@@ -156,7 +223,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     spans = base_spans(text or "")
                     base.append([{"kind": k, "start": s, "stop": e} for k, s, e in spans])
                     found.append([
-                        {"kind": k, "start": s, "stop": e, "value": v, "form": form(v), "patterns": patterns(text, s, e)}
+                        {"kind": k, "start": s, "stop": e, "value": v, "form": form(text[s:e]), "patterns": patterns(text, s, e)}
                         for k, s, e, v in strings(text or "", spans)
                     ])
                 yield pa.RecordBatch.from_arrays([

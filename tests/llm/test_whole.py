@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from briefwerk.llm import decontaminate, jaccard
+from briefwerk.llm import decontaminate, jaccard, personal
 
 from .data import docs, words
 
@@ -44,3 +44,35 @@ def test_one_row_of_each_class_stays(spark):
     assert left == want + Counter(without)
     marks = jaccard.near_duplicates(docs(spark, rows)).where("kept").groupBy("class_id").count().collect()
     assert sorted((r["class_id"] or 0, r["count"]) for r in marks) == [(0, 1), (3, 1), (6, 1), (8, 1), (9, 1)]
+
+
+# ---------------------------------------------------------------- personal data
+
+
+def offered(text):
+    return [text[s:e] for k, s, e, _ in personal.strings(text, personal.base_spans(text)) if k < 0]
+
+
+def test_candidates_have_every_form():
+    for value in ("030 555 1234", "(743) 555-3824", "+(49) 30/555.1234", "4111 1111 1111 1112", "030/5551234", "anna@firma", "a@b", "anna at firma dot de",
+                  "anna (at) firma [dot] de", "anna [at] firma.de", "7f" * 50, "AB12-99"):
+        assert offered(f"so it is {value} and more") == [value], value
+    assert offered("AB12 555 1234 5th we met at firma.de") == ["AB12", "555 1234"]
+    assert offered("10.0.0.1 " * 30 + "5551234") == ["5551234"]
+    for text in ("a at " * 60_000, "1 (a " * 50_000, "a at b dot " * 30_000, "1 1a " * 50_000, "+1 " * 60_000, "10.0.0.1 " * 30_000):
+        list(personal.strings(text, personal.base_spans(text)))
+
+
+def test_a_cue_word_is_enough_among_varying_neighbours(spark):
+    rng = random.Random(4)
+    rows = [(k, f"{words(rng, 6)} Tel: +49 30 555{rng.randrange(1000, 9999)} {words(rng, 5)}", "en", "a") for k in range(20)]
+    rows += [(20 + k, f"{words(rng, 6)} Email: n{rng.randrange(10**6)}@firma{k}.de {words(rng, 5)}", "en", "a") for k in range(20)]
+    rows += [(40 + k, f"{words(rng, 6)} Card: 4111 1111 1111 1111 {words(rng, 5)} Card: {n} {words(rng, 3)}", "en", "a") for k, n in enumerate(
+        ("5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004", "3000 0000 0000 04", "4012 8888 8888 1881", "4222 2222 2222 2"))]
+    open_ = {100: ("Tel:", "030 555 1234", "phone"), 101: ("Tel:", "(743) 555-3824", "phone"), 102: ("Email:", "anna@firma", "email"),
+             103: ("Email:", "anna at firma dot de", "email"), 104: ("Card:", "4111 1111 1111 1112", "card"), 105: ("Email:", "n" * 90 + "@firma", "email")}
+    for i, (cue, value, _) in open_.items():
+        rows.append((i, f"so {i} {cue} {value} bye {i}x", "en", "a"))
+    texts = {r.doc_id: r.text for r in personal.masked(docs(spark, rows)).collect()}
+    for i, (cue, _, kind) in open_.items():
+        assert texts[i] == f"so {i} {cue} <{kind}> bye {i}x"
