@@ -29,14 +29,18 @@ from ..session import settle
 from .common import pieces, table
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+# a quote opens a value only after an equals sign; one that nothing closes is a sign like others
+_TAG_END = re.compile(r"""(?:[^>=]|=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?+)*+>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-# elements that are skipped with all they hold, up to their end tag
-RAW = frozenset(
-    "script style textarea title xmp iframe noembed noframes noscript template svg math button select label object canvas audio video".split()
+# elements that are skipped with all they hold: up to their end tag, or else the page's end
+RAW = frozenset("script style textarea title".split())
+# up to the end tag that belongs to them; without one only the tag itself
+SKIPPED = frozenset("xmp iframe noembed noframes noscript template svg annotation annotation-xml button select label object canvas audio video".split())
+_SKIPPED = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>]).*?(?:</\1|\Z)|<(/?)({'|'.join(sorted(SKIPPED, key=len, reverse=True))})(?=[\s/>])", re.I | re.S
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -62,6 +66,22 @@ CLOSES = {
 SCOPES = frozenset("ul ol table article section div main body dl td th".split())
 
 
+def _ends(html: str) -> dict[int, int]:
+    """Where the elements of SKIPPED end, by where they begin; those that nothing closes are missing."""
+    open_: dict[str, list[int]] = {}
+    out = {}
+    for m in _SKIPPED.finditer(html):
+        if not m[3]:
+            continue
+        tag, gt = m[3].lower(), html.find(">", m.end())
+        if not m[2]:
+            if tag != "svg" or gt < 0 or html[gt - 1] != "/":
+                open_.setdefault(tag, []).append(m.start())
+        elif open_.get(tag):
+            out[open_[tag].pop()] = gt + 1 or len(html)
+    return out
+
+
 class Page:
     """Nodes (parent, tag, label, left out, words) and blocks (node, text, letters in links) of a page."""
 
@@ -129,7 +149,7 @@ class Page:
                 return
 
     def _read(self, html: str) -> None:
-        at, n, lower = 0, len(html), None
+        at, n, lower, ends = 0, len(html), None, None
         while at < n:
             lt = html.find("<", at)
             if lt < 0:
@@ -152,9 +172,10 @@ class Page:
                 at = lt + 1
                 continue
             end = _TAG_END.match(html, name.end())
-            if not end:  # cut off within a tag
+            stop = end.end() if end else html.find(">", name.end()) + 1
+            if not stop:  # cut off within a tag
                 break
-            tag, at = name.group().lower(), end.end()
+            tag, at = name.group().lower(), stop
             block = tag in BLOCKS
             if block:
                 self._flush()
@@ -173,6 +194,11 @@ class Page:
                     gt = html.find(">", stop)
                     at = n if gt < 0 else gt + 1
                 continue
+            if tag in SKIPPED:
+                if tag != "svg" or html[at - 2] != "/":
+                    ends = _ends(html) if ends is None else ends
+                    at = ends.get(lt, at)
+                continue
             if tag == "br":
                 self._add(" ")
             elif tag == "a":

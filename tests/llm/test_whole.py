@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from briefwerk.llm import decontaminate, jaccard, personal
+from briefwerk.llm import decontaminate, html, jaccard, personal
 
 from .data import docs, words
 
@@ -76,3 +76,21 @@ def test_a_cue_word_is_enough_among_varying_neighbours(spark):
     texts = {r.doc_id: r.text for r in personal.masked(docs(spark, rows)).collect()}
     for i, (cue, _, kind) in open_.items():
         assert texts[i] == f"so {i} {cue} <{kind}> bye {i}x"
+
+
+# ---------------------------------------------------------------- pages
+
+
+def test_odd_tags_drop_no_text():
+    more = "<p>More text, here, of the page.</p>"
+    for start, text in {
+        "<p title=it's>Hello</p>": "Hello", "<p data-x=\"5\" tall\">Hello</p>": "Hello", "<p title=\"x > y\" class='a'>Hello</p>": "Hello",
+        "<p title=it's>Hello</p><p>it's on</p>": "Hello\nit's on", "<p title=\"open>Hello</p>": "Hello", "<p>a<label>b</p>": "ab", "<p>a<button>b</p>": "a\nb",
+        "<p>a<select><option>b</p>": "a\nb", "<p>a<object>b</p>": "ab", "<p>a<label>b</p><p><label>gone</label>c</p>": "ab\nc",
+        "<p>a<svg/>b</p>": "ab", "<p>a<svg><text>gone</text></svg>b</p>": "ab", "<p>a<math/>b</p>": "ab", "<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p>": "a x=2",
+        "<p>a<object><object>gone</object>gone</object>b</p>": "ab", "<p>a<script>if (a < b) gone</script>b</p>": "ab", "<p>a<!-- <label> -->b</p>": "ab",
+    }.items():
+        assert html.Page(f"<article>{start}{more}</article>").text() == f"{text}\nMore text, here, of the page.", start
+    assert html.Page("<article><p>a</p><script>gone").text() == "a"
+    for source in ("<object>" * 100_000, "<label>a" * 100_000, "<a b=\"" * 50_000, "<a b='x>" * 50_000, "<svg" * 100_000):
+        html.Page(source).text()
