@@ -8,7 +8,8 @@
    container, and one without any container the text that is left of its body.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments of readers are left out by
-tag, role and the words of class and id, also inside the article. White space within a block, line breaks included,
+tag, role and the words of class and id, also inside the article; words leave nothing out that holds the page's article
+or most of its text. A container within an article stands for all of it, headline and lead included. White space within a block, line breaks included,
 becomes one blank; blocks are joined by a line feed.
 
 Defined results: null and empty html gives an empty text; pages without a host keep their own best container;
@@ -58,6 +59,7 @@ LEFT_OUT_WORDS = frozenset(
     "sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 GOOD_WORDS = frozenset("article body content entry main page post story text blog".split())
+POST_WORDS = frozenset("article entry post story".split())
 # an open element of the first kind ends where one of the second kind begins
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
@@ -66,6 +68,20 @@ CLOSES = {
 SCOPES = frozenset("ul ol table article section div main body dl td th".split())
 
 
+# why an element is left out: by its tag, role or style; by its name; as what readers write
+SURE, LIKELY, OF_READERS = 1, 2, 3
+READERS = frozenset("comment comments disqus replies reply respond".split())
+_STATE = re.compile(r"(?:has|no|with|without)[-_]", re.I)
+
+
+def _left_out(name: str) -> bool:
+    """Whether a class or id has a word that is left out; names of states ("has-sidebar") and of a page builder have none."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    if "elementor" in words:
+        words -= {"widget", "widgets"}
+    return not _STATE.match(name) and bool(words & LEFT_OUT_WORDS)
+
+
 def _ends(html: str) -> dict[int, int]:
     """Where the elements of SKIPPED end, by where they begin; those that nothing closes are missing."""
     open_: dict[str, list[int]] = {}
@@ -83,10 +99,10 @@ def _ends(html: str) -> dict[int, int]:
 
 
 class Page:
-    """Nodes (parent, tag, label, left out, words) and blocks (node, text, letters in links) of a page."""
+    """Nodes (parent, tag, label, mark, words) and blocks (node, text, letters in links) of a page."""
 
     def __init__(self, html: str) -> None:
-        self.parent, self.tag, self.label, self.out, self.names = [-1], ["#"], [""], [False], [frozenset()]
+        self.parent, self.tag, self.label, self.mark, self.names = [-1], ["#"], [""], [0], [frozenset()]
         self.blocks: list[tuple[int, str, int]] = []
         self._stack, self._text, self._links, self._in_link = [0], [], 0, 0
         self._read(html)
@@ -96,7 +112,7 @@ class Page:
     def _flush(self) -> None:
         if self._text:
             text = " ".join(entities.unescape("".join(self._text)).split())
-            if text and not self.out[self._stack[-1]]:
+            if text:
                 self.blocks.append((self._stack[-1], text, self._links))
             self._text, self._links = [], 0
 
@@ -111,20 +127,59 @@ class Page:
         found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         names = frozenset(w.lower() for k in ("class", "id") if k in found for w in _WORDS.findall(found[k]))
         inside_article = any(self.tag[n] in ("article", "main") for n in self._stack)
-        out = (
-            self.out[above] or tag in LEFT_OUT or (tag == "header" and not inside_article) or found.get("role", "").lower() in LEFT_OUT_ROLES
+        mark = 0
+        if (
+            (tag in LEFT_OUT and tag != "form") or (tag == "header" and not inside_article) or found.get("role", "").lower() in LEFT_OUT_ROLES
             or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
-            or (tag not in ("html", "body", "article", "main") and bool(names & LEFT_OUT_WORDS))
-            or ("header" in names and not inside_article and tag in ("div", "section"))
-        )
-        classes = sorted({re.sub(r"\d+", "0", c) for c in found.get("class", "").split()})
+        ):
+            mark = SURE
+        elif tag == "form" or ("header" in names and not inside_article and tag in ("div", "section")):
+            mark = LIKELY
+        elif names & LEFT_OUT_WORDS and tag not in ("html", "body", "article", "main"):
+            tokens = [t for k in ("class", "id") for t in found.get(k, "").split()]
+            if any(t.lower() in READERS for t in tokens):
+                mark = OF_READERS
+            elif any(_left_out(t) for t in tokens):
+                mark = LIKELY
         self.parent.append(above)
         self.tag.append(tag)
-        self.label.append(".".join([tag, *classes]))
-        self.out.append(out)
+        self.label.append(".".join([tag, *sorted({re.sub(r"\d+", "0", c) for c in found.get("class", "").split()})]))
+        self.mark.append(mark)
         self.names.append(names)
         self._stack.append(len(self.tag) - 1)
 
+    def _leave_out(self) -> None:
+        """Drop the blocks of elements that are left out.
+
+        A name is no reason to leave out what holds the page's main element, its largest article or most of its text.
+        """
+        n = len(self.tag)
+
+        def inherited(marks: list) -> list[bool]:
+            out = [False] * n
+            for k in range(1, n):
+                out[k] = out[self.parent[k]] or bool(marks[k])
+            return out
+
+        sure = inherited([m == SURE for m in self.mark])
+        if any(m not in (0, SURE) for m in self.mark):
+            letters, articles, mains = [0] * n, [0] * n, [0] * n
+            for node, text, links in self.blocks:
+                if not sure[node]:
+                    letters[node] += max(0, len(text) - links)
+            for k in range(n - 1, 0, -1):
+                letters[self.parent[k]] += letters[k]
+                articles[self.parent[k]] += articles[k] + (self.tag[k] == "article" and letters[k] > 0)
+                mains[self.parent[k]] += mains[k] + (self.tag[k] == "main" and letters[k] > 0)
+            out = inherited(self.mark)
+            free = max((letters[k] for k in range(n) if self.tag[k] in ("article", "main") and not out[k]), default=0)
+            sure = inherited([
+                m == SURE or (m > 0 and not (
+                    mains[k] or (articles[k] and letters[k] > free) or (m == LIKELY and 2 * letters[k] > letters[0])
+                )) for k, m in enumerate(self.mark)
+            ])
+        self.blocks = [b for b in self.blocks if not sure[b[0]]]
+
     def _close(self, tag: str) -> None:
         for k in range(len(self._stack) - 1, 0, -1):
             if self.tag[self._stack[k]] == tag:
@@ -209,11 +264,12 @@ class Page:
             elif tag in ("span", "ins", "del", "small", "time") and not html.startswith(">", name.end()):
                 # an inline element whose names say that it is no text
                 self._open(tag, html[name.end() : at - 1])
-                if self.out[self._stack[-1]]:
+                if self.mark[self._stack[-1]]:
                     stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                     at = stop.end() if stop else at
                 self._stack.pop()
         self._flush()
+        self._leave_out()
 
     # ---- scoring
 
@@ -249,8 +305,24 @@ class Page:
             score *= hint * (1 - linked[node] / max(inside[node], 1))
             if score > most or (score == most and best >= 0 and score > 0 and node < best):
                 best, most = node, score
+        best = self._widened(best)
         return (best, inside[best] / max(total, 1)) if best >= 0 else (-1, 0.0)
 
+    def _widened(self, node: int) -> int:
+        """The article around a container, or else the main element, or else the parent that is named as a post: headline and lead stand there."""
+        way, k = [], node
+        while k > 0:
+            way.append(k)
+            k = self.parent[k]
+        for tag in ("article", "main"):
+            for k in way:
+                if self.tag[k] == tag:
+                    return k
+        for k in way[1:2]:
+            if self.tag[k] in ("div", "section", "td") and self.names[k] & POST_WORDS:
+                return k
+        return node
+
     def text(self, path: str | None = None) -> str:
         """The text at a host's path, or of the page's own best container, or of all that is left."""
         if path:

@@ -94,3 +94,27 @@ def test_odd_tags_drop_no_text():
     assert html.Page("<article><p>a</p><script>gone").text() == "a"
     for source in ("<object>" * 100_000, "<label>a" * 100_000, "<a b=\"" * 50_000, "<a b='x>" * 50_000, "<svg" * 100_000):
         html.Page(source).text()
+
+
+def test_names_of_wrappers_leave_no_article_out():
+    body = "<h1>The title</h1><p>First paragraph, with some words, and more of them here.</p><p>Second paragraph, with some words, too.</p>"
+    text = "The title\nFirst paragraph, with some words, and more of them here.\nSecond paragraph, with some words, too."
+    side = '<div class="sidebar"><p>Beside it, some words, that nobody asked for.</p></div><div id="comments"><p>So good, really.</p></div>'
+    for page in (
+        f'<div class="content-sidebar-wrap"><main>{body}</main>{side}</div>', f'<div class="has-sidebar"><article>{body}</article></div>{side}',
+        f'<div class="no-comments"><div class="x">{body}</div></div>{side}', f'<form id="search-form"><div class="x">{body}</div>{side}</form>',
+        f'<div class="elementor-widget">{body}</div>{side}', f'<div class="related-wrap"><div class="sidebar-content">{body}</div>{side}</div>',
+        f'<article>{body}<div class="related"><p>Other texts, of us.</p></div></article><div class="related"><article><p>Teaser.</p></article></div>',
+    ):
+        assert html.Page(f"<body>{page}</body>").text() == text, page
+    # long letters of readers are no article
+    assert html.Page(f'<body><div class="x">{body}</div><div id="comments">{"<p>So good, really, I mean it.</p>" * 30}</div></body>').text() == text
+
+
+def test_headline_and_lead_outside_the_inner_container():
+    inner = "".join(f"<p>Paragraph {k}, with some words, and more of them in here, too.</p>" for k in range(8))
+    text = "\n".join(["The title", "The lead.", *(f"Paragraph {k}, with some words, and more of them in here, too." for k in range(8))])
+    for outer in ("article", "main", 'div class="post"'):
+        page = f'<body><{outer}><h1>The title</h1><p>The lead.</p><div class="entry-content">{inner}</div><div class="share">Share it</div></{outer.split()[0]}></body>'
+        assert html.Page(page).text() == text, outer
+        assert html.Page(page).text(html.Page(page).path(html.Page(page).best()[0])) == text
