@@ -10,7 +10,8 @@ walking to the next sampled position, and merges what is covered to spans of wor
 
 Defined results: null and empty texts have no words; a text longer than a shard is cut into segments that
 overlap by a window less one word, so no occurrence is lost; an item without words has no windows; equal items
-and repeated rows count by their own ids and rows; extra columns are ignored. Words are compared by 64-bit
+and repeated rows count by their own ids and rows; items without an id are searched like others, count as one item
+together, and add nothing to the digest of ids; extra columns are ignored. Words are compared by 64-bit
 hashes.
 """
 
@@ -37,6 +38,7 @@ INDEX_ARROW = pa.schema([
     for name, kind in (field.split() for field in INDEX_SCHEMA.split(", "))
 ])
 HIT_SCHEMA = "row_key bigint, starts array<bigint>, ends array<bigint>, items array<bigint>"
+OWNER = np.dtype([("none", "?"), ("id", "i8")])  # an item's id, or that it has none
 LISTED = "row_key bigint, doc_id bigint, n_words bigint, _h1 bigint, _h2 bigint"
 
 
@@ -298,19 +300,20 @@ def phrase_blocks(items: DataFrame, window: int = 10, block: int = 1 << 17) -> I
     bound: ``block`` windows of ``window`` words, 80 bytes each.
     """
     rows, sizes, owners, held = [], [], [], 0
-    for item in items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toLocalIterator():
+    for item in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
         data = pa.record_batch({"text": pa.array([item.text])})
         hashes, _, _, _ = hashed_words(*texts(data))
         if not len(hashes):
             continue
         length = min(window, len(hashes))
+        owner = np.array((item.item_id is None, item.item_id or 0), dtype=OWNER)
         windows = np.lib.stride_tricks.sliding_window_view(hashes, length)
         for first in range(0, len(windows), block):
             some = np.zeros((len(windows[first : first + block]), window), dtype=np.uint64)
             some[:, :length] = windows[first : first + block]
             rows.append(some)
             sizes.append(np.full(len(some), length))
-            owners.append(np.full(len(some), item.item_id))
+            owners.append(np.full(len(some), owner))
             held += len(some)
             if held >= block:
                 yield np.concatenate(rows), np.concatenate(sizes), np.concatenate(owners)
@@ -347,7 +350,7 @@ def _spans(index: Index, phrases: np.ndarray, lengths: np.ndarray, owners: np.nd
             "row_key": int(index.row_keys[span_doc[cuts[k]]]),
             "starts": span_start[cuts[k] : cuts[k + 1]].tolist(),
             "ends": span_end[cuts[k] : cuts[k + 1]].tolist(),
-            "items": np.unique(owners[which[doc_cuts[k] : doc_cuts[k + 1]]]).tolist(),
+            "items": [None if none else i for none, i in np.unique(owners[which[doc_cuts[k] : doc_cuts[k + 1]]]).tolist()],
         }
 
 
@@ -393,7 +396,7 @@ def documents_of(index: DataFrame) -> DataFrame:
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 1 << 19) -> DataFrame:
-    """row_key, doc_id, n_words, two text hashes, spans (array of start, end in words), items (sorted ids) per document.
+    """row_key, doc_id, n_words, two text hashes, spans (array of start, end in words), items (sorted ids, a null last) per document.
 
     Documents without a hit have empty arrays. Spans are merged over windows, segments and phrase blocks.
     """

@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import pytest
+
 from briefwerk.llm import decontaminate, html, jaccard, personal
 
-from .data import docs, words
+from .data import docs, rows_of, words
 
 
 def kept_texts(frame):
@@ -25,6 +27,28 @@ def test_clean_rows_outlive_a_contaminated_namesake(spark):
     assert kept_texts(left) == Counter((i, t) for i, t, _, _ in good)
 
 
+def test_items_without_an_id_are_searched_as_the_sql_does(spark, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(6)
+    long = words(rng, 15)
+    items = [(None, "two words"), (None, long), (3, "two words"), (4, words(rng, 12)), (None, None), (5, None)]
+    texts = ["here are two words in it", f"begin {long} end", "nothing at all", long[:20], f"{items[3][1]} and two words", None, ""]
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(decontaminate, "table", lambda _s, _d, name: docs(spark, rows) if name == "documents" else benchmark)
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = rows_of(decontaminate.op8_decontaminate(spark, ""), *names)
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+        con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+        want = con.execute(f"SELECT {', '.join(names)} FROM ({decontaminate.OP8_SQL}) ORDER BY doc_id").fetchall()
+    assert got == want
+    assert [r[2] for r in got] == [2, 15, 0, 0, 14, 0, 0] and got[1][3] == 1
+    left = decontaminate.decontaminated(docs(spark, rows), benchmark)
+    assert kept_texts(left) == Counter(rows[k][:2] for k in (2, 3, 5, 6))
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 
