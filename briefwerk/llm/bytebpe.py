@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import pieces, table, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-SLICE, REMEMBERED, LONGEST = 1 << 20, 200_000, 64
+SLICE, REMEMBERED, LONGEST = 1 << 20, 400_000, 64
 
 # ------------------------------------------------------------------ classes and symbols
 
@@ -223,6 +223,8 @@ class Vocabulary:
         if (whole := ranks.get(piece)) is not None:
             return [whole]
         n = len(piece)
+        if n <= 48:
+            return self._merge_short(piece)
         end, left = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(rank, k) for k in range(n - 1) if (rank := ranks.get(piece[k : k + 2])) is not None]
         heapq.heapify(heap)
@@ -242,6 +244,22 @@ class Vocabulary:
                 heapq.heappush(heap, (then, left[k]))
         return [ranks[piece[k : end[k]]] for k in range(n) if not gone[k]]
 
+    def _merge_short(self, piece: bytes) -> list[int]:
+        """The same without a heap, for pieces so short that looking at all pairs costs less."""
+        get = self.ranks.get
+        none = 1 << 62
+        parts = [piece[k : k + 1] for k in range(len(piece))]
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (low := min(pairs)) != none:
+            k = pairs.index(low)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = get(parts[k - 1] + parts[k], none)
+            if k < len(pairs):
+                pairs[k] = get(parts[k] + parts[k + 1], none)
+        return [self.ranks[part] for part in parts]
+
     def _add(self, ids: list[int]) -> int:
         start = int(self.ends[self.n])
         if start + len(ids) > len(self.ids):
