@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
+from .alignment import op13_alignment
 from .bytebpe import op12_byte_bpe
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .embeddings import OP7_SQL, op7_embeddings
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_manifest": op11_manifest,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_alignment": op13_alignment,
 }
 ORACLE = {
     "op5_mixture": OP5_SQL,
