@@ -30,7 +30,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .bytebpe import gather
+from .bytebpe import gather, ragged
 from .common import RowKeys, pieces, table, whole_groups
 
 TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-RANGE, SLICE, FAN, REMEMBERED, LONGEST, BITS = 1 << 16, 1 << 23, 8, 300_000, 64, 20
+RANGE, SLICE, FAN, REMEMBERED, LONGEST, BITS = 1 << 16, 1 << 23, 8, 400_000, 64, 20
 
 _CUT = re.compile(r"(?<=\S)(?= )")
 _DOUBTFUL = re.compile(r"\s ")
@@ -63,32 +63,6 @@ def units(text: str) -> list[str]:
 # ------------------------------------------------------------------ two tokenizers
 
 
-class Group(NamedTuple):
-    """What is known of a unit: its groups as text, their number, tokens of either side, and the pairs linked."""
-
-    text: str
-    n_groups: int
-    n_a: int
-    n_b: int
-    pairs: list[int]  # a << BITS | b, one entry per link
-
-
-def aligned(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> Group:
-    """Groups and links of two sequences of (id, number of bytes) over the same bytes."""
-    ends_a, ends_b = list(accumulate(n for _, n in a)), list(accumulate(n for _, n in b))
-    i = j = first_i = first_j = 0
-    pairs, texts = [], []
-    while i < len(a):
-        pairs.append(a[i][0] << BITS | b[j][0])
-        end_a, end_b = ends_a[i], ends_b[j]
-        i += end_a <= end_b
-        j += end_b <= end_a
-        if end_a == end_b:
-            texts.append(f"{','.join(str(t) for t, _ in a[first_i:i])}|{','.join(str(t) for t, _ in b[first_j:j])}")
-            first_i, first_j = i, j
-    return Group(";".join(texts), len(texts), len(a), len(b), pairs)
-
-
 def _byte_level() -> dict[str, int]:
     """The character that stands for each byte in byte-level entries: itself if it is printable, others from 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -110,11 +84,13 @@ class Pair:
         self.a.encode_special_tokens = True
         byte_of = _byte_level()
         added = self.a.get_added_tokens_decoder()
-        self.bytes_a = {
-            k: bytes(byte_of[c] for c in entry) for entry, k in self.a.get_vocab(with_added_tokens=True).items() if k not in added
-        }
+        entries = {k: bytes(byte_of[c] for c in entry) for entry, k in self.a.get_vocab(with_added_tokens=True).items() if k not in added}
         self.b = sentencepiece.SentencePieceProcessor(model_file=_path(pieces_model))
-        self.bytes_b = [self._piece_bytes(k) for k in range(self.b.vocab_size())]
+        self.size = max(max(entries) + 1, self.b.vocab_size())
+        self.bytes_a = ragged([entries.get(k, b"") for k in range(self.size)])
+        self.bytes_b = ragged([self._piece_bytes(k) if k < self.b.vocab_size() else b"" for k in range(self.size)])
+        # the last byte is that of the sign that follows
+        self.decimals = ragged([b"%d," % k for k in range(self.size)])
         self.blank = self.b.piece_to_id("\u2581")
         self._check()
         self.forget()
@@ -134,59 +110,101 @@ class Pair:
             raise ValueError("an entry of the second vocabulary holds a blank after another character")
         if self.b.id_to_piece(self.b.encode("  a b"))[:1] not in (["\u2581\u2581\u2581"], ["\u2581\u2581"]):
             raise ValueError("the second tokenizer must put a blank before its text, and keep blanks")
-        if max(max(self.bytes_a), self.b.vocab_size()) >> BITS:
+        if self.size >> BITS:
             raise ValueError(f"ids must be below {1 << BITS}")
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.groups: list[Group | None] = []
+        self.texts: list[bytes] = []  # groups of each unit, as digits
+        self.sums = np.zeros((1 << 14, 4), np.int64)  # tokens of either side, groups; whether the unit has no tokens
         self.ends, self.codes = np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _tokens(self, ids: list[list[int]], table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids one after the other, their unit, their bytes one after the other, where each id's end)."""
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64)
+        unit = np.repeat(np.arange(len(ids)), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+        raw, ends = gather(*table, flat)
+        return flat, unit, raw, ends
+
     def _learn(self, fresh: list[str]) -> None:
+        """All units at once: token ends of both sides over the units' bytes, one after the other."""
         left = [e.ids for e in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
-        right = self.b.encode([u[1:] for u in fresh], num_threads=1)
-        for unit, a, b in zip(fresh, left, right):
-            b = b or [self.blank]
-            raw = unit.encode()
-            as_a, as_b = [self.bytes_a.get(t, b"") for t in a], [self.bytes_b[t] for t in b]
-            same = b"".join(as_a) == raw and b"".join(as_b) == raw and all(as_a) and all(as_b)
-            group = aligned([(t, len(x)) for t, x in zip(a, as_a)], [(t, len(x)) for t, x in zip(b, as_b)]) if same else None
-            k, codes = len(self.groups), group.pairs if group else []
-            self.groups.append(group and group._replace(pairs=[]))
-            if k + 2 > len(self.ends):
-                self.ends = np.resize(self.ends, 2 * len(self.ends))
-            start = int(self.ends[k])
-            if start + len(codes) > len(self.codes):
-                self.codes = np.resize(self.codes, 2 * (start + len(codes)))
-            self.codes[start : start + len(codes)] = codes
-            self.ends[k + 1] = start + len(codes)
-            self.known[unit] = k
-
-    def numbers(self, rows: list[str]) -> list[int]:
-        """Numbers of units, for ``groups`` and ``pairs``; they hold until the next call of ``forget``."""
-        fresh = list(dict.fromkeys(u for u in rows if u not in self.known))
+        right = [ids or [self.blank] for ids in self.b.encode([u[1:] for u in fresh], num_threads=1)]
+        starts, raw = ragged([u.encode() for u in fresh])
+        lengths, bad = np.diff(starts), np.zeros(len(fresh), dtype=bool)
+        sides = [(left, self.bytes_a), (right, self.bytes_b)]
+        for ids, table in sides:
+            flat, unit, _, _ = self._tokens(ids, table)
+            sizes = np.diff(table[0])[flat]
+            bad |= np.bincount(unit, weights=sizes, minlength=len(fresh)).astype(np.int64) != lengths
+            bad[unit[sizes == 0]] = True
+        for ids, table in sides:
+            # the lengths are right, so a byte that differs lies in a unit that differs
+            _, _, mine, _ = self._tokens([[] if no else x for x, no in zip(ids, bad)], table)
+            good = np.repeat(~bad, lengths)
+            differs = np.flatnonzero(good)[mine != raw[good]]
+            bad[np.searchsorted(starts, differs, side="right") - 1] = True
+        (a, unit_a, _, end_a), (b, unit_b, _, end_b) = [self._tokens([[] if no else x for x, no in zip(ids, bad)], t) for ids, t in sides]
+        upto = np.cumsum(np.where(bad, 0, lengths))
+        common, every = np.intersect1d(end_a, end_b, assume_unique=True), np.union1d(end_a, end_b)
+        # between two token ends one token of either side overlaps one of the other
+        codes = (a[np.searchsorted(end_a, every)] << BITS) | b[np.searchsorted(end_b, every)]
+        n_links = np.diff(np.searchsorted(every, upto, side="right"), prepend=0)
+        groups = np.searchsorted(common, upto, side="right")
+        # tokens by group, those of the first side before those of the second one
+        key = np.concatenate([np.searchsorted(common, end_a) * 2, np.searchsorted(common, end_b) * 2 + 1])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        written, written_ends = gather(*self.decimals, np.concatenate([a, b])[order])
+        last = np.flatnonzero(np.diff(key, append=-1))
+        written[written_ends[last] - 1] = np.where(key[last] & 1, ord(";"), ord("|"))
+        # where the groups of each unit end in the text
+        group_ends = np.concatenate([[0], written_ends[last[key[last] % 2 == 1]]])
+        text, cuts = written.tobytes(), group_ends[groups].tolist()
+        first, n = len(self.texts), len(fresh)
+        self._room(first + n, int(self.ends[first]) + len(codes))
+        begin = 0
+        for cut in cuts:
+            self.texts.append(text[begin : max(begin, cut - 1)])
+            begin = cut
+        start = int(self.ends[first])
+        self.codes[start : start + len(codes)] = codes
+        self.ends[first + 1 : first + n + 1] = start + np.cumsum(n_links)
+        counts = [np.bincount(u, minlength=n) for u in (unit_a, unit_b)]
+        self.sums[first : first + n] = np.column_stack([*counts, np.diff(groups, prepend=0), bad])
+        self.known.update(zip(fresh, range(first, first + n)))
+
+    def _room(self, units_: int, codes: int) -> None:
+        if units_ + 1 > len(self.ends):
+            self.ends = np.resize(self.ends, 2 * (units_ + 1))
+            self.sums = np.resize(self.sums, (2 * (units_ + 1), 4))
+        if codes > len(self.codes):
+            self.codes = np.resize(self.codes, 2 * codes)
+
+    def numbers(self, rows: list[str]) -> np.ndarray:
+        """Numbers of units, for ``texts``, ``sums`` and ``pairs``; they hold until the next call of ``forget``."""
+        fresh = list(set(rows).difference(self.known))
         for first in range(0, len(fresh), 1 << 13):
             self._learn(fresh[first : first + (1 << 13)])
-        out = list(map(self.known.__getitem__, rows))
+        out = np.fromiter(map(self.known.__getitem__, rows), dtype=np.int64, count=len(rows))
         for unit in fresh:
             if len(unit) > LONGEST:
                 del self.known[unit]
         return out
 
-    def pairs(self, numbers: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes of all links of units, where each unit's end)."""
-        return gather(self.ends, self.codes, np.array(numbers, dtype=np.int64))
+    def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of all links of units, where each unit's end); a code is a << BITS | b."""
+        return gather(self.ends, self.codes, numbers)
 
-    def part(self, rows: list[str]) -> tuple[Group | None, np.ndarray]:
-        """Units one after the other as one group of groups, and their links; None if one of them has no tokens."""
-        if len(self.groups) > REMEMBERED:
+    def part(self, rows: list[str]) -> tuple[str, np.ndarray, np.ndarray, bool]:
+        """Units one after the other: their groups as text, sums, links, and whether one of them has no tokens."""
+        if len(self.texts) > REMEMBERED:
             self.forget()
         numbers = self.numbers(rows)
-        found = [self.groups[k] for k in numbers]
-        if None in found:
-            return None, np.zeros(0, np.int64)
-        whole = Group(";".join([g.text for g in found]), *[sum(g[k] for g in found) for k in (1, 2, 3)], [])
-        return whole, self.pairs(numbers)[0]
+        sums = self.sums[numbers].sum(axis=0)
+        if sums[3]:
+            return "", np.zeros(4, np.int64), np.zeros(0, np.int64), True
+        return b";".join([self.texts[k] for k in numbers.tolist()]).decode(), sums, self.pairs(numbers)[0], False
 
 
 def _path(name: str) -> str:
@@ -307,10 +325,10 @@ def _emit(made: list[tuple]) -> pa.RecordBatch:
 def _parts(pair: Pair, key: tuple, closed: Closed) -> Iterator[tuple]:
     """Rows for closed units."""
     for start, some in closed:
-        group, codes = pair.part(some)
+        text, sums, codes, bad = pair.part(some)
         codes, links = np.unique(codes, return_counts=True)
-        sums = (group.text, group.n_a, group.n_b, group.n_groups, int(links.sum())) if group else ("", 0, 0, 0, 0)
-        yield (*key, start, None, None, True, *sums, group is None, codes.tolist(), links.tolist())
+        counted = (*sums[:3].tolist(), int(links.sum()))
+        yield (*key, start, None, None, True, text, *counted, bad, codes.tolist(), links.tolist())
 
 
 def _open(key: tuple, x: Fragment) -> tuple:
@@ -431,24 +449,23 @@ def _slices(docs: DataFrame, tokenizers: tuple[str, str], size: int) -> DataFram
     """A row per slice of documents: their sums and digests, the slice's pairs, and which documents hold which."""
 
     def work(pair: Pair, rows: list[str | None]):
-        if len(pair.groups) > REMEMBERED:
+        if len(pair.texts) > REMEMBERED:
             pair.forget()
         cut = [units(" " + t) if t else [] for t in rows]
         numbers = pair.numbers([u for some in cut for u in some])
-        groups, first = pair.groups, 0
+        bounds = np.concatenate([[0], np.cumsum([len(some) for some in cut])])
         sums, digests, kept = np.zeros((4, len(rows)), dtype=np.int64), [], []
-        for k, some in enumerate(cut):
-            mine = numbers[first : first + len(some)]
-            first += len(some)
-            found = [groups[m] for m in mine]
-            if None in found or not found:
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            mine = numbers[a:b]
+            whole = pair.sums[mine].sum(axis=0)
+            if a == b or whole[3]:
                 digests.append("")
-                kept.append([])
+                kept.append(mine[:0])
                 continue
-            digests.append(hashlib.sha256(";".join([g.text for g in found]).encode()).hexdigest())
-            sums[:3, k] = [sum([g[c] for g in found]) for c in (2, 3, 1)]
+            digests.append(hashlib.sha256(b";".join([pair.texts[m] for m in mine.tolist()])).hexdigest())
+            sums[:3, k] = whole[:3]
             kept.append(mine)
-        codes, ends = pair.pairs([m for mine in kept for m in mine])
+        codes, ends = pair.pairs(np.concatenate(kept) if kept else numbers)
         ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(m) for m in kept])])]
         sums[3] = np.diff(ends)
         entry, links = np.unique(codes + (np.repeat(np.arange(len(rows)), sums[3]) << 2 * BITS), return_counts=True)

@@ -195,7 +195,8 @@ def gather(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[n
     return values[np.arange(total) + np.repeat(offsets[rows] - (ends - lengths), lengths)], ends
 
 
-def _ragged(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def ragged(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(where each row begins and the last one ends, the bytes of all rows)."""
     return np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64), np.frombuffer(b"".join(rows), np.uint8)
 
 
@@ -209,8 +210,8 @@ class Vocabulary:
         entries = [b""] * (max(self.ranks.values()) + 1)
         for entry, rank in self.ranks.items():
             entries[rank] = entry
-        self.bytes_of = _ragged(entries)
-        self.decimals_of = _ragged([b",%d" % k for k in range(len(entries))])
+        self.bytes_of = ragged(entries)
+        self.decimals_of = ragged([b",%d" % k for k in range(len(entries))])
         self._forget()
 
     def _forget(self) -> None:
