@@ -11,8 +11,8 @@ walking to the next sampled position, and merges what is covered to spans of wor
 Defined results: null and empty texts have no words; a text longer than a shard is cut into segments that
 overlap by a window less one word, so no occurrence is lost; an item without words has no windows; equal items
 and repeated rows count by their own ids and rows; items without an id are searched like others, count as one item
-together, and add nothing to the digest of ids; extra columns are ignored. Words are compared by 64-bit
-hashes.
+together, and add nothing to the digest of ids; without documents there are no rows, without items no hits; extra columns
+are ignored. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.running import running
 from ..session import settle
 from .common import RowKeys, give_back, hashed_words, maybe, packed_row, pieces, table, text_hashes, texts
 
@@ -37,8 +38,7 @@ INDEX_ARROW = pa.schema([
     (name, {"binary": pa.binary(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}[kind])
     for name, kind in (field.split() for field in INDEX_SCHEMA.split(", "))
 ])
-HIT_SCHEMA = "row_key bigint, starts array<bigint>, ends array<bigint>, items array<bigint>"
-OWNER = np.dtype([("none", "?"), ("id", "i8")])  # an item's id, or that it has none
+HIT_SCHEMA = "row_key bigint, starts array<bigint>, ends array<bigint>, phrases array<bigint>"
 LISTED = "row_key bigint, doc_id bigint, n_words bigint, _h1 bigint, _h2 bigint"
 
 
@@ -293,37 +293,30 @@ def build_index(docs: DataFrame, window: int = 10, shard_words: int = 1 << 19, s
 # ---------------------------------------------------------------- phrases and searching
 
 
-def phrase_blocks(items: DataFrame, window: int = 10, block: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The items' windows in blocks of about ``block`` windows: (hashes, lengths, number of the item).
+def item_windows(items: DataFrame, window: int = 10) -> DataFrame:
+    """(item_id, phrase): the windows of all items, each as the hashes of its words, 8 bytes a word."""
 
-    The blocks come one after the other through the driver, so that what is broadcast for one search has a
-    bound: ``block`` windows of ``window`` words, 80 bytes each.
-    """
-    rows, sizes, owners, held = [], [], [], 0
-    for item in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
-        data = pa.record_batch({"text": pa.array([item.text])})
-        hashes, _, _, _ = hashed_words(*texts(data))
-        if not len(hashes):
-            continue
-        length = min(window, len(hashes))
-        owner = np.array((item.item_id is None, item.item_id or 0), dtype=OWNER)
-        windows = np.lib.stride_tricks.sliding_window_view(hashes, length)
-        for first in range(0, len(windows), block):
-            some = np.zeros((len(windows[first : first + block]), window), dtype=np.uint64)
-            some[:, :length] = windows[first : first + block]
-            rows.append(some)
-            sizes.append(np.full(len(some), length))
-            owners.append(np.full(len(some), owner))
-            held += len(some)
-            if held >= block:
-                yield np.concatenate(rows), np.concatenate(sizes), np.concatenate(owners)
-                rows, sizes, owners, held = [], [], [], 0
-    if held:
-        yield np.concatenate(rows), np.concatenate(sizes), np.concatenate(owners)
-
-
-def _spans(index: Index, phrases: np.ndarray, lengths: np.ndarray, owners: np.ndarray) -> Iterator[dict]:
-    """Merged spans and items of the shard's documents that hold a phrase."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, limit=1 << 20):
+                hashes, first, _, _ = hashed_words(*texts(part))
+                ids = part.column(part.schema.get_field_index("item_id"))
+                for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                    length = min(window, b - a)
+                    raw = hashes[a:b].tobytes()
+                    for at in range(0, b - a - length + 1 if length else 0, 1 << 16):
+                        some = range(at, min(at + (1 << 16), b - a - length + 1))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([ids[k].as_py()] * len(some), pa.int64()), pa.array([raw[8 * i : 8 * (i + length)] for i in some], pa.binary())],
+                            names=["item_id", "phrase"],
+                        )
+
+    known = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("text").isNotNull())
+    return known.mapInArrow(run, "item_id bigint, phrase binary")
+
+
+def _spans(index: Index, phrases: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> Iterator[dict]:
+    """Merged spans and phrases of the shard's documents that hold one."""
     phrase, low, high = index.search(phrases, lengths)
     if not len(phrase):
         return
@@ -350,14 +343,14 @@ def _spans(index: Index, phrases: np.ndarray, lengths: np.ndarray, owners: np.nd
             "row_key": int(index.row_keys[span_doc[cuts[k]]]),
             "starts": span_start[cuts[k] : cuts[k + 1]].tolist(),
             "ends": span_end[cuts[k] : cuts[k + 1]].tolist(),
-            "items": [None if none else i for none, i in np.unique(owners[which[doc_cuts[k] : doc_cuts[k + 1]]]).tolist()],
+            "phrases": np.unique(numbers[which[doc_cuts[k] : doc_cuts[k + 1]]]).tolist(),
         }
 
 
-def search_index(index: DataFrame, phrases: np.ndarray, lengths: np.ndarray, owners: np.ndarray) -> DataFrame:
-    """Hits of one phrase block: row_key, span starts and ends in words, item ids."""
-    sent = index.sparkSession.sparkContext.broadcast((phrases, lengths, owners))
-    arrow = pa.schema([("row_key", pa.int64()), *[(n, pa.list_(pa.int64())) for n in ("starts", "ends", "items")]])
+def search_index(index: DataFrame, phrases: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> DataFrame:
+    """Hits of one phrase block: row_key, span starts and ends in words, numbers of the phrases."""
+    sent = index.sparkSession.sparkContext.broadcast((phrases, lengths, numbers))
+    arrow = pa.schema([("row_key", pa.int64()), *[(n, pa.list_(pa.int64())) for n in ("starts", "ends", "phrases")]])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,42 +388,69 @@ def documents_of(index: DataFrame) -> DataFrame:
     return index.select("row_keys", "doc_ids", "text_hashes", "n_words").mapInArrow(listed, LISTED)
 
 
-def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 1 << 19) -> DataFrame:
-    """row_key, doc_id, n_words, two text hashes, spans (array of start, end in words), items (sorted ids, a null last) per document.
+def phrase_hits(index: DataFrame, phrases: DataFrame, window: int, block: int) -> DataFrame | None:
+    """Hits of all phrases (phrase, number), searched in blocks of ``block``.
 
-    Documents without a hit have empty arrays. Spans are merged over windows, segments and phrase blocks.
+    What is sent for a search is one block, 88 bytes a phrase; its hits are written before the next one is sent.
     """
-    index = settle(build_index(docs, window, shard_words), "fm-index")
     hits = None
-    for phrases, lengths, owners in phrase_blocks(items, window):
-        found = search_index(index, phrases, lengths, owners)
+    for k in range(-(-(phrases.agg(F.max("number")).first()[0] or 0) // block)):
+        some = phrases.where(F.col("number").between(k * block + 1, (k + 1) * block)).toArrow()
+        raw = some.column("phrase").to_pylist()
+        lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 8
+        words = np.zeros((len(raw), window), dtype=np.uint64)
+        words[np.arange(window) < lengths[:, None]] = np.frombuffer(b"".join(raw), dtype=np.uint64)
+        found = settle(search_index(index, words, lengths, some.column("number").to_numpy()), "hits")
         hits = found if hits is None else hits.unionByName(found)
+    return hits
+
+
+def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 1 << 19, block: int = 1 << 17) -> DataFrame:
+    """row_key, doc_id, n_words, two text hashes, spans (array of start, end in words), items (sorted ids, a null last) per document.
+
+    Documents without a hit have empty arrays. Spans are merged over windows, segments and phrase blocks. A window that
+    many items hold is searched once, and its items are told by equality afterwards.
+    """
+    index = settle(build_index(docs, window, shard_words), "fm-index")
+    owned = settle(item_windows(items, window), "windows")
+    phrases = settle(running(owned.select("phrase").distinct(), [], ["phrase"], ordinal="number"), "phrases")
+    owners = settle(owned.join(phrases, "phrase").select("number", "item_id").distinct(), "owners")
+    hits = phrase_hits(index, phrases, window, block)
     listed = documents_of(index)
     if hits is None:
         return listed.select("*", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<bigint>)").alias("items"))
-    merged = hits.groupBy("row_key").agg(
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))))).alias("_parts"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ).select("row_key", "items", _merged(F.col("_parts")).alias("spans"))
-    return listed.join(merged, "row_key", "left").select(
+    parts = F.flatten(F.collect_list(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))))
+    merged = _merged(hits.groupBy("row_key").agg(parts.alias("parts")))
+    found = hits.select("row_key", F.explode("phrases").alias("number")).distinct().join(owners, "number")
+    # a null item is one like others, and the last one
+    item = F.struct(F.col("item_id").isNull().alias("none"), "item_id")
+    of = found.groupBy("row_key").agg(F.transform(F.array_sort(F.collect_set(item)), lambda x: x["item_id"]).alias("items"))
+    return listed.join(merged, "row_key", "left").join(of, "row_key", "left").select(
         "row_key", "doc_id", "n_words", "_h1", "_h2",
         F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("spans"),
         F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"),
     )
 
 
-def _merged(parts):
-    """Sorted spans, those that overlap or touch as one."""
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
 
-    def fold(done, span):
-        last = F.try_element_at(done, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
-        return F.when(
-            (F.size(done) > 0) & (span["start"] <= last["end"]),
-            F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer)),
-        ).otherwise(F.concat(done, F.array(span)))
+def _merged(rows: DataFrame) -> DataFrame:
+    """(row_key, spans) from (row_key, parts): spans that overlap or touch are one."""
 
-    return F.aggregate(parts, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), fold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for parts in batch.column(1):
+                start, end = (parts.values.field(k).to_numpy() for k in (0, 1))
+                order = np.argsort(start, kind="stable")
+                start, far = start[order], np.maximum.accumulate(end[order])
+                at = np.flatnonzero(np.r_[True, start[1:] > far[:-1]])
+                last = np.r_[at[1:], len(start)] - 1
+                out.append([{"start": a, "end": b} for a, b in zip(start[at].tolist(), far[last].tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SPANS)], names=["row_key", "spans"])
+
+    return rows.mapInArrow(run, "row_key bigint, spans array<struct<start:bigint,end:bigint>>")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:

@@ -13,7 +13,7 @@ meet once, tile by tile, in double precision. Tasks return link counts and fores
 
 Equal vectors with equal labels are one class and are compared once. Defined results: a vector that is null,
 empty, zero or holds null or non-finite components, or whose label is null, links with nothing; a null vec_id is no component's name
-unless all ids are null; vectors of
+unless all ids are null, and is kept in that case only; an empty table gives an empty one; vectors of
 different dimension or label are never compared; repeated rows are separate vectors; extra columns are ignored.
 """
 
@@ -85,7 +85,9 @@ def cells(classes: DataFrame, cosine: float, block_dims: int, cell_dims: int) ->
                         for k in range(place.shape[1]):
                             leading = np.where(leading == 0, moves[:, k], leading)
                         go = np.ones(len(rep), dtype=bool) if not any(choice) else leading > 0
-                        key = mix((label[go] * 64 + int(dims)).view(np.uint64) + np.uint64(b << 32))
+                        key = mix(label[go].view(np.uint64) + np.uint64(1))
+                        for part in (int(dims), b):
+                            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part))
                         for k in range(place.shape[1]):
                             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + (home[go, k] + moves[go, k]).view(np.uint64))
                         at = np.flatnonzero(go)
@@ -115,32 +117,36 @@ def cell_links(tiles: DataFrame, cosine: float, block_dims: int) -> DataFrame:
             cell, first, second, own, rep, home, block = map(column, ("cell", "_first", "_second", "_own", "rep", "home", "block"))
             vectors = rows.column("vector").combine_chunks().to_pylist()
             links_a, links_b = [], []
+            # hashes of cells may meet: only rows of one block and dimension are compared
+            kind = (block.astype(np.int64) << 32) | np.fromiter(map(len, vectors), dtype=np.int64, count=len(vectors))
             bounds = runs(cell, first, second)
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if hi - lo < 2:
-                    continue
-                full = np.frombuffer(b"".join(vectors[lo:hi]), dtype=np.float16).reshape(hi - lo, -1).astype(np.float32)
-                dims = full.shape[1]
-                cut = block_bounds(dims, block_dims)[block[lo] : block[lo] + 2]
-                part = full[:, cut[0] : cut[1]]
-                near = (radius * np.sqrt((cut[1] - cut[0]) / dims) + HALF) ** 2
-                at_home = np.flatnonzero(home[lo:hi])
-                step = max(1, (1 << 20) // (hi - lo))
-                for k in range(0, len(at_home), step):
-                    i, j = _near(part[at_home[k : k + step]], part, near)
-                    i = at_home[k : k + step][i]
-                    # visitors meet those at home only; those at home meet each other once
-                    keep = np.where(home[lo + j], i < j, True)
-                    keep &= (first[lo] == second[lo]) | (own[lo + i] != own[lo + j])
-                    i, j = i[keep], j[keep]
-                    for m in range(0, len(i), 1 << 16):
-                        x, y = i[m : m + (1 << 16)], j[m : m + (1 << 16)]
-                        gap = full[x] - full[y]
-                        close = (gap * gap).sum(axis=1) <= (radius + HALF) ** 2
-                        if close.any():
-                            a, b = forest(rep[lo + x[close]], rep[lo + y[close]])
-                            links_a.append(a)
-                            links_b.append(b)
+                for one in np.unique(kind[lo:hi]):
+                    at = lo + np.flatnonzero(kind[lo:hi] == one)
+                    if len(at) < 2:
+                        continue
+                    full = np.frombuffer(b"".join([vectors[k] for k in at]), dtype=np.float16).reshape(len(at), -1).astype(np.float32)
+                    dims = full.shape[1]
+                    cut = block_bounds(dims, block_dims)[block[at[0]] : block[at[0]] + 2]
+                    part = full[:, cut[0] : cut[1]]
+                    near = (radius * np.sqrt((cut[1] - cut[0]) / dims) + HALF) ** 2
+                    at_home = np.flatnonzero(home[at])
+                    step = max(1, (1 << 20) // len(at))
+                    for k in range(0, len(at_home), step):
+                        i, j = _near(part[at_home[k : k + step]], part, near)
+                        i = at_home[k : k + step][i]
+                        # visitors meet those at home only; those at home meet each other once
+                        keep = np.where(home[at[j]], i < j, True)
+                        keep &= (first[lo] == second[lo]) | (own[at[i]] != own[at[j]])
+                        i, j = i[keep], j[keep]
+                        for m in range(0, len(i), 1 << 16):
+                            x, y = i[m : m + (1 << 16)], j[m : m + (1 << 16)]
+                            gap = full[x] - full[y]
+                            close = (gap * gap).sum(axis=1) <= (radius + HALF) ** 2
+                            if close.any():
+                                a, b = forest(rep[at[x[close]]], rep[at[y[close]]])
+                                links_a.append(a)
+                                links_b.append(b)
             if links_a:
                 a, b = forest(np.concatenate(links_a), np.concatenate(links_b))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -195,15 +201,15 @@ def near_vectors(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), "embedding",
         F.coalesce(usable, F.lit(False)).alias("usable"),
     )
-    # a class of equal vectors is known by 128 bits of hashes, and goes by the first 64
+    # a class of equal vectors is found by 128 bits of hashes, and goes by a number that is written with it
     good = read.where("usable").withColumns(
-        {"rep": F.xxhash64("label", "embedding"), "check": F.xxhash64(F.lit(1), "label", "embedding")}
+        {"_h1": F.xxhash64("label", "embedding"), "_h2": F.xxhash64(F.lit(1), "label", "embedding")}
     )
     classes = settle(
-        good.groupBy("rep", "check").agg(
+        good.groupBy("_h1", "_h2").agg(
             F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"),
             F.first("embedding").alias("embedding"),
-        ).withColumn("dims", F.size("embedding")),
+        ).withColumns({"dims": F.size("embedding"), "rep": F.monotonically_increasing_id()}),
         "classes",
     )
     placed = settle(cells(classes, cosine, block_dims, cell_dims), "cells")
@@ -216,18 +222,18 @@ def near_vectors(
     found = settle(exact_links(tiled(members, tiles, "cluster", "rep"), cosine), "found")
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    named = classes.select("rep", "check", "least_id", "copies").join(links, "rep", "left").join(joined, "rep", "left")
+    named = classes.select("rep", "_h1", "_h2", "least_id", "copies").join(links, "rep", "left").join(joined, "rep", "left")
     named = named.withColumn("root", F.coalesce("component", "rep"))
     lowest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     per_class = settle(
         named.join(lowest, "root").select(
-            "rep", "check", "component_id",
+            "_h1", "_h2", "component_id",
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("bigint").alias("n_links"),
         ),
         "per-class",
     )
-    linked = good.select("vec_id", "rep", "check").join(per_class, ["rep", "check"]).select(
-        "vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    linked = good.select("vec_id", "_h1", "_h2").join(per_class, ["_h1", "_h2"]).select(
+        "vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
     alone = read.where("not usable").select(
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")

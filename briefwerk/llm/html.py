@@ -8,12 +8,16 @@
    container, and one without any container the text that is left of its body.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments of readers are left out by
-tag, role and the words of class and id, also inside the article; words leave nothing out that holds the page's article
-or most of its text. A container within an article stands for all of it, headline and lead included. White space within a block, line breaks included,
-becomes one blank; blocks are joined by a line feed.
+tag, role and the words of class and id; words leave nothing out that holds the page's article or most of its text.
+Within an article or main element a name must say so as a whole ("share-buttons", but not "social-security"), or have a
+listed word and stand over links mostly; names of inline elements say nothing. A container within an article stands for
+all of it. What stands beside the chosen container comes along if it is of one piece with it: headings before it,
+paragraphs that are sentences, containers of the same kind or of a score near to its own. White space within a block,
+line breaks included, becomes one blank; blocks are joined by a line feed.
 
 Defined results: null and empty html gives an empty text; pages without a host keep their own best container;
-repeated rows are read one by one; markup may be cut off or not closed anywhere; further columns are ignored.
+repeated rows are read one by one; markup may be cut off or not closed anywhere; a page is read as a whole, whatever its
+length; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,6 +64,10 @@ LEFT_OUT_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article body content entry main page post story text blog".split())
 POST_WORDS = frozenset("article entry post story".split())
+# words that say of a name only what kind of box it is
+BOX_WORDS = frozenset("area bar block body box button buttons container content form group icons inner item items link links list posts row section wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 hgroup header".split())
+RUNNING = frozenset("p pre blockquote ul ol dl table figure h4 h5 h6".split())
 # an open element of the first kind ends where one of the second kind begins
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
@@ -68,8 +76,8 @@ CLOSES = {
 SCOPES = frozenset("ul ol table article section div main body dl td th".split())
 
 
-# why an element is left out: by its tag, role or style; by its name; as what readers write
-SURE, LIKELY, OF_READERS = 1, 2, 3
+# why an element is left out: by its tag, role or style; by its name; as what readers write; by a word of its name, if it is links
+SURE, LIKELY, OF_READERS, IF_LINKS = 1, 2, 3, 4
 READERS = frozenset("comment comments disqus replies reply respond".split())
 _STATE = re.compile(r"(?:has|no|with|without)[-_]", re.I)
 
@@ -82,6 +90,12 @@ def _left_out(name: str) -> bool:
     return not _STATE.match(name) and bool(words & LEFT_OUT_WORDS)
 
 
+def _says_so(name: str) -> bool:
+    """Whether a class or id is made of words that are left out, and of words for boxes."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return _left_out(name) and all(w in LEFT_OUT_WORDS or w in BOX_WORDS for w in words)
+
+
 def _ends(html: str) -> dict[int, int]:
     """Where the elements of SKIPPED end, by where they begin; those that nothing closes are missing."""
     open_: dict[str, list[int]] = {}
@@ -98,6 +112,16 @@ def _ends(html: str) -> dict[int, int]:
     return out
 
 
+def _inline_end(html: str, tag: str, at: int) -> int:
+    """Behind the end tag of an inline element, over those of its own kind within it; where it stands if there is none."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(html, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return at
+
+
 class Page:
     """Nodes (parent, tag, label, mark, words) and blocks (node, text, letters in links) of a page."""
 
@@ -133,14 +157,18 @@ class Page:
             or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
         ):
             mark = SURE
-        elif tag == "form" or ("header" in names and not inside_article and tag in ("div", "section")):
+        elif tag == "form":
             mark = LIKELY
-        elif names & LEFT_OUT_WORDS and tag not in ("html", "body", "article", "main"):
+        elif names & (LEFT_OUT_WORDS | {"header"}) and tag not in ("html", "body", "article", "main"):
             tokens = [t for k in ("class", "id") for t in found.get(k, "").split()]
             if any(t.lower() in READERS for t in tokens):
                 mark = OF_READERS
-            elif any(_left_out(t) for t in tokens):
+            elif any((_says_so if inside_article or tag in HEADINGS else _left_out)(t) for t in tokens):
+                mark = LIKELY
+            elif tag in ("div", "section") and not inside_article and any(t.lower() in ("header", "site-header", "page-header") for t in tokens):
                 mark = LIKELY
+            elif any(_left_out(t) for t in tokens):
+                mark = IF_LINKS
         self.parent.append(above)
         self.tag.append(tag)
         self.label.append(".".join([tag, *sorted({re.sub(r"\d+", "0", c) for c in found.get("class", "").split()})]))
@@ -163,14 +191,17 @@ class Page:
 
         sure = inherited([m == SURE for m in self.mark])
         if any(m not in (0, SURE) for m in self.mark):
-            letters, articles, mains = [0] * n, [0] * n, [0] * n
+            letters, linked, articles, mains = [0] * n, [0] * n, [0] * n, [0] * n
             for node, text, links in self.blocks:
                 if not sure[node]:
                     letters[node] += max(0, len(text) - links)
+                    linked[node] += links
             for k in range(n - 1, 0, -1):
                 letters[self.parent[k]] += letters[k]
+                linked[self.parent[k]] += linked[k]
                 articles[self.parent[k]] += articles[k] + (self.tag[k] == "article" and letters[k] > 0)
                 mains[self.parent[k]] += mains[k] + (self.tag[k] == "main" and letters[k] > 0)
+            self.mark = [0 if m == IF_LINKS and linked[k] <= letters[k] else m for k, m in enumerate(self.mark)]
             out = inherited(self.mark)
             free = max((letters[k] for k in range(n) if self.tag[k] in ("article", "main") and not out[k]), default=0)
             sure = inherited([
@@ -262,12 +293,11 @@ class Page:
                 self._implied_end(tag)
                 self._open(tag, html[name.end() : at - 1])
             elif tag in ("span", "ins", "del", "small", "time") and not html.startswith(">", name.end()):
-                # an inline element whose names say that it is no text
+                # an inline element that isn't shown; what its names say is no reason
                 self._open(tag, html[name.end() : at - 1])
-                if self.mark[self._stack[-1]]:
-                    stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                    at = stop.end() if stop else at
-                self._stack.pop()
+                if self.mark[self._stack[-1]] == SURE:
+                    at = _inline_end(html, tag, at)
+                self.mark[self._stack.pop()] = 0
         self._flush()
         self._leave_out()
 
@@ -300,9 +330,11 @@ class Page:
                         share /= 2
                 node = self.parent[node]
         best, most = -1, 0.0
+        self.scores = {}
         for node, score in scores.items():
             hint = 1.5 if self.tag[node] in ("article", "main") else 1.2 if self.names[node] & GOOD_WORDS else 1.0
             score *= hint * (1 - linked[node] / max(inside[node], 1))
+            self.scores[node] = score
             if score > most or (score == most and best >= 0 and score > 0 and node < best):
                 best, most = node, score
         best = self._widened(best)
@@ -323,18 +355,69 @@ class Page:
                 return k
         return node
 
+    def _beside(self, chosen: set[int], agreed: bool) -> tuple[set[int], set[int]]:
+        """(the containers and what is of one piece with them, parents whose own sentences are).
+
+        Where the host's pages agreed on the container, no other one comes along for its score alone.
+        """
+        n = len(self.tag)
+        letters, linked, last = [0] * n, [0] * n, [""] * n
+        for node, text, links in self.blocks:
+            letters[node] += len(text)
+            linked[node] += links
+            last[node] = text
+        own = {k: (letters[k], linked[k], last[k]) for k in {self.parent[c] for c in chosen}}
+        for k in range(n - 1, 0, -1):
+            above = self.parent[k]
+            letters[above] += letters[k]
+            linked[above] += linked[k]
+            last[above] = last[k] if not last[above] else last[above]
+        around: dict[int, list[int]] = {}
+        for k in range(1, n):
+            if self.parent[k] in own and letters[k] and k not in chosen:
+                around.setdefault(self.parent[k], []).append(k)
+
+        def sentence(size: int, links: int, text: str) -> bool:
+            return 4 * links < size and (size > 80 or (not links and text[-1:] in ".!?:\u2026\u3002"))
+
+        more, parents = set(chosen), set()
+        for c in chosen:
+            above = self.parent[c]
+            if above <= 0 or self.tag[c] == "body":
+                continue
+            for k in around.get(above, ()):
+                if 3 * linked[k] >= letters[k]:
+                    continue
+                tag, score = self.tag[k], self.scores.get(k, 0.0)
+                if self.tag[c] in ("article", "main") and tag != "article":
+                    joins = False  # they hold their headline themselves
+                elif tag in HEADINGS:
+                    joins = k < c
+                elif tag in RUNNING:
+                    joins = sentence(letters[k], linked[k], last[k]) and (tag == "p" or self.tag[above] != "body")
+                elif tag in CONTAINERS:
+                    same = self.label[k] == self.label[c] and (tag == "article" or "." in self.label[k])
+                    near = not agreed and score >= 0.3 * self.scores.get(c, 0.0)
+                    joins = score > 0 and (near or (same and letters[k] > 80))
+                else:
+                    joins = False
+                if joins:
+                    more.add(k)
+            if self.tag[above] != "body" and own[above][0] and sentence(*own[above]):
+                parents.add(above)
+        return more, parents
+
     def text(self, path: str | None = None) -> str:
         """The text at a host's path, or of the page's own best container, or of all that is left."""
+        best, _ = self.best()
         if path:
             last = path.rpartition(">")[2]
             chosen = {k for k in range(1, len(self.tag)) if self.label[k] == last and self.path(k) == path}
-            found = self._under(chosen) if chosen else ""
-            if found:
-                return found
-        best, _ = self.best()
-        return self._under({best}) if best >= 0 else "\n".join(t for _, t, _ in self.blocks)
+            if chosen and self._under(chosen, set()):
+                return self._under(*self._beside(chosen, True))
+        return self._under(*self._beside({best}, False)) if best >= 0 else "\n".join(t for _, t, _ in self.blocks)
 
-    def _under(self, chosen: set[int]) -> str:
+    def _under(self, chosen: set[int], parents: set[int]) -> str:
         held: dict[int, bool] = {}
 
         def within(node: int) -> bool:
@@ -347,7 +430,7 @@ class Page:
                 held[k] = answer
             return answer
 
-        return "\n".join(t for node, t, _ in self.blocks if within(node))
+        return "\n".join(t for node, t, _ in self.blocks if node in parents or within(node))
 
 
 def host(url):

@@ -9,8 +9,8 @@ Texts at a greater distance from their centroid than nearly all sampled texts of
 are marked as rejected. The general interface then says ``und``; the query keeps the nearest language beside the
 mark, as its contract wants a language for every text with letters.
 
-What is learned: at most about ``sample`` rows a language and ``in_all`` in all, picked by hash of the id; at most ``languages`` centroid
-sets, those with the most rows (more than there are languages written). Defined results: null and empty texts, and
+What is learned: at most about ``sample`` different rows a language and ``in_all`` in all (eight a language, if there are more than
+a thousand), picked by hash of id and text; a row that is repeated counts once. Every language gets centroids. Defined results: null and empty texts, and
 texts without letters, are ``und`` with score 0; without any labelled text everything is ``und``; repeated rows are
 judged one by one; further columns are ignored.
 """
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, table
+from .common import held_out, pieces, table, text_hashes
 
-BITS, ORDERS, SAMPLE, CENTROIDS, LANGUAGES, QUANTILE, SHARPNESS, IN_ALL = 12, 3, 600, 4, 1000, 0.002, 40.0, 8000
+BITS, ORDERS, SAMPLE, CENTROIDS, QUANTILE, SHARPNESS, IN_ALL = 12, 3, 600, 4, 0.002, 40.0, 8000
 PLACES = 1 << BITS
 UNKNOWN = "und"
 _U = np.uint64
@@ -127,14 +127,14 @@ def clustered(v: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 
 def fit(
-    docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES, quantile: float = QUANTILE, in_all: int = IN_ALL
+    docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, quantile: float = QUANTILE, in_all: int = IN_ALL
 ) -> Model:
     """Learn from text and lang of (doc_id, text, lang), but for ids whose crc32 mod 4 is 2."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2) & (F.length("text") > 0))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return Model([], np.zeros((0, PLACES)), np.zeros(0, int), np.zeros(0), np.ones(PLACES))
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     each = min(sample, max(8, in_all // len(sizes)))
     rate = F.create_map([x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, each / r.n)))])
 
@@ -151,7 +151,10 @@ def fit(
                         names=["lang", "vector"],
                     )
 
-    rows = usable.where(h < rate[F.col("lang")]).select("text", "lang").mapInArrow(run, "lang string, vector binary").toArrow()
+    # equal rows are picked together, and learned from once
+    same = ["lang", "doc_id", *text_hashes()]
+    picked = usable.where(h < rate[F.col("lang")]).withColumns(text_hashes()).groupBy(*same).agg(F.first("text").alias("text"))
+    rows = picked.select("text", "lang").mapInArrow(run, "lang string, vector binary").toArrow()
     names_of = np.array(rows.column("lang").to_pylist(), dtype=object)
     if not len(names_of):
         return Model([], np.zeros((0, PLACES)), np.zeros(0, int), np.zeros(0), np.ones(PLACES))

@@ -5,7 +5,7 @@ grid of 1/1024: the largest one whose weights reach the target entropy (a share
 raised to the smallest one that repeats no source more often than allowed.
 
 Each source then gets ``weight x budget`` words. It is read pass by pass, each pass in another permutation by
-MD5 of (pass, doc_id); a document that begins within the budget is in. The stream of every source is spread
+MD5 of (pass, doc_id, text's MD5); a document that begins within the budget is in. The stream of every source is spread
 evenly over blocks of ``block_tokens`` words, so each block holds the weights, and is permuted in itself.
 
 Places in a pass are running sums. A source may hold a third of all rows, so the rows of a pass are dealt to
@@ -14,7 +14,10 @@ Places in a pass are running sums. A source may hold a third of all rows, so the
 Defined results: null texts have no words; null is a source of its own; documents without words cost nothing
 and come along where they fall; a source without words has no weight and is left out; repeated rows are
 separate documents that may swap places; an empty table gives no rows; further columns are ignored unless
-named in ``carry``.
+named in ``carry``. Rows that agree in id, source and text are in the same place of a permutation, one after the other.
+
+All numbering is done on rows without texts. Columns to carry are written once with a number for each row, and moved
+once, to the rows' places.
 """
 
 from __future__ import annotations
@@ -75,24 +78,21 @@ def _log(x: float) -> float:
 
 def mixture(
     docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None,
-    block_tokens: int = BLOCK_TOKENS, carry: tuple[str, ...] = (), places: bool = True,
+    block_tokens: int = BLOCK_TOKENS, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(doc_id, text, source) → block, place, doc_id, source, pass, n_tokens, weight, one row per use of a document.
 
-    ``budget`` is in words; without one it is the number of words there are. ``carry`` names columns that come
-    along: with texts among them, ``places=False`` spares moving them once more, and gives each row the ``key`` that
-    orders its block instead of its place.
+    ``budget`` is in words; without one it is the number of words there are. ``carry`` names columns that come along.
     """
     kept = [F.col(c).alias(f"_c_{k}") for k, c in enumerate(carry)]
     rows = docs.select(
-        "doc_id", F.col("source").alias("source"),
-        F.coalesce(F.concat(F.lit(":"), "source"), F.lit("")).alias("_s"),
-        F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("bigint").alias("n_tokens"), *kept,
+        "doc_id", F.coalesce(F.concat(F.lit(":"), "source"), F.lit("")).alias("_s"),
+        F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("bigint").alias("n_tokens"),
+        F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("_text"), *kept,
     )
-    # sums are taken from narrow rows; what is carried is read again when it is moved
-    narrow = settle(rows.select("doc_id", "_s", "n_tokens"), "counted")
-    if not carry:
-        rows = narrow.withColumn("source", F.when(F.col("_s") != "", F.substr("_s", F.lit(2))))
+    # sums and places are taken from narrow rows; what is carried waits under the row's number
+    wide = settle(rows.withColumn("_row", F.monotonically_increasing_id()), "counted") if carry else settle(rows, "counted")
+    narrow = wide.select("doc_id", "_s", "n_tokens", "_text", *(["_row"] if carry else []))
     tokens = settle(narrow.groupBy("_s").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "sources")
     total = tokens.agg(F.sum("tokens")).first()[0] or 0
     budget = total if budget is None else budget
@@ -108,7 +108,7 @@ def mixture(
 
     def used(some: DataFrame) -> DataFrame:
         """A row per document and pass, with its place in the permutation and the range that this falls in."""
-        name = F.concat_ws(":", F.col("pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        name = F.concat_ws(":", F.col("pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_text")
         each = some.join(planned, "_s").withColumn("pass", F.explode(F.expr("sequence(0, _passes - 1)")))
         return each.withColumn("_key", F.md5(name.cast("binary"))).withColumn("_range", F.substring("_key", 1, 3))
 
@@ -123,7 +123,7 @@ def mixture(
     ends = settle(ranges.groupBy("_s", "pass").agg(F.max("_range").alias("_end")), "ends")
     inside = Window.partitionBy("_s", "pass", "_range").orderBy("_key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        used(rows).join(ends, ["_s", "pass"]).where("_range <= _end")
+        used(narrow).join(ends, ["_s", "pass"]).where("_range <= _end")
         .withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         .join(ranges, ["_s", "pass", "_range"])
         .withColumn("_at", F.col("_before") + F.col("_inside"))
@@ -132,11 +132,15 @@ def mixture(
         .withColumn("block", F.expr(f"cast(cast(_at as decimal(19,0)) * {blocks} div _budget as bigint)"))
     )
     within = Window.partitionBy("block").orderBy("_key", "_s", "n_tokens")
-    place = F.row_number().over(within).cast("bigint").alias("place") if places else F.col("_key").alias("key")
-    return placed.select(
-        "block", place, "doc_id", "source", F.col("pass").cast("bigint").alias("pass"), "n_tokens", "weight",
-        *[F.col(f"_c_{k}").alias(c) for k, c in enumerate(carry)],
+    done = placed.select(
+        "block", F.row_number().over(within).cast("bigint").alias("place"), "doc_id",
+        F.when(F.col("_s") != "", F.substr("_s", F.lit(2))).alias("source"), F.col("pass").cast("bigint").alias("pass"), "n_tokens", "weight",
+        *(["_row"] if carry else []),
     )
+    if not carry:
+        return done
+    moved = done.join(wide.select("_row", *[f"_c_{k}" for k in range(len(carry))]), "_row")
+    return moved.select(*[c for c in done.columns if c != "_row"], *[F.col(f"_c_{k}").alias(c) for k, c in enumerate(carry)])
 
 
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +149,8 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = rf"""
 WITH counted AS (SELECT doc_id, source, coalesce(':' || source, '') AS s,
-                        CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f]+')), 0) AS BIGINT) AS n_tokens FROM documents),
+                        CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f]+')), 0) AS BIGINT) AS n_tokens,
+                        coalesce(md5(text), '') AS t FROM documents),
 sources AS (SELECT s, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM counted GROUP BY s HAVING sum(n_tokens) > 0),
 facts AS (SELECT CAST(sum(tokens) AS BIGINT) AS total, count(*) AS n, min(tokens) AS least FROM sources),
 shares AS (SELECT s, tokens, CAST(tokens AS DOUBLE) / total AS share FROM sources, facts),
@@ -159,7 +164,7 @@ planned AS (SELECT s, tokens, exp(a * ln(share)) / z AS w, CAST(round(exp(a * ln
                    CAST(ceil(total / {BLOCK_TOKENS}.0) AS HUGEINT) AS blocks
             FROM shares, facts, sums JOIN chosen USING (k)),
 passes AS (SELECT p.*, unnest(generate_series(0, CAST(ceil(budget / CAST(tokens AS DOUBLE)) AS BIGINT) - 1)) AS pass FROM planned p WHERE budget > 0),
-used AS (SELECT c.*, p.* EXCLUDE (s), md5(pass || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM counted c JOIN passes p USING (s)),
+used AS (SELECT c.*, p.* EXCLUDE (s), md5(pass || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || t) AS key FROM counted c JOIN passes p USING (s)),
 placed AS (SELECT *, pass * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY s, pass ORDER BY key, n_tokens
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM used),
 cut AS (SELECT *, CAST(CAST(begins AS HUGEINT) * blocks // budget AS BIGINT) AS block FROM placed WHERE begins < budget)

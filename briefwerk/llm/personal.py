@@ -16,13 +16,16 @@ are shuffled. One scan reads the texts; everything after works on narrow tables.
 
 Defined results: null and empty texts have no spans; positions count code points, ends are exclusive; repeated rows
 are read one by one (their instances still count once); identifiers may have any length, beyond 64 characters a digest
-stands for them in the graph; strings that are no seeds do not overlap; further columns are ignored.
+stands for them in the graph; strings that are no seeds do not overlap, and have at least four characters (three with an at
+sign); contexts are looked for up to 64 characters before and 40 after a string, where a longer word counts by that part
+of it; a text may be of any length; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -183,23 +186,24 @@ def strings(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int,
 
 
 def _clear(text: str, found: Iterator[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """What overlaps nothing taken; of a group of digits that does, the parts that do not."""
-    k = 0
+    """What overlaps nothing taken (sorted by start); of a group of digits that does, the parts that do not."""
+    starts, ends = [], []
+    for start, end in taken:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
+    def free(start: int, end: int) -> bool:
+        k = bisect_right(ends, start)
+        return k == len(starts) or starts[k] >= end
+
     for start, end in found:
-        while k < len(taken) and taken[k][1] <= start:
-            k += 1
-        near, j = taken[max(0, k - 4) : k], k
-        while j < len(taken) and taken[j][0] < end:
-            near.append(taken[j])
-            j += 1
-        if not any(s < end and start < e for s, e in near):
+        if free(start, end):
             yield start, end
-            continue
-        for part in _PART.finditer(text, start, end):
-            while near and near[0][1] <= part.start():
-                near.pop(0)
-            if not any(s < part.end() and part.start() < e for s, e in near[:8]):
-                yield part.span()
+        else:
+            yield from (part.span() for part in _PART.finditer(text, start, end) if free(*part.span()))
 
 
 SCANNED = (

@@ -100,7 +100,9 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, of: int, rest: int,
     h = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 30)) / float(1 << 30)
     wanted = " or ".join(f"(y = {y} and h < {rate})" for y, rate in rates.items()) or "false"
     known = known_labels(labels, label, of, rest).withColumn("h", h).where(wanted)
-    return docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(known), "doc_id").select("text", "y", "h")
+    found = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(known), "doc_id")
+    # an id that is given to many rows counts as one: before anything moves, each task keeps one text of it
+    return found.groupBy("doc_id", "y", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y", "h")
 
 
 def known_labels(labels: DataFrame, label: str, of: int, rest: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token counts as the tokenizer's library gives them, huge documents by overlap resynchronisation.
 
 A text of up to ``chunk`` characters is encoded as it is, but pieces between blanks that surely begin a pre-token
-are encoded once per worker and remembered (a bounded number of them). A longer one is encoded in chunks that overlap, with
+are encoded once per worker and remembered (a bounded number of pieces of bounded length). A longer one is encoded in chunks that overlap, with
 offsets, and spliced where that is proven to be right: the library first cuts a text into pre-tokens from left to
 right, without looking back. If both chunks have a pre-token beginning at the same place, and the left chunk is
 right up to there, everything from there on is the same in the right chunk and in the whole text. Places too near
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, table, texts
 
-NAME, CHUNK, OVERLAP, LIMIT = "byte_bpe_50k.json", 16384, 256, 512
+NAME, CHUNK, OVERLAP, LIMIT, LONGEST = "byte_bpe_50k.json", 16384, 256, 512, 64
 _LOADED: dict[str, object] = {}
 
 
@@ -141,7 +141,11 @@ class _Short:
             some = fresh[first : first + (1 << 14)]
             self.known.update(zip(some, self._encode(some), strict=True))
         known = self.known.__getitem__
-        return [sum(map(known, p)) for p in split]
+        out = [sum(map(known, p)) for p in split]
+        for piece in fresh:
+            if len(piece) > LONGEST:
+                del self.known[piece]
+        return out
 
 
 def _pieces(text: str) -> list[str]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,15 @@ def brute_near(rows, threshold=0.8):
     return [(rows[k][0], ids[label[k]], count[k]) for k in range(len(rows))]
 
 
+def brute_classes(rows, threshold=0.8):
+    """(smallest id of its class, number of its class) of every row."""
+    s = [sets(t) for _, t, _, _ in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if s[a] and s[b] and 10 * len(s[a] & s[b]) >= 8 * len(s[a] | s[b])]
+    label = reach(len(rows), links)
+    ids = {c: min((rows[k][0] for k in range(len(rows)) if label[k] == c and rows[k][0] is not None), default=None) for c in set(label)}
+    return [(ids[label[k]], label[k]) for k in range(len(rows))]
+
+
 def near_rows():
     rng = random.Random(11)
     rows = []
@@ -121,9 +131,9 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     rows = near_rows()
     kept = jaccard.deduplicated(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    want = [i for i, c, _ in brute_near(rows) if i is not None and i == c]
-    assert sorted(i for i in ids if i is not None) == sorted(want)
+    # one row of each class, repeated rows and rows without an id included; of a class, one with the smallest id
+    want = Counter(key for key, _ in {(c, n) for c, n in brute_classes(rows)})
+    assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == want
     assert jaccard.deduplicated(docs(spark, [])).count() == 0
 
 
@@ -170,6 +180,23 @@ def test_near_vectors_equal_brute_force(spark, dims, tiles):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_many_labels_and_dimensions_stay_apart(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for label, dims in ((0, 128), (1, 64), (2, 64), (1, 128), (-1, 192), (0, 64)):
+        centre = rng.standard_normal(dims)
+        rows += [([float(x) for x in centre + rng.standard_normal(dims) * 0.05], label) for _ in range(12)]
+    rows = [(k, v, label) for k, (v, label) in enumerate(rows)]
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"))
+    assert rows_of(found, "vec_id", "n_links", "component_id") == sorted(brute_vectors(rows), key=lambda r: tuple((False, str(v)) for v in r))
+
+
+def test_rows_without_an_id_are_kept_if_nothing_they_link_with_has_one(spark):
+    rows = [(None, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (4, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (None, None, 0)]
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    assert rows_of(found, "vec_id", "component_id", "kept") == [(4, 4, True), (None, 4, False), *[(None, None, True)] * 3]
+
+
 def test_rotation_is_orthogonal():
     q = embeddings.rotation(12)
     assert np.allclose(q @ q.T, np.eye(12))
@@ -231,8 +258,8 @@ def test_contamination_equals_brute_force(spark, monkeypatch, shard_words):
     rows += [(903, items[3][1], "en", "a")] * 2 + [(904, " ".join(t for _, t in items[:25]) * 3, "en", "a")]
     benchmark = spark.createDataFrame([(*r, 1) for r in items], "item_id bigint, text string, doc_id bigint")
     monkeypatch.setattr(decontaminate, "build_index", lambda d, w, _, build=decontaminate.build_index: build(d, w, shard_words))
-    blocks = decontaminate.phrase_blocks
-    monkeypatch.setattr(decontaminate, "phrase_blocks", lambda i, w: blocks(i, w, 50 if shard_words == 64 else 1 << 17))
+    hits = decontaminate.phrase_hits
+    monkeypatch.setattr(decontaminate, "phrase_hits", lambda i, p, w, b: hits(i, p, w, 150 if shard_words == 64 else b))
     monkeypatch.setattr(decontaminate, "table", lambda _s, _d, name: docs(spark, rows) if name == "documents" else benchmark)
     got = rows_of(decontaminate.op8_decontaminate(spark, ""), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == sorted(brute_contamination(rows, items), key=lambda r: tuple((v is None, str(v)) for v in r))

@@ -14,7 +14,9 @@ from .test_texts import plain_mixture, plain_spans
 SF = Path("/root/testdata/sf0.001")
 
 
-@pytest.mark.skipif(not SF.exists(), reason="needs the given tables")
+pytestmark = pytest.mark.skipif(not SF.exists(), reason="needs the given tables")
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
@@ -33,3 +35,8 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
 
 def test_stages_keep_the_columns_of_documents(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near-duplicates", "decontamination", "personal data", "mixture"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(SF)).schema.simpleString() == docs.schema.simpleString()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs.limit(50), str(SF))
+    assert last.columns == ["block", "place", "doc_id", "source", "pass", "n_tokens", "weight", "text", "lang", "n_chars"]

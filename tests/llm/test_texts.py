@@ -35,7 +35,8 @@ def invented(rng, lang, n):
 def test_language_held_out(spark):
     rng = random.Random(1)
     rows = [(k, invented(rng, lang, rng.randrange(5, 80)), lang, "s") for k, lang in enumerate(["aa", "bb", "cc"] * 60)]
-    rows += ODD + [(9006, rows[0][1], "aa", "s")] * 2
+    # the text that is far from all others is not one of those that are learned from
+    rows += [(i, t, None if i == 9004 else g, s) for i, t, g, s in ODD] + [(9006, rows[0][1], "aa", "s")] * 2
     frame = docs(spark, rows)
     found = {r.doc_id: r for r in language.identify(frame, language.fit(frame)).collect()}
     assert len(found) == len({r[0] for r in rows})
@@ -54,6 +55,17 @@ def test_language_learns_only_from_its_fold(spark):
     assert language.fit(docs(spark, swapped)).names == ["aa"]
 
 
+def test_samples_stay_bounded_where_one_id_has_many_rows(spark):
+    rng = random.Random(2)
+    rows = [(7 if k % 3 == 0 else 100 + k, invented(rng, "aa", 9), "aa", "s") for k in range(900)] + [(7, "the same lor ipsum", "aa", "s")] * 300
+    frame = docs(spark, rows)
+    labels = spark.createDataFrame([(i, 1) for i in {r[0] for r in rows}], "doc_id bigint, quality int")
+    seen = quality.sampled(frame, labels, "quality", 4, 2, {1: 1.0}).count()
+    assert seen == len({r[0] for r in rows if rest(r[0], 4) != 2})
+    model = language.fit(frame, sample=60)
+    assert model.names == ["aa"]
+
+
 def test_language_without_anything_to_learn(spark):
     assert language.fit(docs(spark, [])).names == []
     (row,) = language.identify(docs(spark, [(1, "abc", None, "a")]), language.fit(docs(spark, []))).collect()
@@ -236,7 +248,8 @@ def plain_mixture(rows, entropy, repeats, budget, block_tokens):
         if not share:
             continue
         for epoch in range(-(-share // total[s])):
-            mine = [(hashlib.md5(f"{epoch}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), n, r[0]) for r, n in zip(rows, count, strict=True) if r[3] == s]
+            names = [f"{epoch}:{'' if r[0] is None else r[0]}:{'' if r[1] is None else hashlib.md5(r[1].encode()).hexdigest()}" for r in rows]
+            mine = [(hashlib.md5(name.encode()).hexdigest(), n, r[0]) for r, n, name in zip(rows, count, names, strict=True) if r[3] == s]
             for _, n, doc_id in sorted(mine, key=lambda m: m[:2]):
                 if at < share:
                     out.append((at * blocks // share, doc_id, s, epoch, n))
@@ -257,8 +270,16 @@ def test_mixture_equals_plain_reading(spark, settings):
     for r in found.collect():
         places[r.block].append(r.place)
     assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
-    keyed = mixture.mixture(docs(spark, rows), **full, carry=("text",), places=False)
-    assert rows_of(keyed, "block", "doc_id", "source", "pass", "n_tokens") == got
+    bare = mixture.mixture(docs(spark, rows), **full)
+    assert rows_of(bare, "block", "place", "doc_id") == rows_of(found, "block", "place", "doc_id")
+
+
+def test_rows_without_ids_are_permuted_like_others(spark):
+    rows = [(None, f"one two {k}", "en", "hot") for k in range(200)]
+    found = mixture.mixture(docs(spark, rows), block_tokens=30, carry=("text",)).collect()
+    assert sorted(r.text for r in found) == sorted(t for _, t, *_ in rows)
+    order = [int(r.text.split()[-1]) for r in sorted(found, key=lambda r: (r.block, r.place))]
+    assert len({r.block for r in found}) == 20 and sum(abs(a - b) == 1 for a, b in zip(order, order[1:])) < 20
 
 
 def test_mixture_of_nothing(spark):
