@@ -1,7 +1,7 @@
 """From raw documents to a training mixture: five stages, each one operator of ``briefwerk.llm``.
 
 Every stage works on all that the one before kept. The first four return the columns of documents; the last one
-returns a row per use of a document in the mixture, with its block and its key in the block's order.
+returns a row per use of a document in the mixture, with its block and its place in the block.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +36,8 @@ def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed by tempered weights; texts come along, with the key that orders them within their block."""
-    return mixture(docs, carry=("text", "lang", "n_chars"), places=False)
+    """Sources are mixed by tempered weights, in permuted blocks; texts come along to their places."""
+    return mixture(docs, carry=("text", "lang", "n_chars"))
 
 
 STAGES = [
