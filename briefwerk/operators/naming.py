@@ -12,6 +12,10 @@ given twice, take the slot from the later family, number again. Names asked for
 are known to be lost to later files from the start. Since one order
 ranks all files, this ends in what serving them one by one would give. Nearly all
 data needs no round at all; families that cannot meet another stay out of them.
+
+A slot lost to a later winner is still there for the files that come before it, so whether
+a loss moves files up depends on the losses before it: a gated running sum (``gated``).
+What is numbered are folder, name and order; the other columns wait on disk for the name.
 """
 
 from collections.abc import Callable
@@ -24,9 +28,10 @@ from .. import fixed
 from ..functions.once import once
 from ..functions.text import name_stem, name_suffix, safe_filename
 from ..session import settle
+from .gated import gated
 from .running import running
 
-_LONGEST_MARKER = 11  # "-" and ten digits
+_LONGEST_MARKER = 19  # "-" and as many digits as any number of rows has
 
 
 @dataclass(frozen=True)
@@ -77,7 +82,7 @@ def _as_member(name: Column, scheme: Scheme) -> Column:
                 ),
             )
 
-        return once(F.regexp_extract(stem, r"-([1-9][0-9]{0,9})\z", 1), numbered)
+        return once(F.regexp_extract(stem, r"-([1-9][0-9]{0,17})\z", 1), numbered)
 
     return once(scheme.stem(name), read)
 
@@ -174,9 +179,9 @@ def _seeds(families: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _slots_after(ranked: DataFrame, held: DataFrame) -> DataFrame:
-    """Slots where only names filed earlier are in the way, however many those are.
+    """Slots where the runs of slots in the way are known, however many those are.
 
-    A run of held slots moves all files up from the rank that would have met it. Running sums find these ranks, and
+    A run moves all files up from the rank that would have met it. Running sums find these ranks, and
     a second running sum over ranks and runs together says how far each file moves.
     """
     by = F.col("to") - F.col("from") + 1
@@ -197,88 +202,54 @@ def _slots_after(ranked: DataFrame, held: DataFrame) -> DataFrame:
     return others.unionByName(done.select(*kept, "slot"))
 
 
-def _shifts(lost: DataFrame) -> DataFrame:
-    """Per family the ranks from which its files move up, and by how much.
+def _gates(beaten: DataFrame, ranked: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Lost slots (dir, base, slot, gate): such a slot is passed over if fewer than ``gate`` were before it.
 
-    ``lost`` holds runs (dir, base, from, to, earlier): slots the family cannot use,
-    except for its first ``earlier`` files, which come before the holder.
+    With m slots passed over, a slot would be that of rank slot - m. It is still there for as many files as come
+    before the winner; slots held since earlier runs are passed over in any case, and no others are lost there.
     """
-    runs = F.array_sort(F.collect_list(F.struct("from", "to", "earlier")))
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("moved"),
-        F.array().cast("array<struct<rank:bigint,by:bigint>>").alias("shifts"),
+    none, one = F.lit(None).cast("bigint"), F.lit(1).cast("bigint")
+    marks = beaten.select("dir", "base", F.col("winner").alias("_at"), "slot", F.lit(0).cast("bigint").alias("_one")).unionByName(
+        ranked.select("dir", "base", F.col("_order").alias("_at"), none.alias("slot"), one.alias("_one"))
     )
-
-    def step(acc: Column, run: Column) -> Column:
-        rank, by = run["from"] - acc["moved"], run["to"] - run["from"] + 1
-        entry = F.struct(rank.alias("rank"), by.alias("by"))
-        return F.when(rank <= run["earlier"], acc).otherwise(
-            F.struct(
-                (acc["moved"] + by).alias("moved"),
-                F.concat(acc["shifts"], F.array(entry)).alias("shifts"),
-            )
-        )
-
-    return (
-        lost.groupBy("dir", "base")
-        .agg(runs.alias("_runs"))
-        .select("dir", "base", F.aggregate("_runs", start, step)["shifts"].alias("shifts"))
-    )
-
-
-def _slots(ranked: DataFrame, lost: DataFrame) -> DataFrame:
-    moved = F.aggregate(
-        F.col("shifts"),
-        F.lit(0).cast("bigint"),
-        lambda total, s: total + F.when(s["rank"] <= F.col("rank"), s["by"]).otherwise(0),
-    )
-    # one row per family on the right: a hot family is split by the adaptive skew join
-    joined = ranked.join(_shifts(lost), ["dir", "base"], "left")
-    return joined.withColumn("slot", F.col("rank") + F.coalesce(moved, F.lit(0))).drop("shifts")
-
-
-def _settle_meetings(
-    ranked: DataFrame, families: DataFrame, held: DataFrame | None, order: str, scheme: Scheme
-) -> DataFrame:
+    counted = running(marks, ["dir", "base"], ["_at", "_one", "slot"], totals={"earlier": "_one"})
+    lost = counted.where("slot IS NOT NULL").select("dir", "base", "slot", "earlier")
+    if held is None:
+        return lost.select("dir", "base", "slot", (F.col("slot") - F.col("earlier")).alias("gate"))
+
+    def mark(at: Column, by: Column, inside: int) -> DataFrame:
+        return held.select(
+            "dir", "base", at.alias("_at"), F.lit(0).alias("_kind"), by.cast("bigint").alias("_by"), F.lit(inside).cast("bigint").alias("_in"),
+            none.alias("slot"), none.alias("earlier"),
+        )
+
+    opens = mark(F.col("from"), F.col("to") - F.col("from") + 1, 1)
+    ends = mark(F.col("to") + 1, F.lit(0), -1)
+    zero = F.lit(0).cast("bigint")
+    slots = lost.withColumns({"_at": F.col("slot"), "_kind": F.lit(1), "_by": zero, "_in": zero})
+    both = slots.unionByName(opens).unionByName(ends)
+    passed = running(both, ["dir", "base"], ["_at", "_kind", "_in"], totals={"_held": "_by", "_inside": "_in"})
+    free = passed.where("_kind = 1 and _inside = 0")
+    return free.select("dir", "base", "slot", (F.col("slot") - F.col("earlier") - F.col("_held")).alias("gate"))
+
+
+def _settle_meetings(ranked: DataFrame, families: DataFrame, held: DataFrame | None, scheme: Scheme) -> DataFrame:
     """Slots for families that meet others."""
     # (dir, base, slot, winner): slots lost to a file of another family
-    beaten = _seeds(families, scheme)
-    if held is not None:
-        # a slot held since earlier runs must not be counted twice
-        known = held.select(F.col("dir").alias("_d"), F.col("base").alias("_b"), "from", "to")
-        same = (F.col("dir") == F.col("_d")) & (F.col("base") == F.col("_b"))
-        beaten = beaten.join(known, same & F.col("slot").between(F.col("from"), F.col("to")), "left_anti")
-    beaten = settle(beaten, "beaten")
+    beaten = settle(_seeds(families, scheme), "beaten")
     while True:
-        lost = held.withColumn("earlier", F.lit(0).cast("bigint")) if held is not None else None
-        # how many files of the losing family come before the winner
-        marks = beaten.select(
-            "dir", "base", F.col("winner").alias("_at"), "slot", F.lit(0).cast("bigint").alias("_one")
-        ).unionByName(
-            ranked.select(
-                "dir",
-                "base",
-                F.col(order).alias("_at"),
-                F.lit(None).cast("bigint").alias("slot"),
-                F.lit(1).cast("bigint").alias("_one"),
-            )
-        )
-        counted = running(marks, ["dir", "base"], ["_at", "_one", "slot"], totals={"earlier": "_one"})
-        more = counted.where("slot IS NOT NULL").select(
-            "dir", "base", F.col("slot").alias("from"), F.col("slot").alias("to"), "earlier"
-        )
-        lost = more if lost is None else lost.unionByName(more)
-        named = settle(
-            _slots(ranked, lost).withColumn("name", scheme.name(F.col("base"), F.col("slot"))), "named"
-        )
+        passed = gated(_gates(beaten, ranked, held), ["dir", "base"], ["slot"], "gate").where("counts")
+        lost = passed.select("dir", "base", F.col("slot").alias("from"), F.col("slot").alias("to"))
+        moved = _slots_after(ranked, settle(lost if held is None else lost.unionByName(held), "lost"))
+        named = settle(moved.withColumn("name", scheme.name(F.col("base"), F.col("slot"))), "named")
         winners = (
             named.groupBy("dir", "name")
-            .agg(F.min(order).alias("winner"), F.count("*").alias("n"))
+            .agg(F.min("_order").alias("winner"), F.count("*").alias("n"))
             .where("n > 1")
         )
         losers = (
             named.join(winners, ["dir", "name"])
-            .where(F.col(order) > F.col("winner"))
+            .where(F.col("_order") > F.col("winner"))
             .select("dir", "base", "slot", "winner")
         )
         if losers.isEmpty():
@@ -293,17 +264,13 @@ def allocate(
 ) -> DataFrame:
     """Add the name each file gets; ``order`` tells files apart and ranks them."""
     kept = df.columns
-    asked = df.withColumns({"_dir": F.col(dir), "_base": F.col(base)})
-    ranked = running(asked, ["_dir", "_base"], [order], "_rank")
-    slim = ranked.select(
-        F.col("_dir").alias("dir"),
-        F.col("_base").alias("base"),
-        F.col(order).alias("_order"),
-        F.col("_rank").alias("rank"),
-    )
+    # what the rows are made of is worked out once; only three columns are moved for the numbering
+    waiting = settle(df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(order).alias("_key")), "waiting")
+    asked = waiting.select(F.col(f"_row.`{dir}`").alias("dir"), F.col(f"_row.`{base}`").alias("base"), F.col("_key").alias("_order"))
+    ranked = running(asked, ["dir", "base"], ["_order"], "rank")
     asked_base = F.col("base")
     families = settle(
-        slim.groupBy("dir", "base")
+        ranked.groupBy("dir", "base")
         .agg(F.count("*").alias("files"), F.min("_order").alias("first"))
         .withColumns(
             {
@@ -318,29 +285,22 @@ def allocate(
     if taken is not None:
         held = settle(_taken_slots(families, taken, scheme), "held")
     meeting = settle(_meeting(families, held, scheme), "meeting")
-    wide = ranked.select(
-        *[F.col(c).alias(f"_in_{c}") for c in kept],
-        F.col("_dir").alias("dir"),
-        F.col("_base").alias("base"),
-        F.col(order).alias("_order"),
-        F.col("_rank").alias("rank"),
-    )
+
     def alone(rows: DataFrame) -> DataFrame:
         return rows.withColumn("slot", F.col("rank")) if held is None else _slots_after(rows, held)
 
     if meeting.isEmpty():
-        done = alone(wide)
+        done = alone(ranked)
     else:
         on = ["dir", "base"]
-        apart = alone(wide.join(meeting, on, "left_anti"))
-        met = wide.join(meeting, on, "left_semi")
+        apart = alone(ranked.join(meeting, on, "left_anti"))
+        met = ranked.join(meeting, on, "left_semi")
         held_met = held.join(meeting, on, "left_semi") if held is not None else None
         among = families.join(meeting, on, "left_semi")
-        done = apart.unionByName(_settle_meetings(met, among, held_met, "_order", scheme))
-    return done.select(
-        *[F.col(f"_in_{c}").alias(c) for c in kept],
-        scheme.name(F.col("base"), F.col("slot")).alias(into),
-    )
+        done = apart.unionByName(_settle_meetings(met, among, held_met, scheme))
+    names = done.select("_order", scheme.name(F.col("base"), F.col("slot")).alias("_name"))
+    named = waiting.join(names, F.col("_key").eqNullSafe(F.col("_order")))
+    return named.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept if c != into], F.col("_name").alias(into))
 
 
 def unique_names(

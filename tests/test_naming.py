@@ -39,7 +39,7 @@ def test_portable_names_equal_serving_one_by_one(spark, seed, earlier):
     bases = ["a", "a-2", "a-3", "a-2-2", "a-4", "b", "a-2-3", "c-20250101", LONG[:174], LONG[:176], LONG[:175],
              LONG[:170] + "-2", "b-10"]
     weights = [8, 3, 2, 2, 1, 4, 1, 3, 3, 3, 2, 2, 1]
-    rows = [(rng.choice("xy"), rng.choices(bases, weights)[0] + ".pdf", f"f{i:04d}") for i in rng.sample(range(5000), 120)]
+    rows = [(rng.choice("xy"), rng.choices(bases, weights)[0] + ".pdf", f"f{i:04d}") for i in rng.sample(range(5000), 60)]
     names = ["a", "a-2", "a-5", "a-6", "a-7", "b-2", "b-3", "a-2-2", LONG[:170] + "-3", LONG[:173] + "-4", "z"]
     taken = sorted({(rng.choice("xy"), rng.choice(names) + ".pdf") for _ in range(earlier)})
     assert run(spark, rows, taken, True) == one_by_one(rows, taken, True)
@@ -48,7 +48,7 @@ def test_portable_names_equal_serving_one_by_one(spark, seed, earlier):
 def test_original_names_equal_serving_one_by_one(spark):
     rng = random.Random(7)
     bases = ["a.pdf", "a", "a-2.pdf", "a-3", "a-2-2.pdf", "b.txt", "b", "b-2.txt", ".x", "x.", "c.tar.gz"]
-    rows = [(rng.choice("xy"), rng.choice(bases), f"f{i:04d}") for i in rng.sample(range(5000), 120)]
+    rows = [(rng.choice("xy"), rng.choice(bases), f"f{i:04d}") for i in rng.sample(range(5000), 60)]
     taken = sorted({(rng.choice("xy"), rng.choice([*bases, "a-4.pdf", "a-5.pdf", "b-2.pdf"])) for _ in range(8)})
     assert run(spark, rows, taken, False) == one_by_one(rows, taken, False)
 
@@ -57,7 +57,7 @@ def test_many_names_asked_for_as_such_take_few_rounds(spark, monkeypatch):
     from briefwerk.operators import naming
 
     rounds = []
-    monkeypatch.setattr(naming, "_shifts", lambda lost, known=naming._shifts: (rounds.append(1), known(lost))[1])
+    monkeypatch.setattr(naming, "gated", lambda *rows, known=naming.gated: (rounds.append(1), known(*rows))[1])
     rows = [("d", f"x-{k}.pdf", f"a{k:04d}") for k in range(2, 502)] + [("d", "x.pdf", f"b{k}") for k in range(4)]
     rows += [("d", "x.pdf", "a0250x")]
     assert run(spark, rows, [], True) == one_by_one(rows, [], True)
@@ -86,3 +86,36 @@ def test_running_spreads_a_hot_group(spark):
     w = Window.partitionBy("g").orderBy("o")
     want = df.select("g", "o", "v", F.row_number().over(w).cast("bigint").alias("k"), F.sum("v").over(w).alias("s"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_gated_sums_equal_going_through_the_rows(spark):
+    """Whatever the number of runs; one group holds most of the rows."""
+    from briefwerk.operators.gated import gated
+
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), k, rng.randrange(-2, 60)) for k in range(400)]
+    counted, want = {}, []
+    for g, k, gate in rows:
+        counts = counted.get(g, 0) < gate
+        counted[g] = counted.get(g, 0) + counts
+        want.append((g, k, gate, counts))
+    df = spark.createDataFrame(rows, "g string, k bigint, gate bigint")
+    for partitions in (None, 5):
+        got = [tuple(r) for r in gated(df, ["g"], ["k"], "gate", partitions=partitions).collect()]
+        assert sorted(got, key=lambda r: r[1]) == want
+    assert gated(df.limit(0), ["g"], ["k"], "gate").count() == 0
+
+
+def test_thresholds_in_chunks_equal_one_list(monkeypatch):
+    from briefwerk.operators import gated
+
+    monkeypatch.setattr(gated, "CHUNK", 4)
+    rng = random.Random(12)
+    for _ in range(50):
+        gates, known = [rng.randrange(-3, 40) for _ in range(60)], gated.Thresholds()
+        thresholds = [known.add(gate) for gate in gates]
+        for start in range(-3, 45):
+            m = start
+            for gate in gates:
+                m += m < gate
+            assert m == start + sum(t > start for t in thresholds)
