@@ -7,6 +7,7 @@ from .. import fixed
 from ..functions.text import name_stem, strip
 from ..operators.running import running
 from ..schemas import RUN_LOG
+from .json_arrays import JsonArray
 
 
 def _base_name(path):
@@ -61,15 +62,17 @@ def default_rules(spark: SparkSession, rules=fixed.DEFAULT_CATEGORIES) -> DataFr
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Topic rules from a JSON list of {key, keywords}; the order in the list is the priority."""
-    listed = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", "array<struct<key:string,keywords:array<string>>>").alias("rules")
-    )
-    return listed.select(F.posexplode("rules").alias("pos", "rule")).select(
-        (F.col("pos") + 1).alias("priority"),
-        F.col("rule.key").alias("category"),
+    """Topic rules from a JSON list of {key, keywords}; the order in the list is the priority.
+
+    The list is read by ranges, so it may be of any length.
+    """
+    rules = JsonArray(spark, path).elements()
+    field = "array<string>"
+    return rules.where(F.startswith(F.schema_of_variant("element"), F.lit("OBJECT"))).select(
+        (F.col("pos") + 1).cast("int").alias("priority"),
+        F.try_variant_get("element", "$.key", "string").alias("category"),
         F.transform(
-            F.coalesce("rule.keywords", F.array().cast("array<string>")), lambda k: F.lower(k)
+            F.coalesce(F.try_variant_get("element", "$.keywords", field), F.array().cast(field)), lambda k: F.lower(k)
         ).alias("keywords"),
     )
 
@@ -90,19 +93,13 @@ def expectation_values(case, key: str):
 def read_expectations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Evaluation cases from JSON, as (usable, rejected with reject_reason).
 
-    The file holds a list of cases, or an object with ``cases`` and a ``cloud_safe`` default.
+    The file holds a list of cases, or an object with ``cases`` and a ``cloud_safe`` default. It is read by ranges, so the
+    list may be of any length.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    top = whole.select(
-        F.when(
-            F.startswith(F.schema_of_variant("v"), F.lit("ARRAY")),
-            F.try_variant_get("v", "$", "array<variant>"),
-        )
-        .otherwise(F.try_variant_get("v", "$.cases", "array<variant>"))
-        .alias("cases"),
-        F.coalesce(F.try_variant_get("v", "$.cloud_safe", "boolean"), F.lit(False)).alias("all_safe"),
-    )
-    return _cases(top.select("all_safe", F.posexplode("cases").alias("pos", "case")))
+    listed = JsonArray(spark, path, "cases")
+    safe = listed.scalars().where("key = 'cloud_safe'").agg(F.coalesce(F.max(F.col("value") == "true"), F.lit(False)).alias("safe"))
+    cases = listed.elements().withColumn("all_safe", safe.scalar())
+    return _cases(cases.select("all_safe", "pos", F.col("element").alias("case")))
 
 
 def read_expectation_rows(spark: SparkSession, path: str, cloud_safe: bool = False) -> tuple[DataFrame, DataFrame]:
