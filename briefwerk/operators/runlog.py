@@ -12,9 +12,37 @@ def terminal_files(log: DataFrame) -> DataFrame:
     return log.where(F.col("status").isin(*fixed.TERMINAL_STATUSES)).select("file").distinct()
 
 
+FLAGS = 1 << 23  # bits of the filter over finished files: 1 MB, whatever the length of the log
+
+
+def finished_flags(log: DataFrame) -> DataFrame:
+    """A Bloom filter over finished files, a row per 64 bits: (_word, _bits).
+
+    Filters of several logs, or of segments of one, are merged by ``bit_or`` of the bits of a word.
+    """
+    slots = [F.pmod(F.xxhash64(F.lit(seed), "file"), F.lit(FLAGS)) for seed in (1, 2)]
+    done = log.where(F.col("status").isin(*fixed.TERMINAL_STATUSES)).select(F.explode(F.array(*slots)).alias("_slot"))
+    bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+    return done.groupBy(F.expr("_slot div 64").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
 def pending(files: DataFrame, log: DataFrame) -> DataFrame:
-    """Files without a finished log row."""
-    return files.join(terminal_files(log), "file", "left_anti")
+    """Files without a finished log row.
+
+    What the filter does not know is surely pending and stays where it is; the rest is looked up in the log.
+    """
+    kept, maybe = files.columns, files
+    words = finished_flags(log)
+    for seed in (1, 2):
+        slot = f"pmod(xxhash64({seed}, file), {FLAGS})"
+        # FLAGS / 64 rows at most: 2 MB
+        found = F.broadcast(words.select(F.col("_word").alias(f"_word{seed}"), F.col("_bits").alias(f"_bits{seed}")))
+        maybe = maybe.withColumn(f"_word{seed}", F.expr(f"{slot} div 64")).join(found, f"_word{seed}", "left")
+        bit = F.expr(f"_bits{seed} & shiftleft(1L, cast({slot} % 64 as int)) <> 0")
+        maybe = maybe.withColumn(f"_known{seed}", F.coalesce(bit, F.lit(False)))
+    possible = F.col("_known1") & F.col("_known2")
+    sure = maybe.where(~possible).select(*kept)
+    return sure.unionByName(maybe.where(possible).select(*kept).join(terminal_files(log), "file", "left_anti"))
 
 
 def reprocessed(files: DataFrame, log: DataFrame) -> DataFrame:

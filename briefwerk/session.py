@@ -30,10 +30,12 @@ def local_session(cpus: str = "8", app: str = "briefwerk") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The session's own folder for intermediate tables, below one that all executors can reach.
 
-    That is ``spark.checkpoint.dir``, or the checkpoint folder that was set, or else the warehouse. The folder goes
-    when the session's JVM ends; the tables in it are of use to this session only.
+    That is ``spark.checkpoint.dir``, or the checkpoint folder that was set, or else, in a local session, the warehouse.
+    The folder goes when the session's JVM ends; the tables in it are of use to this session only.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = named or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/briefwerk-work-{spark.sparkContext.applicationId}"
     if path not in _WORK:
@@ -48,6 +50,12 @@ def shared_dir(spark: SparkSession) -> str:
 _WORK: set[str] = set()
 
 
+def store(spark: SparkSession, path: str):
+    """(file system, path) of the store that Spark reads there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

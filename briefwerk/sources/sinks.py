@@ -39,6 +39,11 @@ def manifest(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def write_manifest(rows: DataFrame, path: str) -> None:
-    """The manifest, partitioned by outcome, so one folder's moves are one read."""
-    rows.write.mode("append").partitionBy("status", "done_category").parquet(path)
+def write_manifest(rows: DataFrame, path: str, file_rows: int = 1_000_000) -> None:
+    """The manifest, partitioned by outcome, so one folder's moves are one read.
+
+    Rows are brought together by folder, so that not every task writes to every folder; a folder with many of the rows is
+    split again by the size of its parts, and no file has more than ``file_rows``.
+    """
+    dealt = rows.hint("rebalance", "status", "done_category")
+    dealt.write.mode("append").option("maxRecordsPerFile", file_rows).partitionBy("status", "done_category").parquet(path)

@@ -14,6 +14,7 @@ from ..functions.text import quality_key
 from ..operators.redact import redact
 from ..operators.routing import route
 from ..schemas import RUN_LOG
+from ..session import store
 
 
 def table_stream(
@@ -70,29 +71,67 @@ def outcome_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("engine", "status").agg(F.count("*").alias("n"))
 
 
-def keep_counters(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the current counters after every batch, each into a folder of its own.
+KEPT_DELTAS = 10
 
-    Nothing is overwritten, so a reader always finds a whole table, and a failed write costs no earlier one.
-    """
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+def keep_counters(counts: DataFrame, path: str, checkpoint: str, every: int = KEPT_DELTAS) -> StreamingQuery:
+    """Keep the current counters as a log of changes: what a batch changed is a *delta*, ``every`` so many make a *snapshot*.
 
+    A delta is known by its batch, so a batch that is run again puts the same rows in the same place. A snapshot holds the
+    newest counters up to its batch; what an earlier snapshot already covers is cleared away, but for the one before, which
+    readers may still be at. So at most two snapshots and twice ``every`` deltas are there, however long the job runs.
+    """
     return (
-        counts.writeStream.outputMode("complete")
+        counts.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
+        .foreachBatch(lambda batch, number: write_changes(batch, number, path, every))
         .trigger(availableNow=True)
         .start()
     )
 
 
-def current_counters(spark: SparkSession, path: str) -> DataFrame:
-    """The counters of the newest batch."""
-    kept = spark.read.parquet(path)
-    newest = kept.agg(F.max("batch")).scalar()
-    return kept.where(F.col("batch") == newest).drop("batch")
+def write_changes(batch: DataFrame, number: int, path: str, every: int = KEPT_DELTAS) -> None:
+    """Log what a batch changed (keys, then the value), and every so often put a snapshot together and clear up."""
+    spark, keys = batch.sparkSession, batch.columns[:-1]
+    batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/delta/batch={number}")
+    if (number + 1) % every:
+        return
+    newest = _newest(spark, path, keys, number)
+    newest.coalesce(1).write.mode("overwrite").parquet(f"{path}/snapshot/batch={number}")
+    covered = number - every
+    for kind in ("delta", "snapshot"):
+        for old in _written(spark, f"{path}/{kind}"):
+            if old < covered or (old == covered and kind == "delta"):
+                files, at = store(spark, f"{path}/{kind}/batch={old}")
+                files.delete(at, True)
+
+
+def _written(spark: SparkSession, path: str) -> list[int]:
+    """Batches that are there as a whole, a bounded number of them."""
+    files, at = store(spark, path)
+    if not files.exists(at):
+        return []
+    found = [int(f.getPath().getName().split("=")[1]) for f in files.listStatus(at) if f.getPath().getName().startswith("batch=")]
+    return sorted(n for n in found if files.exists(store(spark, f"{path}/batch={n}/_SUCCESS")[1]))
+
+
+def _newest(spark: SparkSession, path: str, keys: list[str], upto: int | None = None) -> DataFrame:
+    """Of each counter the value that the last batch (up to ``upto``) gave it."""
+    snapshots = [n for n in _written(spark, f"{path}/snapshot") if upto is None or n < upto]
+    base = snapshots[-1] if snapshots else -1
+    deltas = [n for n in _written(spark, f"{path}/delta") if n > base and (upto is None or n <= upto)]
+    parts = [f"{path}/snapshot/batch={n}" for n in snapshots[-1:]] + [f"{path}/delta/batch={n}" for n in deltas]
+    rows = None
+    for number, part in zip([base] * len(snapshots[-1:]) + deltas, parts):
+        some = spark.read.parquet(part).withColumn("_batch", F.lit(number))
+        rows = some if rows is None else rows.unionByName(some)
+    value = next(c for c in rows.columns if c not in (*keys, "_batch"))
+    return rows.groupBy(*keys).agg(F.max_by(value, "_batch").alias(value))
+
+
+def current_counters(spark: SparkSession, path: str, keys: tuple[str, ...] = ("engine", "status")) -> DataFrame:
+    """The counters as the newest batch left them."""
+    return _newest(spark, path, list(keys))
 
 
 def hourly_stats(log: DataFrame, ts: str = "ts", late: str = "2 hours", every: str = "1 hour") -> DataFrame:
