@@ -202,13 +202,17 @@ _TABLES: dict[tuple[str, str], str] = {}
 
 def letter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letters as a table: written to the shared folder once per application, then read."""
+    return spark.read.schema(letters(spark, sf_dir).schema).parquet(letter_folder(spark, sf_dir))
+
+
+def letter_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Where that table is."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    derived = letters(spark, sf_dir)
     if key not in _TABLES:
         path = fresh_path(spark, "letters")
-        derived.write.parquet(path)
+        letters(spark, sf_dir).write.parquet(path)
         _TABLES[key] = path
-    return spark.read.schema(derived.schema).parquet(_TABLES[key])
+    return _TABLES[key]
 
 
 # --- run-log rows from the event table -------------------------------------------------------

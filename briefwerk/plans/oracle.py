@@ -428,7 +428,9 @@ ORACLE = {
     "leak_verify": f"""
         select file, {_leaks('anonymized_text')} as labels,
           case when {_leaks('anonymized_text')} <> '' then 'REVIEW' else 'CLEAN' end as verdict,
-          nullif(regexp_extract(anonymized_text, {_lit(re2(_AHV))}), '') as ahv_snippet from ({LETTERS})""",
+          nullif(regexp_extract(anonymized_text, {_lit(re2(_AHV))}), '') as ahv_snippet,
+          nullif(regexp_replace(regexp_extract(anonymized_text, {_lit(re2(_PHONE))}), '^[^0-9+]', ''), '') as phone_snippet
+        from ({LETTERS})""",
     "leak_verify_documents": f"select doc_id, {_leaks('text')} as labels from documents",
     "placeholder_tally": f"""
         select engine, label, count(*) as n from (
@@ -462,6 +464,21 @@ ORACLE = {
         select doc_id, {_SLOT} as final_name from (
           select *, row_number() over (partition by source order by doc_id) as n from documents) d
         join free using (source, n)""",
+    # one file after the other, each with the names its folder holds by then
+    "clashing_names": """
+        with recursive asked as (
+          select doc_id, doc_id % 50 as grp, row_number() over (partition by doc_id % 50 order by doc_id) as k,
+            'brief' || doc_id % 50 || case when doc_id % 3 = 0 then '' else '-' || (doc_id % 9 + 2) end as stem
+          from documents),
+        served as (
+          select grp, k, doc_id, stem || '.pdf' as final_name, [stem || '.pdf'] as names from asked where k = 1
+          union all
+          select grp, k, doc_id, name, list_append(names, name) from (
+            select a.grp, a.k, a.doc_id, s.names, case when not list_contains(s.names, a.stem || '.pdf') then a.stem || '.pdf'
+              else a.stem || '-' || list_filter(range(2, len(s.names) + 3), lambda n: not list_contains(s.names, a.stem || '-' || n || '.pdf'))[1] || '.pdf'
+              end as name
+            from served s join asked a on a.grp = s.grp and a.k = s.k + 1))
+        select doc_id, final_name from served""",
     "category_assign": _CATEGORISED,
     "category_by_table": _CATEGORISED,
     "category_documents": f"""
@@ -527,6 +544,10 @@ ORACLE = {
         """select file, ts as timestamp, event_id, status, engine, suggested from log
         qualify row_number() over (partition by file order by ts desc, event_id desc) = 1"""
     ),
+    "latest_by_runs": _log(
+        """select file, ts as timestamp, event_id, status, engine, suggested from log
+        qualify row_number() over (partition by file order by ts desc, event_id desc) = 1"""
+    ),
     "running_eta": _log(
         """select engine, event_id, elapsed_s, done, total, mean as avg_s, mean * (total - done) as eta_s
         from (select engine, event_id, elapsed_s, row_number() over w as done,
@@ -565,9 +586,20 @@ ORACLE = {
         select row_number() over (order by item_id) as line_no, trim(term) as term
         from (select item_id, translate(text, chr(10), ' ') as term from benchmark) where term <> ''""",
     "rules_file": """
-        select cast(row_number() over (order by r_regionkey) as bigint) as priority, r_name as category,
-          lower(string_agg(n_name, '|' order by n_name)) as keywords
-        from region join nation on r_regionkey = n_regionkey group by r_regionkey, r_name""",
+        select row_number() over (order by p_partkey) as priority, '[{' || p_partkey || '}] "' || p_type as category,
+          lower(replace(p_name, ' ', '|')) as keywords from part""",
+    "expectations_object": f"""
+        with c as (
+          select *, row_number() over (order by file) as case_no, case when k % 7 <> 3 and k % 13 <> 5 then file else '' end as given,
+            case when k % 5 <> 2 then coalesce(sender_line, '') else '' end as s, case when k % 3 = 0 then coalesce(label, '') else '' end as t
+          from ({LETTERS})),
+        r as (
+          select *, case when k % 13 = 5 then 'no object' when given = '' then 'no file' when k % 11 = 4 then 'input type'
+            when s = '' and t = '' then 'no expectations' else '' end as reject_reason from c)
+        select case_no, given as file, case when reject_reason = '' then regexp_replace(file, '(.)\\.[^.]+$', '\\1') else '' end as id,
+          case when reject_reason = '' then s else '' end as sender_any, case when reject_reason = '' then t else '' end as content_any,
+          case when reject_reason = '' then 'pdf' else '' end as input_type, reject_reason = '' and k % 4 <> 0 as cloud_safe, reject_reason
+        from r""",
     "expectations_file": f"""
         select file, regexp_replace(file, '(.)\\.[^.]+$', '\\1') as id, 'pdf' as input_type,
           case when k % 6 = 0 then '' else sender_line end as sender_any,
@@ -608,5 +640,25 @@ ORACLE = {
         from log group by 1 having date_trunc('hour', any_value(ts)) + interval 1 hour <= {_STREAM_LAST}"""
     ),
     "stream_first_deliveries": _log("select distinct file from log"),
+    # a file's deliveries in the order of their arrival; late is what is not after the latest moment of earlier arrivals less two days
+    "stream_deliveries": f"""
+        with recursive log as ({LOG_SQL}),
+        timed as (select file, event_id, epoch_ms(ts) as ms, min(epoch_ms(ts)) over () as lo, max(epoch_ms(ts)) over () as hi from log),
+        come as (
+          select file, event_id, ms, least((ms - lo) * 6 // (hi - lo + 1) + case when event_id % 11 = 0 then 2 else 0 end, 5) as part from timed),
+        marks as (
+          select p.part, coalesce((select max(ms) from come c where c.part < p.part) - 2 * 86400000, 0) as passed
+          from (select distinct part from come) p),
+        told as (
+          select c.*, ms <= passed as late, row_number() over (partition by file, ms <= passed order by part, ms, event_id) as k
+          from come c join marks using (part)),
+        served as (
+          select file, event_id, k, ms as first_ms, 'first' as kind from told where not late and k = 1
+          union all
+          select t.file, t.event_id, t.k, case when t.ms <= s.first_ms + 3 * 86400000 then s.first_ms else t.ms end,
+            case when t.ms <= s.first_ms + 3 * 86400000 then 'copy' else 'first' end
+          from served s join told t on t.file = s.file and t.k = s.k + 1 and not t.late)
+        select file, event_id as id, kind from served
+        union all select file, event_id, 'late' from told where late""",
     "stream_filing": f"select engine, status, done_category, count(*) as n from ({_FILED}) group by all",
 }

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import redaction as r
 from ..functions import requests as q
 from ..functions import text as t
-from ..operators import blocklist, category, extract, naming, redact, routing, runlog, scoring
+from ..operators.running import running
+from ..operators import blocklist, category, extract, latest, naming, redact, routing, runlog, scoring
 from ..schemas import DOCUMENTS, EVENTS
-from ..session import fresh_path, read_table
+from ..session import fresh_path, read_table, settle
 from ..sources import files, sinks
-from ..streaming import jobs
+from ..streaming import deliveries, jobs
 from . import evaluation, filing, reports
-from .letters import letter_table, letters, run_log, shape_events, with_phases
+from .letters import letter_folder, letter_table, letters, run_log, shape_events, with_phases
 
 # terms for the short blocklist: one inside another, one that a label holds, one with regex signs
 TERMS = ("Meier", "Keller", "frau rita", "Rita Moser", "(743)", "IBAN", "Möckli & Söhne")
@@ -125,12 +126,16 @@ def blocklist_table_redact(spark, sf):
 def leak_verify(spark, sf):
     """Leak rules on the anonymised letters: verdict, labels and the first number found."""
     hits = letter_table(spark, sf).select("file", r.leak_hits(F.col("anonymized_text")).alias("hits"))
-    ahv = F.filter("hits", lambda h: h["label"] == "AHV")
+
+    def snippet(label: str) -> Column:
+        return F.get(F.filter("hits", lambda h: h["label"] == label), 0)["snippet"]
+
     return hits.select(
         "file",
         F.array_join(F.transform("hits", lambda h: h["label"]), ", ").alias("labels"),
         F.when(F.size("hits") > 0, F.lit("REVIEW")).otherwise(F.lit("CLEAN")).alias("verdict"),
-        F.get(ahv, 0)["snippet"].alias("ahv_snippet"),
+        snippet("AHV").alias("ahv_snippet"),
+        snippet("Telefon (CH)").alias("phone_snippet"),
     )
 
 
@@ -389,25 +394,61 @@ def blocklist_file(spark, sf):
     path = fresh_path(spark, "blocklist")
     terms = benchmark_terms(spark, sf).withColumn("term", F.translate("term", "\n", " "))
     head = spark.range(1).select(F.lit(-1).cast("bigint").alias("line_no"), F.lit("# terms").alias("term"))
-    lines = head.unionByName(terms).repartition(1).sortWithinPartitions("line_no")
+    # files follow one another by their names, so there may be as many as there are ranges
+    lines = head.unionByName(terms).repartitionByRange("line_no").sortWithinPartitions("line_no")
     lines.select(F.concat(F.lit("  "), "term")).write.text(path)
     return files.read_blocklist(spark, path).select(_long(F.col("line_no")).alias("line_no"), "term")
 
 
+def _json_list(rows: DataFrame, order: str, path: str, head: str = "[", foot: str = "]") -> None:
+    """Rows (``order``, value) as one JSON list over many lines; the file is a small one's stand-in for a large one."""
+    numbered = running(rows, [], [order], "_n")
+    last = numbered.agg(F.max("_n").alias("_last"))
+    comma = F.when(F.col("_n") < last.scalar(), F.lit(",")).otherwise(F.lit(foot))
+    lines = numbered.select("_n", F.concat(F.when(F.col("_n") == 1, F.lit(head)).otherwise(F.lit("")), "value", comma).alias("value"))
+    lines.repartitionByRange(1, "_n").sortWithinPartitions("_n").select("value").write.text(path)
+
+
 def rules_file(spark, sf):
-    """Topic rules written as a JSON list and read back: a region's name is found by its nations' names."""
+    """Topic rules written as a JSON list, one per part, and read back by ranges: a part is found by words of its name."""
     path = fresh_path(spark, "rules")
-    nations = _table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(
-        F.sort_array(F.collect_list("n_name")).alias("keywords")
-    )
-    rules = _table(spark, sf, "region").join(nations, "r_regionkey").select(
-        F.struct("r_regionkey", F.col("r_name").alias("key"), "keywords").alias("rule")
-    )
-    rules.agg(F.to_json(F.sort_array(F.collect_list("rule"))).alias("value")).write.text(path)
+    rules = _table(spark, sf, "part").select(
+        "p_partkey",
+        F.to_json(F.struct(
+            F.concat(F.lit("[{"), F.col("p_partkey").cast("string"), F.lit('}] "'), F.col("p_type")).alias("key"),
+            F.split("p_name", " ").alias("keywords"),
+        )).alias("value"),
+    )
+    _json_list(rules, "p_partkey", path)
     back = files.read_rules(spark, path)
     return back.select(_long(F.col("priority")).alias("priority"), "category", F.array_join("keywords", "|").alias("keywords"))
 
 
+def expectations_object(spark, sf):
+    """Expectations as an object with a default and a list of cases: the usable ones, and why others are rejected."""
+    path = fresh_path(spark, "cases")
+    letter = letter_table(spark, sf).select("file", "k", "sender_line", "label", "date_text")
+    case = F.when(F.col("k") % 13 == 5, F.to_json(F.array("file"))).otherwise(F.to_json(F.struct(
+        F.when(F.col("k") % 7 != 3, F.col("file")).alias("file"),
+        F.when(F.col("k") % 5 != 2, F.col("sender_line")).alias("sender_any"),
+        F.when(F.col("k") % 3 == 0, F.array("label")).alias("content_any"),
+        F.when(F.col("k") % 11 == 4, F.lit("video")).alias("input_type"),
+        F.when(F.col("k") % 4 == 0, F.lit(False)).alias("cloud_safe"),
+        F.struct(F.lit("a } and ] and \\\" in it").alias("note")).alias("more"),
+    )))
+    _json_list(letter.select("file", case.alias("value")), "file", path, '{"about": {"by": ["x"]}, "cloud_safe": true, "cases": [', '], "end": {}}')
+    usable, rejected = files.read_expectations(spark, path)
+    kept = usable.select(
+        "case_no", "file", "id", F.array_join("sender_any", "|").alias("sender_any"), F.array_join("content_any", "|").alias("content_any"),
+        "input_type", "cloud_safe", F.lit("").alias("reject_reason"),
+    )
+    out = rejected.select(
+        "case_no", "file", F.lit("").alias("id"), F.lit("").alias("sender_any"), F.lit("").alias("content_any"), F.lit("").alias("input_type"),
+        F.lit(False).alias("cloud_safe"), "reject_reason",
+    )
+    return kept.unionByName(out).withColumn("case_no", _long(F.col("case_no")))
+
+
 def expectations_file(spark, sf):
     """Expectations of letters written as JSON rows, a scalar or a list each, and read back; those without any are out."""
     path = fresh_path(spark, "cases")
@@ -476,6 +517,18 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def latest_by_runs(spark, sf):
+    """The current state of each file, kept over runs that each take what the log has gained."""
+    path = fresh_path(spark, "state")
+    log = run_log(spark, sf).withColumn("timestamp", F.col("ts"))
+    # the second run brings rows of few users, so it leaves most of the state alone
+    later = (F.col("event_id") % 4 == 3) & (F.col("user_id") % 97 == 0)
+    log = log.select("file", "timestamp", "event_id", "status", "engine", "suggested", later.alias("later"))
+    for run in (0, 1):
+        latest.update_latest(log.where(F.col("later") == bool(run)).drop("later"), path, run)
+    return latest.current_state(spark, path, log.drop("later").schema)
+
+
 def running_eta(spark, sf):
     """Average time so far and time left, per engine's run."""
     log = run_log(spark, sf).select("engine", "event_id", "elapsed_s")
@@ -674,11 +727,35 @@ def stream_first_deliveries(spark, sf):
     return done.select("file")
 
 
+ARRIVALS, WITHIN, LATE = 6, "3 days", "2 days"
+
+
+def arrivals(spark, sf, folder: str) -> None:
+    """The log as it came in: one file after the other, some rows two files later than their time says."""
+    log = run_log(spark, sf).select("file", "event_id", "ts")
+    moment = F.unix_millis(F.col("ts").cast("timestamp"))
+    ends = log.agg(F.min(moment).alias("lo"), F.max(moment).alias("hi")).first()
+    if ends.lo is None:
+        return
+    part = F.floor((moment - ends.lo) * ARRIVALS / (ends.hi - ends.lo + 1)).cast("int")
+    come = settle(log.withColumn("part", F.least(part + F.when(F.col("event_id") % 11 == 0, 2).otherwise(0), F.lit(ARRIVALS - 1))))
+    for k in range(ARRIVALS):
+        come.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
+
+
+def stream_deliveries(spark, sf):
+    """Deliveries over a window shorter than the data: first ones, copies, and those too late to tell."""
+    folder, path = fresh_path(spark, "arrivals"), fresh_path(spark, "deliveries")
+    arrivals(spark, sf, folder)
+    log = jobs.table_stream(spark, folder, "*.parquet", run_log(spark, sf).select("file", "event_id", "ts").schema, files_per_batch=1)
+    told = deliveries.deliveries(log, "event_id", within=WITHIN, late=LATE)
+    deliveries.append_deliveries(told, path, fresh_path(spark, "deliveries-checkpoint")).awaitTermination()
+    return spark.read.schema(told.schema).parquet(path)
+
+
 def stream_filing(spark, sf):
     """Letters filed as a stream; outcomes per engine, status and topic."""
-    table = letter_table(spark, sf)
-    folder = table.inputFiles()[0].rsplit("/", 1)[0]
-    stream = jobs.table_stream(spark, folder, "*.parquet", table.schema)
+    stream = jobs.table_stream(spark, letter_folder(spark, sf), "*.parquet", letter_table(spark, sf).schema)
     done = _streamed(spark, jobs.filed_stream(stream), "filed")
     return done.groupBy("engine", "status", "done_category").agg(F.count("*").alias("n"))
 
@@ -738,11 +815,13 @@ QUERIES = {
     "blocklist_file": blocklist_file,
     "rules_file": rules_file,
     "expectations_file": expectations_file,
+    "expectations_object": expectations_object,
     "manifest_partitions": manifest_partitions,
     "log_roundtrip": log_roundtrip,
     "pending_docs": pending_docs,
     "reprocess_notice": reprocess_notice,
     "latest_log": latest_log,
+    "latest_by_runs": latest_by_runs,
     "running_eta": running_eta,
     "status_distribution": status_distribution,
     "confidence_distribution": confidence_distribution,
@@ -767,5 +846,6 @@ QUERIES = {
     "stream_counters": stream_counters,
     "stream_window_stats": stream_window_stats,
     "stream_first_deliveries": stream_first_deliveries,
+    "stream_deliveries": stream_deliveries,
     "stream_filing": stream_filing,
 }
