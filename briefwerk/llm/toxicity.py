@@ -89,21 +89,28 @@ def ratios(counts: np.ndarray, texts: np.ndarray, smoothing: float) -> np.ndarra
 
 
 def regression(rows: np.ndarray, places: np.ndarray, values: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Weights per place and the constant, by gradient steps with moments; starts from naive Bayes (weight 1)."""
-    w, c = np.full(PLACES, 0.1), 0.0
-    m, v, mc, vc = np.zeros(PLACES), np.zeros(PLACES), 0.0, 0.0
-    x = values[places]
+    """Weights per place and the constant, by gradient steps with moments; weights begin at and shrink to a tenth.
+
+    Only places that some text has are worked on.
+    """
+    used, places = np.unique(places, return_inverse=True)
+    size = len(used)
+    w, c = np.full(size, 0.1), 0.0
+    m, v, mc, vc = np.zeros(size), np.zeros(size), 0.0, 0.0
+    x = values[used][places]
     n = len(y)
     for t in range(1, rounds + 1):
         margin = np.bincount(rows, weights=x * w[places], minlength=n) + c
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y
-        grad = np.bincount(places, weights=x * error[rows], minlength=PLACES) / n + ridge * (w - 0.1)
+        grad = np.bincount(places, weights=x * error[rows], minlength=size) / n + ridge * (w - 0.1)
         gc = error.mean()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         mc, vc = 0.9 * mc + 0.1 * gc, 0.999 * vc + 0.001 * gc * gc
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
         c -= 0.05 * (mc / (1 - 0.9**t)) / (np.sqrt(vc / (1 - 0.999**t)) + 1e-6)
-    return w * values, c
+    out = np.zeros(PLACES)
+    out[used] = w * values[used]
+    return out, c
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, smoothing: float = 8.0, least_ratio: float = 1.8, ridge: float = 1e-4, rounds: int = 200) -> Model:
