@@ -383,9 +383,10 @@ def folder_scan(spark, sf):
 
 
 def text_files(spark, sf):
-    """Documents written as text files: characters read back, a line feed after each document."""
+    """Documents written as text files, a few to a file: characters read back, a line feed after each document."""
     path = fresh_path(spark, "texts")
-    _documents(spark, sf).select(F.translate("text", "\r", " ")).write.text(path)
+    # a file is read as one value, so it must not grow with the table
+    _documents(spark, sf).select(F.translate("text", "\r", " ")).write.option("maxRecordsPerFile", 64).text(path)
     return files.read_texts(spark, path, "part-*").agg(F.sum(F.length("text")).alias("n_chars"))
 
 
