@@ -32,8 +32,8 @@ def _pattern(term: Column) -> Column:
     return F.concat(F.lit(r"(?iu)\Q"), quoted, F.lit(r"\E"))
 
 
-def _sketch(texts: DataFrame, sizes: list[int], sampled: int) -> np.ndarray:
-    """How often runs of the given sizes occur in some texts, by hash."""
+def _sketch(texts: DataFrame, id: str, sizes: list[int], sampled: int) -> np.ndarray:
+    """How often runs of the given sizes occur in some texts, picked by a hash of their id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_SKETCH, dtype=np.int64)
@@ -46,10 +46,10 @@ def _sketch(texts: DataFrame, sizes: list[int], sampled: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["at", "n"])
 
     one_in = max(1, texts.count() // sampled)
-    some = texts.where(F.pmod(F.xxhash64("_text"), F.lit(one_in)) == 0).select("_text")
+    some = texts.where(F.pmod(F.xxhash64(id), F.lit(one_in)) == 0).select("_text")
     counted = some.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(_SKETCH, dtype=np.int64)
-    out[counted["at"]] = counted["n"]
+    out[counted["at"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     return out
 
 
@@ -81,7 +81,7 @@ def _flags(anchors: DataFrame) -> np.ndarray:
     )
     found = words.toPandas()
     out = np.zeros(_FLAGS // 64, dtype=np.int64)
-    out[found["at"]] = found["bits"]
+    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
 
@@ -113,7 +113,7 @@ def candidates(df: DataFrame, terms: DataFrame, id: str, text: str, sampled: int
     kept = listed.where("_folded <> ''")
     lengths = kept.groupBy(F.least(F.octet_length("_folded"), F.lit(max(grams.SIZES))).alias("n")).count().collect()
     sizes = sorted({grams.size_of(r.n) for r in lengths})
-    anchors = settle(_anchors(kept, _sketch(folded, sizes, sampled)), "anchors")
+    anchors = settle(_anchors(kept, _sketch(folded, id, sizes, sampled)), "anchors")
     hits = _possible(folded, id, sizes, _flags(anchors)).join(anchors, "_hash")
     # an anchor may lie in a text without the rest of its term
     found = hits.join(folded, id).where(F.contains("_text", F.col("_folded")))
