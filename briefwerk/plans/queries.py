@@ -13,7 +13,7 @@ from ..functions import text as t
 from ..operators.running import running
 from ..operators import blocklist, category, extract, latest, naming, redact, routing, runlog, scoring
 from ..schemas import DOCUMENTS, EVENTS
-from ..session import fresh_path, read_table, settle
+from ..session import fresh_path, read_table
 from ..sources import files, sinks
 from ..streaming import deliveries, jobs
 from . import evaluation, filing, reports
@@ -739,9 +739,12 @@ def arrivals(spark, sf, folder: str) -> None:
     if ends.lo is None:
         return
     part = F.floor((moment - ends.lo) * ARRIVALS / (ends.hi - ends.lo + 1)).cast("int")
-    come = settle(log.withColumn("part", F.least(part + F.when(F.col("event_id") % 11 == 0, 2).otherwise(0), F.lit(ARRIVALS - 1))))
+    come = log.withColumn("part", F.least(part + F.when(F.col("event_id") % 11 == 0, 2).otherwise(0), F.lit(ARRIVALS - 1)))
+    dealt = fresh_path(spark, "dealt")
+    come.write.partitionBy("part").parquet(dealt)
+    # each file is written from its own rows, not from all
     for k in range(ARRIVALS):
-        come.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
+        spark.read.schema(come.schema).parquet(dealt).where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
 
 
 def stream_deliveries(spark, sf):

@@ -73,6 +73,20 @@ def test_state_of_deliveries_leaves_and_late_rows_are_told(spark):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
 
 
+def test_files_share_the_state_of_a_bucket(spark):
+    folder, path = fresh_path(spark, "log"), fresh_path(spark, "told")
+    for k in range(2):
+        rows = spark.range(300).selectExpr(f"id + {300 * k} as id", "concat('f', id) as file", f"timestamp_seconds(1700000000 + {k} * 60 + id) as ts")
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    log = jobs.table_stream(spark, folder, "*.parquet", "id bigint, file string, ts timestamp", files_per_batch=1)
+    query = deliveries.append_deliveries(deliveries.deliveries(log, "id", buckets=8), path, fresh_path(spark, "check"))
+    query.awaitTermination()
+    told = Counter((r.kind, r.id < 300) for r in spark.read.parquet(path).collect())
+    assert told == {("first", True): 300, ("copy", False): 300}
+    # one call into Python and one state per bucket, not per file
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+
+
 def test_state_over_runs_equals_the_whole_log_and_reads_little(spark):
     from briefwerk.operators import latest
     from briefwerk.operators.runlog import latest as whole
