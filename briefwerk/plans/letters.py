@@ -7,11 +7,15 @@ and the checking engine read alike; ``SQL`` is the same derivation as one statem
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..session import fresh_path, read_table
+from ..session import fresh_path
 
 _NL = "chr(10)"
 
+# orders are narrow and letters are not: a small file of orders is a lot of work, so tasks are cut by rows
+ROWS_PER_TASK = 50_000
+
 
 def _case(on: str, values: dict, default: str) -> str:
     arms = " ".join(f"when {k} then {v}" for k, v in values.items())
@@ -189,20 +193,23 @@ SQL = _nested("select * from orders join customer on o_custkey = c_custkey")
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One letter per order."""
-    orders = read_table(spark, f"{sf_dir}/orders.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
-    df = orders.join(customers, orders.o_custkey == customers.c_custkey)
-    for step in (_FACTS, _PARTS, _LETTERS):
+    df = orders.join(customers, orders.o_custkey == customers.c_custkey).selectExpr(*_select(_FACTS))
+    df = df.repartition(max(spark.sparkContext.defaultParallelism, -(-orders.count() // ROWS_PER_TASK)))
+    for step in (_PARTS, _LETTERS):
         df = df.selectExpr(*_select(step))
     return df.selectExpr(*_COLUMNS)
 
 
 _TABLES: dict[tuple[str, str], str] = {}
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def letter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letters as a table: written to the shared folder once per application, then read."""
-    return spark.read.schema(letters(spark, sf_dir).schema).parquet(letter_folder(spark, sf_dir))
+    folder = letter_folder(spark, sf_dir)
+    return spark.read.schema(_SCHEMAS[folder]).parquet(folder)
 
 
 def letter_folder(spark: SparkSession, sf_dir: str) -> str:
@@ -210,8 +217,9 @@ def letter_folder(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TABLES:
         path = fresh_path(spark, "letters")
-        letters(spark, sf_dir).write.parquet(path)
-        _TABLES[key] = path
+        made = letters(spark, sf_dir)
+        made.write.parquet(path)
+        _TABLES[key], _SCHEMAS[path] = path, made.schema
     return _TABLES[key]
 
 
