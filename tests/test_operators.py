@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from briefwerk import fixed
@@ -359,3 +360,31 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
 def test_blocklist_of_empty_terms_changes_nothing(spark):
     df = spark.createDataFrame([("Rita Moser",)], "text string")
     assert redact(df, "text", ("",)).first().redacted_text == "Rita Moser"
+
+
+def test_topics_by_table_are_looked_up_once_a_name_and_by_possible_parts(spark):
+    rules = spark.createDataFrame([(1, "a", ["steuer"]), (2, "b", ["konto"]), (9, "z", [])], "priority int, category string, keywords array<string>")
+    # one id for different names, missing ids and names: each row's own name decides
+    rows = [("f", "Steuer-1.pdf"), ("f", "Konto-1.pdf"), (None, "Konto-1.pdf"), ("g", None), ("g", "Brief.pdf")]
+    done = category.assign_category_by_table(spark.createDataFrame(rows, "file string, name string"), rules)
+    assert sorted(map(str, done.collect())) == sorted(
+        str(Row(file=f, name=n, category=c)) for (f, n), c in zip(rows, ("a", "b", "b", "z", "z"))
+    )
+    begun = category.keyword_table(rules).withColumn("_begin", F.col("keyword"))
+    parts = spark.range(1000).select(F.concat(F.lit("p"), "id").alias("p")).union(begun.select("_begin"))
+    kept = {r.p for r in parts.where(category._may_begin(begun)(F.col("p"))).collect()}
+    assert {"steuer", "konto"} <= kept and len(kept) < 10
+
+
+def test_letters_are_spread_by_rows(spark, tmp_path):
+    from briefwerk.plans import letters
+
+    rows = spark.range(3000).selectExpr(
+        "id as o_orderkey", "id % 10 as o_custkey", "'F' as o_orderstatus", "100.5D as o_totalprice",
+        "timestamp_ntz'2024-01-02 00:00:00' as o_orderdate", "'1-URGENT' as o_orderpriority",
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(10).selectExpr("id as c_custkey", "cast(id as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    made = letters.letter_table(spark, str(tmp_path))
+    files = made.groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 3000 and len(files) == spark.sparkContext.defaultParallelism
