@@ -401,13 +401,22 @@ def blocklist_file(spark, sf):
     return files.read_blocklist(spark, path).select(_long(F.col("line_no")).alias("line_no"), "term")
 
 
-def _json_list(rows: DataFrame, order: str, path: str, head: str = "[", foot: str = "]") -> None:
-    """Rows (``order``, value) as one JSON list over many lines; the file is a small one's stand-in for a large one."""
+# a file is written by one task, so it must not grow with the table; readers take files by their names
+_LIST_ROWS = 200_000
+
+
+def _json_list(rows: DataFrame, order: str, path: str, head: str = "[", foot: str = "]", file_rows: int = _LIST_ROWS) -> None:
+    """Rows (``order``, value) as JSON lists over many lines, one after the other: each file holds one, of ``file_rows`` at most."""
     numbered = running(rows, [], [order], "_n")
     last = numbered.agg(F.max("_n").alias("_last"))
-    comma = F.when(F.col("_n") < last.scalar(), F.lit(",")).otherwise(F.lit(foot))
-    lines = numbered.select("_n", F.concat(F.when(F.col("_n") == 1, F.lit(head)).otherwise(F.lit("")), "value", comma).alias("value"))
-    lines.repartitionByRange(1, "_n").sortWithinPartitions("_n").select("value").write.text(path)
+    is_first, is_last = F.col("_n") % file_rows == 1 % file_rows, (F.col("_n") % file_rows == 0) | (F.col("_n") == last.scalar())
+    opened = F.when(is_first, F.lit(head)).otherwise(F.lit(""))
+    closed = F.when(is_last, F.lit(foot)).otherwise(F.lit(","))
+    file_no = F.floor((F.col("_n") - 1) / file_rows).alias("_file")
+    lines = numbered.select(file_no, "_n", F.concat(opened, "value", closed).alias("value"))
+    # a task that gets several lists writes each to a file of its own, as all but the last have that many rows
+    dealt = lines.repartitionByRange("_file").sortWithinPartitions("_n")
+    dealt.select("value").write.option("maxRecordsPerFile", file_rows).text(path)
 
 
 def rules_file(spark, sf):

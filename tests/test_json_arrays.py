@@ -2,10 +2,12 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from briefwerk.plans import queries
 from briefwerk.sources import files
 from briefwerk.sources.json_arrays import JsonArray
 
@@ -59,3 +61,16 @@ def test_rules_keep_their_order_and_are_read_by_many_tasks(small_ranges, tmp_pat
     got = [(r.priority, r.category, r.keywords) for r in rules.orderBy("priority").collect()]
     assert got == [(k + 1, f"{k:03d} }}", [f"wort{k}", "ü"]) for k in range(80)]
     assert small_ranges.read.text(str(path), lineSep="}").rdd.getNumPartitions() > 4
+
+
+def test_a_long_list_is_written_as_several_files_and_read_as_one(spark, tmp_path):
+    n, rows, folder = 16, 7, str(tmp_path / "cases")
+    value = F.to_json(F.struct(F.concat(F.lit("brief"), F.col("id"), F.lit(".txt")).alias("file"), F.lit(["a"]).alias("sender_any")))
+    cases = spark.range(n).select("id", value.alias("value")).repartition(4)
+    queries._json_list(cases, "id", folder, '{"cloud_safe": true, "cases": [', '], "end": {}}', file_rows=rows)
+    lines = [p.read_text().splitlines() for p in sorted(Path(folder).glob("part-*")) if p.stat().st_size]
+    assert [len(x) for x in lines] == [7, 7, 2]
+    assert all(json.loads("".join(x))["cloud_safe"] for x in lines)
+    usable, _ = files.read_expectations(spark, folder)
+    got = [(r.case_no, r.file, r.cloud_safe) for r in usable.orderBy("case_no").collect()]
+    assert got == [(k + 1, f"brief{k}.txt", True) for k in range(n)]
