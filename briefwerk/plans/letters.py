@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import fresh_path
+from ..session import fresh_path, small_methods
 
 _NL = "chr(10)"
 
@@ -218,7 +218,8 @@ def letter_folder(spark: SparkSession, sf_dir: str) -> str:
     if key not in _TABLES:
         path = fresh_path(spark, "letters")
         made = letters(spark, sf_dir)
-        made.write.parquet(path)
+        with small_methods(spark):
+            made.write.parquet(path)
         _TABLES[key], _SCHEMAS[path] = path, made.schema
     return _TABLES[key]
 

@@ -1,6 +1,8 @@
 """Session settings and the shared folder for intermediate tables."""
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Within this, Spark makes no method for a stage that the JVM would leave uncompiled for its size.
+
+    The JVM interprets methods of over 8,000 bytes, several times slower. Long projections become such methods.
+    """
+    before = spark.conf.get(_METHOD_LIMIT, None)
+    spark.conf.set(_METHOD_LIMIT, "8000")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_METHOD_LIMIT)
+        else:
+            spark.conf.set(_METHOD_LIMIT, before)
+
+
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table; dealt out to all cores if the session says so.
 

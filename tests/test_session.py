@@ -5,6 +5,9 @@ import subprocess
 import sys
 import time
 
+from pyspark.sql import DataFrameWriter
+
+from briefwerk.plans import letters
 from briefwerk.session import shared_dir
 
 RUN = """
@@ -33,3 +36,17 @@ def test_a_run_leaves_nothing_behind(tmp_path):
 
 def test_the_folder_is_the_session_s_own(spark):
     assert spark.sparkContext.applicationId in shared_dir(spark)
+
+
+def test_letters_are_written_by_methods_that_the_jvm_compiles(spark, tmp_path, monkeypatch):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    spark.sql("select 1L o_custkey, 1L o_orderkey, 'F' o_orderstatus, 1.5D o_totalprice, timestamp_ntz'1998-01-02' o_orderdate, '2-HIGH' o_orderpriority").write.parquet(
+        f"{tmp_path}/orders.parquet"
+    )
+    spark.sql("select 1L c_custkey, 3L c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    seen = []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a: (seen.append(spark.conf.get(limit)), write(*a)))
+    before = spark.conf.get(limit)
+    assert letters.letter_table(spark, str(tmp_path)).count() == 1
+    assert seen == ["8000"] and spark.conf.get(limit) == before
