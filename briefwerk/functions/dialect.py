@@ -10,7 +10,7 @@ import re
 _TOKEN = re.compile(r"\\.|\[|\]|[^\\\[\]]+", re.DOTALL)
 
 
-_WORD = r"\p{L}\p{N}_"
+WORD = r"\p{L}\p{N}_"
 _SPACE = r"\p{Z}\t-\r\x1C-\x1F"
 
 
@@ -34,10 +34,10 @@ def _spell(pattern: str, digit: str, space: str, boundary) -> str:
 
 def _java_boundary(rest: str) -> str:
     if rest[:1] in ("", ")", "|"):  # the fixed patterns close a word here
-        return f"(?![{_WORD}])"
+        return f"(?![{WORD}])"
     if re.match(r"\w|\[A-Z\]|\(\?:[A-Z]", rest):  # a word character must follow
-        return f"(?<![{_WORD}])"
-    return f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+        return f"(?<![{WORD}])"
+    return f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 
 def java(pattern: str, ignore_case: bool = False) -> str:

@@ -1,24 +1,38 @@
 """Redaction rules as column functions."""
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .dialect import java
+from .dialect import WORD, java
 from .once import once
 
 # A match of the address rule can only start where no letter of its first class precedes: from
 # there the rule could take that letter too. Saying so spares a retry at every letter of a word.
 _ANCHORS = {"[ADRESSE]": "(?<![A-ZÄÖÜ])"}
+# Looking back for a word boundary costs more than telling that a match cannot begin with a character,
+# so these rules test their first characters before they look at what is in front of them.
+_BOUNDARY = f"(?<![{WORD}])"
+_FIRST = {
+    "[IBAN]": (_BOUNDARY + "[A-Z]{2}", f"[A-Z](?<![{WORD}][A-Z])[A-Z]"),
+    "[AHV]": (_BOUNDARY + r"756\.", rf"756\.(?<![{WORD}]756\.)"),
+    "[EMAIL]": ("+@", "++@"),
+    "[TELEFON]": (_BOUNDARY + "0", f"0(?<![{WORD}]0)"),
+    "[BEHANDLER]": (_BOUNDARY, "(?=[PDmld])" + _BOUNDARY),
+}
 PATTERNS = {
-    label: java(_ANCHORS.get(label, "") + p, ignore_case)
+    label: java(_ANCHORS.get(label, "") + p, ignore_case).replace(*_FIRST.get(label, ("", "")), 1)
     for label, ignore_case, p in fixed.REDACTION_RULES
 }
 LABELS = tuple(PATTERNS) + (fixed.BLOCKLIST_LABEL,)
 HAS_DIGIT = java(r"\d")
 
+# the characters of an address in front of the @
+_LOCAL_PART = string.ascii_letters + string.digits + "._%+-"
+
 # What a text must contain for a rule to have any chance; byte searches, far cheaper than the rule.
 _NEEDS = {
     "[AHV]": ("756.",),
@@ -41,11 +55,23 @@ def may_match(text: Column, label: str, has_digit: Column | None = None) -> Colu
     return reduce(lambda a, b: a & b, tests)
 
 
+def _replaced(text: Column, label: str) -> Column:
+    if label != "[EMAIL]":
+        return F.regexp_replace(text, PATTERNS[label], label)
+
+    # No match begins before the characters that stand in front of the first @, so the text before them is not searched.
+    # The character before them comes along, for the word boundary.
+    def from_first(before: Column) -> Column:
+        kept = F.greatest(F.length(before) - 1, F.lit(0))
+        searched = F.regexp_replace(F.substring(text, kept + 1, F.length(text)), PATTERNS[label], label)
+        return F.concat(F.substring(text, F.lit(1), kept), searched)
+
+    return once(F.rtrim(F.substring_index(text, "@", 1), F.lit(_LOCAL_PART)), from_first)
+
+
 def redact_rule(text: Column, label: str, has_digit: Column | None = None) -> Column:
     """One rule applied to a text."""
-    return F.when(
-        may_match(text, label, has_digit), F.regexp_replace(text, PATTERNS[label], label)
-    ).otherwise(text)
+    return F.when(may_match(text, label, has_digit), _replaced(text, label)).otherwise(text)
 
 
 def _occurrences(text: Column, literal: str) -> Column:
