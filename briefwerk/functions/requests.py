@@ -33,12 +33,14 @@ def _strict_json(text: Column) -> Column:
     """The JSON value of a text, NULL if anything else follows it.
 
     The parser stops after the first value, so the text is read as the only element of a
-    list and as a field: nothing can follow a value that suits both.
+    list and as a field: nothing can follow a value that suits both. Where the text has no ``]``, the list
+    ends with the bracket put after it, and that alone is enough.
     """
     as_field = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
 
     def only(listed: Column) -> Column:
-        alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & as_field.isNotNull()
+        whole = ~F.contains(text, F.lit("]")) | as_field.isNotNull()
+        alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & whole
         return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
 
     return once(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), only)
@@ -49,12 +51,18 @@ def _field(answer: Column, key: str, default: str) -> Column:
     path = f"$.{key}"
     value = F.try_variant_get(answer, path, "string")
     kind = F.schema_of_variant(F.try_variant_get(answer, path, "variant"))
-    return (
-        F.when(kind.isNull(), F.lit(default))
-        .when(kind == "VOID", F.lit("None"))
-        .when(kind == "BOOLEAN", F.initcap(value))
-        .otherwise(F.coalesce(value, F.lit(default)))
-    )
+
+    def printed(value: Column) -> Column:
+        by_kind = (
+            F.when(kind.isNull(), F.lit(default))
+            .when(kind == "VOID", F.lit("None"))
+            .when(kind == "BOOLEAN", F.initcap(value))
+            .otherwise(F.coalesce(value, F.lit(default)))
+        )
+        # any other value is printed as it is, whatever its kind
+        return F.when(value.isNull() | value.isin("true", "false"), by_kind).otherwise(value)
+
+    return once(value, printed)
 
 
 def parse_response(response: Column) -> Column:
@@ -68,13 +76,13 @@ def parse_response(response: Column) -> Column:
     fields = {"sender": "unknown", "content": "unknown", "date": "unknown", "confidence": "low"}
 
     def unpack(found: Column) -> Column:
-        answer, is_object = found["answer"], found["kind"].startswith("OBJECT")
+        answer, is_object = found["answer"], found["is_object"]
         error = (
             F.when(
                 ~found["present"],
                 error_class(F.concat(F.lit("no json object in: "), F.coalesce(response, F.lit(""))), F.lit("ValueError")),
             )
-            .when(found["kind"].isNull(), F.lit("JSONDecodeError"))
+            .when(answer.isNull(), F.lit("JSONDecodeError"))
             .when(~is_object, F.lit("AttributeError"))
         )
         return F.struct(
@@ -82,18 +90,21 @@ def parse_response(response: Column) -> Column:
             error.alias("error"),
         )
 
-    def typed(answer: Column, present: Column) -> Column:
-        kind = F.schema_of_variant(answer).alias("kind")
-        return F.struct(answer.alias("answer"), kind, present.alias("present"))
+    def typed(answer: Column, is_object: Column, present: Column) -> Column:
+        return F.struct(
+            answer.alias("answer"), F.when(answer.isNotNull(), is_object).alias("is_object"), present.alias("present")
+        )
 
     def search(fragment: Column) -> Column:
-        return once(F.try_parse_json(fragment), lambda a: typed(a, fragment.isNotNull()))
+        return once(F.try_parse_json(fragment), lambda a: typed(a, F.lit(True), fragment.isNotNull()))
 
     def parse(raw: Column) -> Column:
         fragment = F.regexp_substr(raw, F.lit(r"(?s)\{[^{}]+\}"))
+        # the text is JSON where this is used, so its first character tells its kind
+        braced = F.startswith(F.ltrim(raw, F.lit(" \t\r\n")), F.lit("{"))
         return once(
             _strict_json(raw),
-            lambda a: F.when(a.isNotNull(), typed(a, F.lit(True))).otherwise(once(fragment, search)),
+            lambda a: F.when(a.isNotNull(), typed(a, braced, F.lit(True))).otherwise(once(fragment, search)),
         )
 
     return once(once(response, parse), unpack)
