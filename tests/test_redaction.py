@@ -206,3 +206,22 @@ def test_text_before_the_first_address_is_not_searched(spark):
     begun = time.time()
     assert run(spark, [long]) == [(long.replace("x@y.ch", "[EMAIL]"), {"[EMAIL]": 1})]
     assert time.time() - begun < 15
+
+
+def test_amounts_and_addresses_equal_the_plain_patterns(spark):
+    parts = ["CHF", "chf", "uſd", "EUR", " ", ".", "'", ",", "1", "12", "123", "1234", "٣", "𝟏𝟐𝟑", "\n", "A", "ÿ", "é", "-",
+             "ſtrasse", "rİng", "weg", "str.", " 3000 Bern", " 12, "]
+    rnd = random.Random(3)
+    rows = [("".join(rnd.choices(parts, k=rnd.randint(1, 12))),) for _ in range(20_000)]
+    rows += [(f"{rnd.choice(parts)}{rnd.choice(parts)}weg{rnd.choice(parts)}12, 3000 Bern",) for _ in range(5_000)]
+    texts = spark.createDataFrame(rows, "text string")
+    for label in ("[BETRAG]", "[ADRESSE]"):
+        ignore_case, plain = next((i, p) for at, i, p in fixed.REDACTION_RULES if at == label)
+        wanted = F.regexp_replace("text", java(plain, ignore_case), label)
+        assert texts.where(wanted != F.col("text")).count() > 100
+        assert texts.where(~wanted.eqNullSafe(F.regexp_replace("text", r.PATTERNS[label], label))).isEmpty()
+
+
+def test_amounts_are_told_by_their_first_character_and_not_tried_shorter():
+    assert r.PATTERNS["[BETRAG]"].startswith("(?=[CEUceu0123456789")
+    assert "{1,3}+(" in r.PATTERNS["[BETRAG]"]
