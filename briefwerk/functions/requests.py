@@ -110,10 +110,14 @@ def parse_response(response: Column) -> Column:
     return once(once(response, parse), unpack)
 
 
+def takes_date_hint(date: Column) -> Column:
+    """Whether a hint would stand in for the date: one is there, but is no eight digits."""
+    return ~date.rlike(r"\A\p{Nd}{8}\n?\z")
+
+
 def with_date_hint(date: Column, hint: Column) -> Column:
     """The hint stands in for a date that is no eight digits."""
-    usable = date.rlike(r"\A\p{Nd}{8}\n?\z")
-    return F.when(~usable, F.coalesce(F.nullif(hint, F.lit("")), date)).otherwise(date)
+    return F.when(takes_date_hint(date), F.coalesce(F.nullif(hint, F.lit("")), date)).otherwise(date)
 
 
 def token_cost_chf(

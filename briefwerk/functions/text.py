@@ -1,5 +1,6 @@
 """Text columns: whitespace, portable file names, comparison keys, letter dates."""
 
+import string
 import sys
 import unicodedata
 from functools import lru_cache
@@ -122,13 +123,17 @@ def letter_date(text: Column) -> Column:
 
     The day is checked against 1..31 only, so the result stays a string.
     """
-    head = F.substring(text, 1, fixed.LETTER_HEAD_CHARS)
-    # no letter may precede the place name: a match could as well have begun there
-    pattern = java("(?<![A-ZÄÖÜ])" + fixed.LETTER_DATE, ignore_case=True)
+    # no letter may precede the place name: a match could as well have begun there; told of plain letters first, which is cheap
+    pattern = f"(?<![{string.ascii_letters}])" + java("(?<![A-ZÄÖÜ])" + fixed.LETTER_DATE, ignore_case=True)
+    # what follows the place name begins with a comma, so it is found, or found missing, without taking words apart
+    behind = java(fixed.LETTER_DATE[fixed.LETTER_DATE.index(","):], ignore_case=True)
+
+    def search(head: Column) -> Column:
+        return F.when(head.rlike(behind), F.regexp_substr(head, F.lit(pattern)))
+
     # one search: the three groups come back as "day|month|year"
-    found = F.split(
-        F.regexp_replace(F.regexp_substr(head, F.lit(pattern)), pattern, r"$1|$2|$3"), r"\|"
-    )
+    match = once(F.substring(text, 1, fixed.LETTER_HEAD_CHARS), search)
+    found = F.split(F.regexp_replace(match, pattern, r"$1|$2|$3"), r"\|")
 
     def compose(date: Column) -> Column:
         year, month, day = date["year"], date["month"], date["day"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import redaction as r
 from ..functions import requests as q
+from ..functions.once import once
 from ..functions.text import is_blank, letter_date, proposed_name, safe_filename, strip
 
 # what an analysed letter brings along; further columns pass through
@@ -29,21 +30,29 @@ def route(df: DataFrame) -> DataFrame:
     kept = df.columns
     engine = F.col("engine")
     hybrid, local = engine == fixed.HYBRID, engine == fixed.LOCAL
+
+    def with_date(answer: Column) -> Column:
+        # the redacted text is searched, and unless it is kept made, only where the model gave no usable date
+        hint = F.when(local & q.takes_date_hint(answer["date"]), letter_date(F.col("redacted_text")))
+        # named: Spark makes the text where it is used only as long as it is used in one place
+        date = once(hint, lambda h: q.with_date_hint(answer["date"], h))
+        return F.struct(answer.alias("answer"), date.alias("date"))
+
     staged = df.withColumns(
         {
             "_blank": is_blank(F.col("text")),
             "_leaks": F.when(hybrid, r.leak_labels(F.coalesce("anonymized_text", F.lit("")))),
-            "_hint": F.when(local, letter_date(F.col("redacted_text"))),
-            "_answer": q.parse_response(F.col("response")),
+            "_analysed": once(q.parse_response(F.col("response")), with_date),
         }
     ).withColumns(
         {
-            "_date": q.with_date_hint(F.col("_answer.date"), F.col("_hint")),
+            "_answer": F.col("_analysed.answer"),
+            "_date": F.col("_analysed.date"),
             "_read_class": q.error_class(F.col("read_message"), F.col("read_type")),
             "_analysis_class": F.when(
                 F.col("analysis_message").isNotNull(),
                 q.error_class(F.col("analysis_message"), F.col("analysis_type")),
-            ).otherwise(F.col("_answer.error")),
+            ).otherwise(F.col("_analysed.answer.error")),
         }
     )
     # the first reason that applies decides

@@ -388,3 +388,23 @@ def test_letters_are_spread_by_rows(spark, tmp_path):
     made = letters.letter_table(spark, str(tmp_path))
     files = made.groupBy(F.input_file_name()).count().collect()
     assert sum(r["count"] for r in files) == 3000 and len(files) == spark.sparkContext.defaultParallelism
+
+
+def test_letters_are_redacted_only_where_the_date_is_missing(spark):
+    columns = ", ".join(f"{c} {'bigint' if c.endswith('tokens') else 'string'}" for c in routing.LETTER_COLUMNS if c != "redacted_text")
+
+    def letter(file, engine, date):
+        answer = json.dumps({"sender": "Amt", "content": "Brief", "date": date, "confidence": "high"})
+        return file, engine, "Amt\nBern, 1. Mai 2025\nTotal CHF 12.50", "Amt", None, None, None, None, answer, 1, 1
+
+    rows = [letter("a", "ollama", "unknown"), letter("b", "ollama", "20240203"), letter("c", "claude", "unknown")]
+    routed = routing.route(redact(spark.createDataFrame(rows, columns)))
+    named = routed.select("file", "proposed_name")
+    assert dict(named.collect()) == {
+        "a": "Amt-Brief-20250501.pdf", "b": "Amt-Brief-20240203.pdf", "c": "Amt-Brief-unknown.pdf"
+    }
+    # the rules (756: one of them) are worked out in the step that tests the date for its eight digits, inside that test
+    steps = named._jdf.queryExecution().optimizedPlan().toString().split("Project [")
+    assert any("{8}" in step and "756" in step for step in steps)
+    # texts that are asked for are redacted all
+    assert {x.redacted_text for x in routed.select("redacted_text").collect()} == {"Amt\nBern, 1. Mai 2025\nTotal [BETRAG]"}
