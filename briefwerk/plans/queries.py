@@ -370,16 +370,26 @@ def filing_manifest(spark, sf):
 
 # --- files written and read back ---------------------------------------------------------------
 
+_SCANS = 4
+
+
 def folder_scan(spark, sf):
-    """A folder of files named like scans, made from the documents: how many, and how many bytes."""
+    """A folder of files named like scans, made from the documents: how many scans, and how many bytes.
+
+    A file is written by one task, so each scan comes in parts: brief0.0.pdf, brief1.0.PDF, ..., brief0.1.pdf, ...
+    """
     path = fresh_path(spark, "inbox")
-    _documents(spark, sf).select("text").repartition(4).write.text(path)
+    # not dealt out on reading, so that the ranges read tell how large the table is; there are as many parts
+    texts = _table(spark, sf, "documents").select("text")
+    texts.repartition(max(_SCANS, texts.rdd.getNumPartitions())).write.text(path)
     at = spark._jvm.org.apache.hadoop.fs.Path
     folder = at(path)
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     for k, found in enumerate(store.globStatus(at(folder, "part-*"))):
-        store.rename(found.getPath(), at(folder, f"brief{k}.{'PDF' if k % 2 else 'pdf'}"))
-    return files.scan_folder(spark, path).agg(F.count("file").alias("n_files"), F.sum("bytes").alias("bytes"))
+        part, scan = divmod(k, _SCANS)
+        store.rename(found.getPath(), at(folder, f"brief{scan}.{part}.{'PDF' if scan % 2 else 'pdf'}"))
+    name = F.substring_index("file", ".", 1)
+    return files.scan_folder(spark, path).agg(F.count_distinct(name).alias("n_files"), F.sum("bytes").alias("bytes"))
 
 
 def text_files(spark, sf):

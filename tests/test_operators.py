@@ -8,7 +8,7 @@ from briefwerk import fixed
 from briefwerk.functions import requests as q
 from briefwerk.operators import category, extract, routing, runlog, scoring
 from briefwerk.operators.redact import redact
-from briefwerk.plans import evaluation, filing, reports
+from briefwerk.plans import evaluation, filing, queries, reports
 from briefwerk.sources import files, sinks
 from briefwerk.streaming import jobs
 
@@ -324,6 +324,33 @@ def test_sources(spark, tmp_path):
     assert rules == [(1, "A", ["über", "x"]), (2, "B", [])]
 
 
+def test_scans_are_written_in_parts_that_do_not_grow(spark, tmp_path, monkeypatch):
+    folder, range_bytes = tmp_path / "inbox", 2000
+    monkeypatch.setattr(queries, "fresh_path", lambda *_: str(folder))
+    texts = [None if k % 50 == 7 else "" if k % 50 == 8 else f"Gruß Nr. {k} " + "x" * (k % 30) for k in range(2000)]
+    documents = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    documents.write.option("compression", "none").parquet(str(tmp_path / "documents.parquet"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k, v in zip(before, (range_bytes, 1)):
+        spark.conf.set(k, str(v))
+    try:
+        got = [tuple(r) for r in queries.folder_scan(spark, str(tmp_path)).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    wanted = sum(len((t or "").encode()) + 1 for t in texts)
+    assert got == [(4, wanted)]
+    parts = [p.read_bytes() for p in folder.glob("brief*")]
+    assert max(map(len, parts)) < 2 * range_bytes < wanted / 4
+    lines = [line for p in parts for line in p.decode().split("\n")[:-1]]
+    assert sorted(lines) == sorted(t or "" for t in texts)
+
+
+def test_scans_of_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in queries.folder_scan(spark, str(tmp_path)).collect()] == [(0, None)]
+
+
 def test_expectations(spark, tmp_path):
     path = tmp_path / "expectations.json"
     path.write_text(json.dumps({"cases": [
